@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_matches
+from .jaccard_join import linked_components
 from .substring_dedup import remove_repeats
 
 
@@ -13,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linked_components(docs, "doc_id", "text", 3, 90)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, "text", 35).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -31,4 +37,4 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op7_decontaminate": op7_decontaminate}
+QUERIES = {"op2_jaccard_join": op2_jaccard_join, "op4_substring_dedup": op4_substring_dedup, "op7_decontaminate": op7_decontaminate}
