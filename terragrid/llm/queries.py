@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_matches
 from .jaccard_join import linked_components
+from .mixing import mix
+from .quality_rules import measure
 from .substring_dedup import remove_repeats
+from .token_files import through_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, "text", 35).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return measure(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines", "n_lost_words")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_matches(docs, _table(spark, sf_dir, "benchmark"), "text", 10)
@@ -37,4 +45,21 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_jaccard_join": op2_jaccard_join, "op4_substring_dedup": op4_substring_dedup, "op7_decontaminate": op7_decontaminate}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_files(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_token_files": op8_token_files,
+    "op10_mixing": op10_mixing,
+}
+
+ORACLE_SQL = {}
