@@ -11,6 +11,7 @@ from .mixing import mix
 from .quality_rules import measure
 from .substring_dedup import remove_repeats
 from .token_files import through_files
+from .warc import through_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(docs, "doc_id", "text", 3, 90)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_archives(_table(spark, sf_dir, "pages"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, "text", 35).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -55,6 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_decontaminate": op7_decontaminate,
