@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_matches
+from .html_wrappers import extract
 from .jaccard_join import linked_components
+from .line_dedup import dedup_lines
 from .mixing import mix
+from .pii import pseudonymise
 from .quality_rules import measure
 from .substring_dedup import remove_repeats
 from .token_files import through_files
@@ -18,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs).select("doc_id", "n_found", "safe_text")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return linked_components(docs, "doc_id", "text", 3, 90)
@@ -37,6 +45,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines", "n_lost_words")
 
 
+def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_matches(docs, _table(spark, sf_dir, "benchmark"), "text", 10)
@@ -50,6 +62,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,12 +76,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_wrappers": op6_html_wrappers,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_files": op8_token_files,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
