@@ -26,18 +26,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import fan, settle, text_bytes
 from .sketch import bits_for, sketch
-from .words import U64, Words, batches, mix, spread
+from .words import U64, Words, mix
 
 #: pivots of an n-gram in each round; None: all
 ROUNDS = (1, 8, None)
 #: ranges of hash values that the suffix filter counts a set's n-grams in
 RANGES = 32
+#: bytes of text a task hashes in one go
+SLICE = 4 << 20
 #: counts from which an n-gram is shared, and frequent
 LEVELS = (2, 32)
 
@@ -57,11 +60,15 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def _texts(batch_iter, column: int):
+    """(batch, first row, texts) of slices of a batch, of about 4 MB each."""
     for batch in batch_iter:
-        done = 0
-        for part in batches(batch.column(column).cast(pa.binary()).to_pylist(), length=lambda t: len(t or b"")):
-            yield batch, done, [t or b"" for t in part]
-            done += len(part)
+        values = batch.column(column).cast(pa.binary())
+        size = np.nan_to_num(np.asarray(pc.binary_length(values).cast(pa.float64())))
+        done, run = 0, np.cumsum(size)
+        while done < len(values):
+            n = max(1, int(np.searchsorted(run, (run[done - 1] if done else 0) + SLICE, "right")) - done)
+            yield batch, done, [t or b"" for t in values.slice(done, n).to_pylist()]
+            done += n
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:

@@ -6,8 +6,8 @@ the merge adds them up, a range of cells per task, and keeps one bit a cell and
 threshold: whether its count has reached it.  Estimates are never too low, so
 nothing that occurs twice is ever estimated to occur once.
 
-The merged bits are broadcast.  Their size is ``rows * 2**bits * thresholds / 8``
-bytes and ``bits`` has a fixed upper bound (``MAX_BITS``), however large the
+The merged bits are broadcast: of the first threshold all rows, of others one
+row.  Their size is ``(rows + thresholds - 1) * 2**bits / 8`` bytes and ``bits`` has a fixed upper bound (``MAX_BITS``), however large the
 corpus: beyond it, estimates get coarser and the exact pass behind the sketch
 gets more to do, but results stay the same.
 """
@@ -25,7 +25,7 @@ from .words import U64, mix
 
 MIN_BITS, MAX_BITS, BLOCK_BITS = 16, 28, 18
 #: hashes a task gathers before it sends their cells
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 
 
 def bits_for(items: float) -> int:
@@ -88,25 +88,25 @@ def sketch(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterable[
                 have = counts.setdefault(b, np.zeros(size, np.uint8))
                 have[at] = np.minimum(have[at].astype(np.int64) + n, cap)
         for b, have in counts.items():
-            planes = [np.packbits(have >= t).tobytes() for t in thresholds]
+            planes = [np.packbits(have >= t).tobytes() for t in (thresholds if b << BLOCK_BITS < 1 << bits else thresholds[:1])]
             yield pa.RecordBatch.from_arrays([pa.array([b] * len(planes), pa.int32()), pa.array(range(len(planes)), pa.int32()), pa.array(planes, pa.binary())], ["block", "plane", "data"])
 
     filled = df.mapInArrow(fill, "block int, data binary").repartition(max(fan(df), rows << max(0, bits - 24)), "block")
     merged = filled.mapInArrow(merge, "block int, plane int, data binary")
-    table = np.zeros((len(thresholds), rows * max(1, (1 << bits) // 8)), np.uint8)
+    table = [np.zeros((rows if t == thresholds[0] else 1) * max(1, (1 << bits) // 8), np.uint8) for t in thresholds]
     for b, plane, data in merged.toLocalIterator():
-        table[plane, b * size // 8 : (b + 1) * size // 8] = np.frombuffer(data, np.uint8)
+        table[plane][b * size // 8 : (b + 1) * size // 8] = np.frombuffer(data, np.uint8)
     return Sketch(table, bits, rows)
 
 
 class Sketch:
-    def __init__(self, table: np.ndarray, bits: int, rows: int):
+    def __init__(self, table: list[np.ndarray], bits: int, rows: int):
         self.table, self.bits, self.rows = table, bits, rows
 
     def reaches(self, hashes: np.ndarray, plane: int = 0) -> np.ndarray:
         """Whether each hash's estimated count is at least the plane's threshold."""
         yes = np.ones(len(hashes), bool)
-        for r in range(self.rows):
+        for r in range(self.rows if plane == 0 else 1):
             c = cells_of(hashes, r, self.bits) + (r << self.bits)
             yes &= (self.table[plane][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 != 0
         return yes
