@@ -38,7 +38,7 @@ from .words import U64, Words, mix
 #: pivots of an n-gram in each round; None: all
 ROUNDS = (1, 8, None)
 #: ranges of hash values that the suffix filter counts a set's n-grams in
-RANGES = 32
+RANGES = 64
 #: bytes of text a task hashes in one go
 SLICE = 4 << 20
 #: counts from which an n-gram is shared, and frequent
@@ -107,22 +107,22 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
                 order = np.argsort(lv, kind="stable")[alone:first]
                 tokens.append(s[order].view(np.int64))
                 places.append(np.arange(alone, first, dtype=np.int32))
-                ranges.append(np.bincount((s >> U64(59)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                ranges.append(np.bincount((s >> U64(58)).astype(np.int64), minlength=RANGES).clip(max=32767).astype(np.int16))
                 whole.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(done, len(sets)), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(ranges, pa.list_(pa.int32())), pa.array(whole, pa.list_(pa.int64()))],
+                [batch.column(0).slice(done, len(sets)), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(ranges, pa.list_(pa.int16())), pa.array(whole, pa.list_(pa.int64()))],
                 ["id", "n", "key", "tokens", "places", "ranges", "whole"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return settle(rows.mapInArrow(prefixes, f"id {kind}, n long, key binary, tokens array<long>, places array<int>, ranges array<int>, whole array<long>"), "shingles")
+    return settle(rows.mapInArrow(prefixes, f"id {kind}, n long, key binary, tokens array<long>, places array<int>, ranges array<smallint>, whole array<long>"), "shingles")
 
 
 def links(table: DataFrame, percent: int) -> DataFrame:
     """(u, v): links between keys; every link's ends are connected by these."""
     nodes = table.where("tokens is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "places", "ranges")))
-    entry = F.struct("key", "n", F.col("z.places").alias("place"), "ranges").alias("x")
-    shared = nodes.select("key", "n", "ranges", F.explode(F.arrays_zip("tokens", "places")).alias("z")).select(F.col("z.tokens").alias("t"), entry)
+    entry = F.struct("key", "n", F.col("z.places").alias("place"), "ranges", "tokens").alias("x")
+    shared = nodes.select("key", "n", "ranges", "tokens", F.explode(F.arrays_zip("tokens", "places")).alias("z")).select(F.col("z.tokens").alias("t"), entry)
     many = shared.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     shared = settle(shared.join(many.select("t"), "t"), "tokens")
     sets = table.where("whole is not null").select("key", "whole")
@@ -144,11 +144,13 @@ def links(table: DataFrame, percent: int) -> DataFrame:
         right = now.select("t", F.col("x").alias("b"), F.col("g").alias("gb"))
         n = F.col("a.n") + F.col("b.n")
         need = F.ceil(n * percent / (100 + percent))
-        apart = F.aggregate(F.zip_with("a.ranges", "b.ranges", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
+        apart = F.aggregate(F.zip_with("a.ranges", "b.ranges", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
         close = (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (apart <= n - 2 * need)
         pairs = left.join(right, "t").where((F.col("ga") != F.col("gb")) & close)
         if not pivots:
-            pairs = pairs.where("ga < gb")
+            # each pair at its first common n-gram only, where the positional filter is at its best
+            rest = 1 + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) - 1
+            pairs = pairs.where((F.col("ga") < F.col("gb")) & (rest >= need) & (F.col("t") == F.get(F.array_intersect("a.tokens", "b.tokens"), F.lit(0))))
         first = F.col("a.key") < F.col("b.key")
         one, two = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
         pairs = pairs.select(one.alias("a"), two.alias("b")).groupBy(F.col("a.key").alias("u"), F.col("b.key").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv")).agg(F.min("a.place").alias("pu"), F.min("b.place").alias("pv"))
