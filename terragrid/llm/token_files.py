@@ -22,6 +22,7 @@ ids are ordered by text hash.  An empty table makes no shard.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .runtime import fan, new_path
-from .words import NOT_SPACE, U64, Words, batches, spread
+from .words import U64, batches, hash_spans, spread
 
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
 VOCABULARY = "byte_bpe_50k.json"
@@ -47,21 +48,65 @@ def _tokenizer(path: str):
 class Encoder:
     """Ids of many texts, each distinct piece encoded once by the tokenizer.
 
-    A byte-level BPE never joins bytes across its pre-tokens, and every single
-    space between two ASCII letters begins a pre-token; texts are cut there.
-    The tokenizer's ids of a text are thus the ids of its pieces in order.
+    A byte-level BPE never joins bytes across its pre-tokens, and a single space
+    after an ASCII letter, comma or full stop and before an ASCII letter begins
+    a pre-token; texts are cut there.  The tokenizer's ids of a text are thus the
+    ids of its pieces in order, and so are those of any pieces with such bounds
+    laid end to end: new pieces are encoded together, and the ids are told apart
+    by the bytes they stand for.  Up to ``KNOWN`` pieces are remembered.
     """
 
+    KNOWN, JOINED = 1 << 20, 1 << 16
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.tokenizer = _tokenizer(path)
-        letters = np.zeros(256, bool)
-        letters[[*range(65, 91), *range(97, 123), 44, 46]] = True
-        self.before, self.after = letters, letters.copy()
-        self.after[[44, 46]] = False
+        vocabulary = self.tokenizer.get_vocab()
+        #: bytes of each id: the byte-level alphabet has a character for each byte
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
+        self.after = np.zeros(256, bool)
+        self.after[[*range(65, 91), *range(97, 123)]] = True
+        self.before = self.after.copy()
+        self.before[[44, 46]] = True
+        self._forget()
+
+    def _forget(self):
+        self.hash, self.first, self.n, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, h, buf, start, end) -> None:
+        """Encode pieces that aren't known."""
+        raw = buf.tobytes()
+        plain = (buf[start] == 0x20) & self.before[buf[end - 1]] & (end - start > 1) & self.after[buf[np.minimum(start + 1, len(buf) - 1)]]
+        ids, n = [], np.zeros(len(h), np.int64)
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        size = (end - start)[order]
+        total, k, at = np.cumsum(size), int(plain.sum()), 0
+        while at < k:
+            to = max(at + 1, int(np.searchsorted(total[:k], (total[at - 1] if at else 0) + self.JOINED, "right")))
+            text = b"".join(raw[start[i] : end[i]] for i in order[at:to])
+            got = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.cumsum(self.bytes[got])
+            cut = np.searchsorted(ends, np.cumsum(size[at:to]))
+            if ends[-1] != len(text) or (ends[cut] != np.cumsum(size[at:to])).any():
+                raise ValueError("the tokenizer joins bytes across pieces")
+            ids.append(got)
+            n[order[at:to]] = np.diff(cut, prepend=-1)
+            at = to
+        for some in range(k, len(order), 1024):
+            part = order[some : some + 1024]
+            for i, e in zip(part, self.tokenizer.encode_batch([raw[start[i] : end[i]].decode() for i in part], add_special_tokens=False), strict=True):
+                ids.append(np.array(e.ids, np.uint32))
+                n[i] = len(e.ids)
+        first = np.zeros(len(h), np.int64)
+        first[order] = np.cumsum(n[order]) - n[order] + len(self.ids)
+        self.ids = np.concatenate([self.ids, *ids])
+        every = np.concatenate((self.hash, h))
+        by = np.argsort(every, kind="stable")
+        self.hash, self.first, self.n = every[by], np.concatenate((self.first, first))[by], np.concatenate((self.n, n))[by]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        from .words import hash_spans
-
         buf = np.frombuffer(b"".join(texts), np.uint8)
         size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         ends = np.cumsum(size)
@@ -70,19 +115,21 @@ class Encoder:
         cut = np.flatnonzero((buf[1:-1] == 0x20) & self.before[buf[:-2]] & self.after[buf[2:]]) + 1
         start = np.unique(np.concatenate((cut, (ends - size)[size > 0])))
         end = np.append(start[1:], len(buf))
-        # a cut may lie at a text's last byte only if the next text begins there
-        h = hash_spans(buf, start, end)
-        _, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        pieces = [raw[start[i] : end[i]].decode() for i in one]
-        got = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        n = np.fromiter((len(x) for x in got), np.int64, len(got))
-        flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(n.sum()))
-        first = np.cumsum(n) - n
-        out = flat[spread(first[inverse], n[inverse])]
-        per_text = np.add.reduceat(np.append(n[inverse], 0), np.searchsorted(start, ends - size).clip(max=len(start)))
-        per_text[size == 0] = 0
-        return np.split(out, np.cumsum(per_text)[:-1])
+        h, one, inverse = np.unique(hash_spans(buf, start, end), return_index=True, return_inverse=True)
+        if len(self.hash) > self.KNOWN:
+            self._forget()
+        at = np.searchsorted(self.hash, h)
+        new = np.ones(len(h), bool)
+        inside = at < len(self.hash)
+        new[inside] = self.hash[at[inside]] != h[inside]
+        if new.any():
+            self._learn(h[new], buf, start[one[new]], end[one[new]])
+        at = np.searchsorted(self.hash, h)
+        first, n = self.first[at][inverse], self.n[at][inverse]
+        out = self.ids[spread(first, n)]
+        run = np.append(0, np.cumsum(n))
+        begin = run[np.searchsorted(start, ends - size)]
+        return np.split(out, begin[1:])
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = 0) -> None:
