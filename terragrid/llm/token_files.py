@@ -56,7 +56,7 @@ class Encoder:
     by the bytes they stand for.  Up to ``KNOWN`` pieces are remembered.
     """
 
-    KNOWN, JOINED = 1 << 20, 1 << 16
+    KNOWN, JOINED = 3 << 19, 1 << 16
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
@@ -76,7 +76,7 @@ class Encoder:
         self.hash, self.first, self.n, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, h, buf, start, end) -> None:
-        """Encode pieces that aren't known."""
+        """Encode pieces that aren't known; ``h`` is sorted."""
         raw = buf.tobytes()
         plain = (buf[start] == 0x20) & self.before[buf[end - 1]] & (end - start > 1) & self.after[buf[np.minimum(start + 1, len(buf) - 1)]]
         ids, n = [], np.zeros(len(h), np.int64)
@@ -102,9 +102,8 @@ class Encoder:
         first = np.zeros(len(h), np.int64)
         first[order] = np.cumsum(n[order]) - n[order] + len(self.ids)
         self.ids = np.concatenate([self.ids, *ids])
-        every = np.concatenate((self.hash, h))
-        by = np.argsort(every, kind="stable")
-        self.hash, self.first, self.n = every[by], np.concatenate((self.first, first))[by], np.concatenate((self.n, n))[by]
+        to = np.searchsorted(self.hash, h)
+        self.hash, self.first, self.n = (np.insert(old, to, new) for old, new in ((self.hash, h), (self.first, first), (self.n, n)))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         buf = np.frombuffer(b"".join(texts), np.uint8)
@@ -132,6 +131,16 @@ class Encoder:
         return np.split(out, begin[1:])
 
 
+#: one encoder for each vocabulary and Python worker, which outlives tasks
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = 0) -> None:
     """Encode every text of ``docs`` and write the token files to the folder ``path``."""
     key = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
@@ -140,7 +149,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = rows.schema["id"].dataType.simpleString()
 
     def encode(batch_iter):
-        encoder, row, start = Encoder(vocabulary), 0, 0
+        encoder, row, start = encoder_for(vocabulary), 0, 0
         for batch in batch_iter:
             done = 0
             for part in batches(batch.column(2).cast(pa.binary()).to_pylist(), 2 << 20):
