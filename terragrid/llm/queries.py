@@ -88,4 +88,23 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL = {
+    "op3_warc": """
+with p as (select page_id, coalesce(html, '') h from pages),
+q as (select page_id, octet_length(encode(h)) b, sha1(h) d, max(page_id) over (partition by sha1(h)) m from p)
+select page_id, cast(b as bigint) payload_bytes, d payload_digest,
+  case when b >= 1000 and m <> page_id then 'revisit' else 'response' end record_type,
+  case when b >= 1000 and m <> page_id then m end refers_to
+from q""",
+    "op4_substring_dedup": f"""
+with w as (select doc_id, {_WORDS} ws from documents),
+e as (select doc_id, unnest(range(1, len(ws) + 1)) i, unnest(ws) x, len(ws) n from w),
+v as (select doc_id, i, md5(string_agg(x, ' ' order by i) over (partition by doc_id order by i rows between current row and 34 following)) h, n from e),
+r as (select doc_id, i, count(*) over (partition by h) c from v where i + 34 <= n),
+k as (select e.doc_id, e.i, e.x, max(coalesce(case when r.c > 1 then r.i end, -99)) over (partition by e.doc_id order by e.i) s from e left join r on r.doc_id = e.doc_id and r.i = e.i),
+g as (select doc_id, sum((i - s < 35)::int) gone, string_agg(case when i - s >= 35 then x end, ' ' order by i) kept from k group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) n_words, cast(coalesce(gone, 0) as bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256
+from w left join g using (doc_id)""",
+}
