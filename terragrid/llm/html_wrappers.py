@@ -210,12 +210,15 @@ def is_chrome(path: tuple[str, ...]) -> bool:
     return False
 
 
-def labels(wrapper: list, pages: int) -> dict:
-    """What of a host's pages is content: whether only articles are, and which texts are template."""
+def labels(wrapper: list, pages: int, common: list[str]) -> dict:
+    """What of a host's pages is content: whether only articles are, and which texts are template.
+
+    common: the texts that every page has; a repeated group's slot can hide them from the wrapper.
+    """
     slots = [(text, path) for text, path in paths(list(flat(wrapper))) if not is_chrome(path)]
     framed = any(re.match(r"<(?:article|main)\b", step) for _, path in slots for step in path)
-    fixed = sorted({t for t, _ in slots if t is not None}) if pages >= 3 and not framed else []
-    return {"framed": framed, "fixed": fixed if any(t is None for t, _ in slots) else []}
+    varied = any(t is None or t not in set(common) for t, _ in slots)
+    return {"framed": framed, "fixed": sorted(common) if pages >= 3 and not framed and varied else []}
 
 
 def main_text(page: str, label: dict | None) -> str:
@@ -236,17 +239,24 @@ def host_of(url: str | None) -> str:
 
 
 def _nodes(page: str) -> list:
-    return fold([[TEXT, t] if tag == TEXT else tag for tag, t in tokens(page)])
+    return _page(page)[0]
+
+
+def _page(page: str) -> tuple[list, set[str]]:
+    """A page's folded nodes and its texts."""
+    stream = tokens(page)
+    return fold([[TEXT, t] if tag == TEXT else tag for tag, t in stream]), {t for tag, t in stream if tag == TEXT}
 
 
 class _Fold:
     """A host's wrapper so far; equal shapes are joined without alignment."""
 
     def __init__(self):
-        self.wrapper, self.pages, self.shapes = None, 0, {}
+        self.wrapper, self.pages, self.shapes, self.common = None, 0, {}, None
 
-    def add(self, nodes: list, pages: int) -> None:
+    def add(self, nodes: list, pages: int, texts: set[str]) -> None:
         self.pages += pages
+        self.common = texts if self.common is None else self.common & texts
         shape = json.dumps([_shape(x) for x in nodes])
         have = self.shapes.get(shape)
         self.shapes[shape] = nodes if have is None else [_join(a, b) for a, b in zip(have, nodes, strict=True)]
@@ -262,23 +272,24 @@ class _Fold:
 
 def _folded(rows):
     hosts: dict[str, _Fold] = {}
-    for host, nodes, pages in rows:
-        hosts.setdefault(host, _Fold()).add(nodes, pages)
-    out = [(h, json.dumps(f.close()), f.pages) for h, f in hosts.items()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["host", "wrapper", "pages"])
+    for host, nodes, pages, texts in rows:
+        hosts.setdefault(host, _Fold()).add(nodes, pages, texts)
+    out = [(h, json.dumps(f.close()), f.pages, json.dumps(sorted(f.common))) for h, f in hosts.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], ["host", "wrapper", "pages", "common"])
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, pages): the wrapper of each host as JSON."""
+    """(host, wrapper, pages, common): the wrapper of each host and the texts all its pages have, as JSON."""
     rows = pages.select(F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("h"))
 
     def first(batch_iter):
-        yield _folded((host_of(u), _nodes(h or ""), 1) for b in batch_iter for u, h in zip(b["u"].to_pylist(), b["h"].to_pylist(), strict=True))
+        pages = ((host_of(u), *_page(h or "")) for b in batch_iter for u, h in zip(b["u"].to_pylist(), b["h"].to_pylist(), strict=True))
+        yield _folded((host, nodes, 1, texts) for host, nodes, texts in pages)
 
     def then(batch_iter):
-        yield _folded((h, json.loads(w), n) for b in batch_iter for h, w, n in zip(b["host"].to_pylist(), b["wrapper"].to_pylist(), b["pages"].to_pylist(), strict=True))
+        yield _folded((h, json.loads(w), n, set(json.loads(c))) for b in batch_iter for h, w, n, c in zip(*(b[x].to_pylist() for x in ("host", "wrapper", "pages", "common")), strict=True))
 
-    kind = "host string, wrapper string, pages long"
+    kind = "host string, wrapper string, pages long, common string"
     return settle(rows.mapInArrow(first, kind).repartition(fan(pages), "host").mapInArrow(then, kind), "wrappers")
 
 
@@ -289,7 +300,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
 
     def label_all(batch_iter):
         for b in batch_iter:
-            told = [json.dumps(labels(json.loads(w), n)) for w, n in zip(b["wrapper"].to_pylist(), b["pages"].to_pylist(), strict=True)]
+            told = [json.dumps(labels(json.loads(w), n, json.loads(c))) for w, n, c in zip(*(b[x].to_pylist() for x in ("wrapper", "pages", "common")), strict=True)]
             yield pa.RecordBatch.from_arrays([b["host"], pa.array(told, pa.string())], [host, label])
 
     # hosts whose pages need no label are left out; the join is by the size of what is left
