@@ -120,43 +120,46 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
 
 def links(table: DataFrame, percent: int) -> DataFrame:
     """(u, v): links between keys; every link's ends are connected by these."""
-    nodes = table.where("tokens is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "places", "ranges")))
-    entry = F.struct("key", "n", F.col("z.places").alias("place"), "ranges", "tokens").alias("x")
-    shared = nodes.select("key", "n", "ranges", "tokens", F.explode(F.arrays_zip("tokens", "places")).alias("z")).select(F.col("z.tokens").alias("t"), entry)
+    nodes = settle(table.where("tokens is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "places", "ranges"))), "nodes")
+    shared = nodes.select("key", "n", F.explode(F.arrays_zip("tokens", "places")).alias("z")).select("key", "n", F.col("z.tokens").alias("t"), F.col("z.places").alias("place"))
     many = shared.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     shared = settle(shared.join(many.select("t"), "t"), "tokens")
     sets = table.where("whole is not null").select("key", "whole")
     found, comp = None, None
     for pivots in ROUNDS:
-        now = shared
+        now = shared.withColumn("g", F.col("key"))
         if comp is not None:
-            now = now.withColumn("key", F.col("x.key")).join(comp, F.col("key") == F.col("node"), "left").select("t", "x", F.coalesce("comp", "key").alias("g"))
+            now = shared.join(comp, F.col("key") == F.col("node"), "left").select("t", "key", "n", "place", F.coalesce("comp", "key").alias("g"))
             open_ = now.groupBy("t").agg((F.min("g") != F.max("g")).alias("open")).where("open").select("t")
-            now = settle(now.join(open_, "t"), "tokens")
+            now = now.join(open_, "t")
+            if not pivots:
+                now = now.join(nodes.select("key", "tokens"), "key")
+            now = settle(now, "tokens")
             if now.isEmpty():
                 break
-        else:
-            now = now.withColumn("g", F.col("x.key"))
-        left = now.select("t", F.col("x").alias("a"), F.col("g").alias("ga"))
+        left = now.select("t", F.struct(*(c for c in now.columns if c != "t")).alias("a"))
         if pivots:
-            slot = F.pmod(F.xxhash64("a.key"), F.lit(pivots))
-            left = left.groupBy("t", slot.alias("slot")).agg(F.min_by(F.struct("a", "ga"), F.xxhash64("t", "a.key")).alias("p")).select("t", "p.a", "p.ga")
-        right = now.select("t", F.col("x").alias("b"), F.col("g").alias("gb"))
-        n = F.col("a.n") + F.col("b.n")
-        need = F.ceil(n * percent / (100 + percent))
-        apart = F.aggregate(F.zip_with("a.ranges", "b.ranges", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
-        close = (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (apart <= n - 2 * need)
-        pairs = left.join(right, "t").where((F.col("ga") != F.col("gb")) & close)
+            # one order of keys for all n-grams, so that similar texts meet the same few pivots
+            order = F.xxhash64("a.key")
+            left = left.groupBy("t", F.pmod(order, F.lit(pivots)).alias("slot")).agg(F.min_by("a", F.struct(order, "a.key")).alias("a")).select("t", "a")
+        right = now.select("t", F.struct(*(c for c in now.columns if c != "t")).alias("b"))
+        close = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+        pairs = left.join(right, "t").where((F.col("a.g") != F.col("b.g")) & close)
         if not pivots:
             # each pair at its first common n-gram only, where the positional filter is at its best
-            rest = 1 + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) - 1
-            pairs = pairs.where((F.col("ga") < F.col("gb")) & (rest >= need) & (F.col("t") == F.get(F.array_intersect("a.tokens", "b.tokens"), F.lit(0))))
+            rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+            need = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
+            pairs = pairs.where((F.col("a.g") < F.col("b.g")) & (rest >= need) & (F.col("t") == F.get(F.array_intersect("a.tokens", "b.tokens"), F.lit(0))))
         first = F.col("a.key") < F.col("b.key")
         one, two = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
         pairs = pairs.select(one.alias("a"), two.alias("b")).groupBy(F.col("a.key").alias("u"), F.col("b.key").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv")).agg(F.min("a.place").alias("pu"), F.min("b.place").alias("pv"))
         # no n-gram before the first common one is common
         need = F.ceil((F.col("nu") + F.col("nv")) * percent / (100 + percent))
         pairs = settle(pairs.where(F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= need).select("u", "v", "nu", "nv"), "pairs")
+        ranges = nodes.select("key", "ranges")
+        apart = F.aggregate(F.zip_with("ru", "rv", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
+        near = pairs.join(ranges.select(F.col("key").alias("u"), F.col("ranges").alias("ru")), "u").join(ranges.select(F.col("key").alias("v"), F.col("ranges").alias("rv")), "v")
+        pairs = settle(near.where(apart <= F.col("nu") + F.col("nv") - 2 * need).select("u", "v", "nu", "nv"), "pairs")
         wanted = sets.join(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"])
         wanted = settle(wanted, "sets")
         checked = pairs.join(wanted.select(F.col("key").alias("u"), F.col("whole").alias("su")), "u").join(wanted.select(F.col("key").alias("v"), F.col("whole").alias("sv")), "v")
@@ -182,7 +185,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keep_one(docs: DataFrame, text_col: str = "text", k: int = 5, percent: int = 80, order_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, of each component only the one with the smallest ``order_col``; rows without a set stay."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    base = settle(docs.select(row, F.col(text_col).alias("t"), F.struct(F.col(order_col).isNull().alias("z"), F.col(order_col).alias("o"), F.monotonically_increasing_id().alias("n")).alias("place")), "rows")
-    ranked = linked_components(base.select("place", "t"), "place", "t", k, percent)
+    base = settle(docs.select(row, F.struct(F.col(order_col).isNull().alias("z"), F.col(order_col).alias("o"), F.monotonically_increasing_id().alias("n")).alias("place")), "rows")
+    ranked = linked_components(base.select("place", F.col(f"row.`{text_col}`").alias("t")), "place", "t", k, percent)
     stay = ranked.where("n_shingles = 0 or place = component_id").select(F.col("place.n").alias("n"))
-    return base.join(stay, F.col("place.n") == F.col("n"), "left_semi").select("row.*")
+    return base.join(stay.hint("merge"), F.col("place.n") == F.col("n"), "left_semi").select("row.*")
