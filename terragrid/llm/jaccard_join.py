@@ -41,6 +41,8 @@ ROUNDS = (1, 8, None)
 RANGES = 64
 #: bytes of text a task hashes in one go
 SLICE = 4 << 20
+#: log2 of the most bits that tell which sets to verify (32 MB)
+FILTER_BITS = 28
 #: counts from which an n-gram is shared, and frequent
 LEVELS = (2, 32)
 
@@ -118,8 +120,23 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     return settle(rows.mapInArrow(prefixes, f"id {kind}, n long, key binary, tokens array<long>, places array<int>, ranges array<smallint>, whole array<long>"), "shingles")
 
 
+def _maybe(sets: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The rows of ``sets`` with a key in ``keys`` and few others, so that the rest needn't be shuffled.
+
+    A bit for each hashed key, 16 bits a key up to ``FILTER_BITS``, is broadcast
+    in blocks; more keys than that make it let more rows through, none fewer.
+    """
+    cells = 1 << min(FILTER_BITS, max(15, (16 * n).bit_length()))
+    cell = F.pmod(F.xxhash64("key"), F.lit(cells))
+    block, bit = F.shiftright(cell, 15).alias("block"), cell.bitwiseAND(32767)
+    bits = keys.groupBy(block).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright("bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = sets.select("*", block, bit.alias("bit")).join(F.broadcast(bits), "block")
+    return known.where(F.getbit(byte, F.col("bit").bitwiseAND(7).cast("int")) == 1).select(*sets.columns)
+
+
 def links(table: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links between keys; every link's ends are connected by these."""
+    """(node, comp): of each key that links connect, and its component's smallest key."""
     nodes = settle(table.where("tokens is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "places", "ranges"))), "nodes")
     shared = nodes.select("key", "n", F.explode(F.arrays_zip("tokens", "places")).alias("z")).select("key", "n", F.col("z.tokens").alias("t"), F.col("z.places").alias("place"))
     many = shared.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
@@ -155,26 +172,26 @@ def links(table: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.select(one.alias("a"), two.alias("b")).groupBy(F.col("a.key").alias("u"), F.col("b.key").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv")).agg(F.min("a.place").alias("pu"), F.min("b.place").alias("pv"))
         # no n-gram before the first common one is common
         need = F.ceil((F.col("nu") + F.col("nv")) * percent / (100 + percent))
-        pairs = settle(pairs.where(F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= need).select("u", "v", "nu", "nv"), "pairs")
+        pairs = pairs.where(F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= need).select("u", "v", "nu", "nv")
         ranges = nodes.select("key", "ranges")
         apart = F.aggregate(F.zip_with("ru", "rv", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
         near = pairs.join(ranges.select(F.col("key").alias("u"), F.col("ranges").alias("ru")), "u").join(ranges.select(F.col("key").alias("v"), F.col("ranges").alias("rv")), "v")
         pairs = settle(near.where(apart <= F.col("nu") + F.col("nv") - 2 * need).select("u", "v", "nu", "nv"), "pairs")
-        wanted = sets.join(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"])
-        wanted = settle(wanted, "sets")
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+        wanted = settle(_maybe(sets, ends, 2 * pairs.count()).join(ends, "key", "left_semi").dropDuplicates(["key"]), "sets")
         checked = pairs.join(wanted.select(F.col("key").alias("u"), F.col("whole").alias("su")), "u").join(wanted.select(F.col("key").alias("v"), F.col("whole").alias("sv")), "v")
         common = F.size(F.array_intersect("su", "sv")).cast("long")
         got = settle(checked.withColumn("common", common).where(F.col("common") * 100 >= (F.col("nu") + F.col("nv") - F.col("common")) * percent).select("u", "v"), "links")
         found = got if found is None else found.unionByName(got)
         comp = components(found)
-    return found
+    return comp
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id) for each row: component_id is the smallest id reachable by links."""
     table = shingled(docs, id_col, text_col, k, percent)
     by_key = table.where("n > 0").groupBy("key").agg(F.min("id").alias("low"))
-    comp = components(links(table, percent))
+    comp = links(table, percent)
     named = by_key.join(comp, F.col("key") == F.col("node"), "left").select("key", "low", F.coalesce("comp", "key").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = settle(named.join(lowest, "comp").select("key", "component_id"), "members")
