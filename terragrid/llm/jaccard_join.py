@@ -150,7 +150,8 @@ def links(table: DataFrame, percent: int) -> DataFrame:
             open_ = now.groupBy("t").agg((F.min("g") != F.max("g")).alias("open")).where("open").select("t")
             now = now.join(open_, "t")
             if not pivots:
-                now = now.join(nodes.select("key", "tokens"), "key")
+                # of each n-gram's prefix, what comes before it
+                now = now.join(nodes.select("key", "tokens", F.col("places")[0].alias("low")), "key").withColumn("before", F.slice("tokens", F.lit(1), F.col("place") - F.col("low"))).drop("tokens", "low")
             now = settle(now, "tokens")
             if now.isEmpty():
                 break
@@ -166,7 +167,7 @@ def links(table: DataFrame, percent: int) -> DataFrame:
             # each pair at its first common n-gram only, where the positional filter is at its best
             rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
             need = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
-            pairs = pairs.where((F.col("a.g") < F.col("b.g")) & (rest >= need) & (F.col("t") == F.get(F.array_intersect("a.tokens", "b.tokens"), F.lit(0))))
+            pairs = pairs.where((F.col("a.g") < F.col("b.g")) & (rest >= need) & ~F.arrays_overlap("a.before", "b.before"))
         first = F.col("a.key") < F.col("b.key")
         one, two = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
         pairs = pairs.select(one.alias("a"), two.alias("b")).groupBy(F.col("a.key").alias("u"), F.col("b.key").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv")).agg(F.min("a.place").alias("pu"), F.min("b.place").alias("pv"))
@@ -177,8 +178,9 @@ def links(table: DataFrame, percent: int) -> DataFrame:
         apart = F.aggregate(F.zip_with("ru", "rv", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
         near = pairs.join(ranges.select(F.col("key").alias("u"), F.col("ranges").alias("ru")), "u").join(ranges.select(F.col("key").alias("v"), F.col("ranges").alias("rv")), "v")
         pairs = settle(near.where(apart <= F.col("nu") + F.col("nv") - 2 * need).select("u", "v", "nu", "nv"), "pairs")
+        # not a semi-join: the optimizer would move it ahead of the filter, and with it the shuffle
         ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-        wanted = settle(_maybe(sets, ends, 2 * pairs.count()).join(ends, "key", "left_semi").dropDuplicates(["key"]), "sets")
+        wanted = settle(_maybe(sets, ends, 2 * pairs.count()).join(ends, "key").dropDuplicates(["key"]), "sets")
         checked = pairs.join(wanted.select(F.col("key").alias("u"), F.col("whole").alias("su")), "u").join(wanted.select(F.col("key").alias("v"), F.col("whole").alias("sv")), "v")
         common = F.size(F.array_intersect("su", "sv")).cast("long")
         got = settle(checked.withColumn("common", common).where(F.col("common") * 100 >= (F.col("nu") + F.col("nv") - F.col("common")) * percent).select("u", "v"), "links")
