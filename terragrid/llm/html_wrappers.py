@@ -9,9 +9,9 @@ once), then over tasks; a wrapper stays as small as the host's template.
 
 Slots and constants are then labelled by the elements around them: chrome
 (navigation, headers, footers, asides, forms, adverts, notices, comments ...)
-or content.  If the wrapper has an article or main element, only what is inside
-is content; if not, texts that are the same on all pages of the host (three
-pages at least) are template and not content.
+or content.  If a page has an article or main element, only what is inside is
+its content; if not, all that isn't chrome is, without the texts that are the
+same on all pages of the host (three pages at least), which are template.
 
 Nulls: null html is empty and has empty text; a null URL is a host of its own.
 Rows with equal pages get equal texts.  Malformed or cut pages are read as far
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .runtime import fan, free_name, settle
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?([A-Za-z][A-Za-z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: self-closed svg and names with a hyphen are ordinary tags
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?!svg(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>)(script|style|noscript|template|textarea|select|svg|iframe|title)(?=[\s/>]|\Z).*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?([A-Za-z][A-Za-z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: elements that hold others and keep their place in the path of a text
 HOLDERS = frozenset("html body div section article main nav header footer aside form ul ol dl table tbody thead tfoot tr td th figure details dialog menu fieldset".split())
@@ -211,23 +212,21 @@ def is_chrome(path: tuple[str, ...]) -> bool:
 
 
 def labels(wrapper: list, pages: int, common: list[str]) -> dict:
-    """What of a host's pages is content: whether only articles are, and which texts are template.
+    """What of a host's pages isn't content: the texts that are template, for pages without an article or main element.
 
     common: the texts that every page has; a repeated group's slot can hide them from the wrapper.
     """
     slots = [(text, path) for text, path in paths(list(flat(wrapper))) if not is_chrome(path)]
-    framed = any(re.match(r"<(?:article|main)\b", step) for _, path in slots for step in path)
     varied = any(t is None or t not in set(common) for t, _ in slots)
-    return {"framed": framed, "fixed": sorted(common) if pages >= 3 and not framed and varied else []}
+    return {"fixed": sorted(common) if pages >= 3 and varied else []}
 
 
 def main_text(page: str, label: dict | None) -> str:
-    label = label or {"framed": False, "fixed": []}
     found = [(t, p) for t, p in paths(tokens(page)) if not is_chrome(p)]
     framed = [t for t, p in found if any(re.match(r"<(?:article|main)\b", s) for s in p)]
-    if framed or label["framed"]:
+    if framed:
         return " ".join(framed)
-    fixed = set(label["fixed"])
+    fixed = set(label["fixed"]) if label else ()
     return " ".join(t for t, _ in found if t not in fixed)
 
 
@@ -304,7 +303,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
             yield pa.RecordBatch.from_arrays([b["host"], pa.array(told, pa.string())], [host, label])
 
     # hosts whose pages need no label are left out; the join is by the size of what is left
-    told = wrappers.mapInArrow(label_all, f"{host} string, {label} string").where(F.col(label) != json.dumps({"framed": False, "fixed": []}))
+    told = wrappers.mapInArrow(label_all, f"{host} string, {label} string").where(F.col(label) != json.dumps({"fixed": []}))
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     rows = pages.withColumn(host, F.coalesce(F.lower(F.try_parse_url(F.col(url_col).cast("string"), F.lit("HOST"))), F.lit("")))
     rows = rows.select(*keep, F.col(html_col).cast("string").alias("__html"), host).join(settle(told, "labels"), host, "left").drop(host)

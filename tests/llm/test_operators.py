@@ -222,6 +222,12 @@ def test_html(spark):
     assert got == {1: "Title A bold& word. Second one", 2: "", 3: "", **{10 + i: f"text {i}" for i in range(4)}}
 
 
+def test_html_mixed_layouts(spark):
+    rows = [(1, "http://m.org/a", "<article>framed text</article>"), (2, "http://m.org/b", "<nav>menu</nav><div>plain <svg/>text</div>"), (3, None, "<main>own</main>"), (4, "http://[", "<div>no host</div>"), (5, "http://c.org/", "<div>a <select-box>b</select-box><svg width='1/>' /> c<nav-bar> d</nav-bar><svg><title>x</title></svg> e</div>")]
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "framed text", 2: "plain text", 3: "own", 4: "no host", 5: "a b c d e"}
+
+
 def test_html_wrapper_groups():
     nodes = html_wrappers._nodes("<ul><li>a</li><li>b</li><li>c</li></ul><p>x")
     assert ["+", ["<li", ["#", None], "</li"]] in nodes
