@@ -9,13 +9,17 @@ hash.  If two sets link, they share an n-gram among the first
 join nothing and are never sent.
 
 Documents with equal sets share a key and count as one node.  Nodes that share
-a prefix n-gram are candidates.  To keep a group of thousands of similar texts
-from making all its pairs, candidates are taken in rounds: first one pivot for
-each n-gram against all others that have it, later more pivots, in the end all
-pairs, but each time only pairs whose nodes aren't connected by links already
-found.  So no link is lost that would change a component, and each round
-applies length, positional and suffix filters before a pair, once, is verified
-on the whole sets.
+a prefix n-gram are candidates; length, positional and suffix filters apply
+before a pair, once, is verified on the whole sets.
+
+``linked`` verifies all candidates and counts each document's links; its pairs
+grow with the square of a group of similar texts, as the links do.  The sets
+are sent to tiles of pairs, so that a set is sent at most once a block of others.
+``linked_components`` and ``keep_one`` need the components only and take
+candidates in rounds: first one pivot for each n-gram against all others that
+have it, later more pivots, in the end all pairs, but each time only pairs whose
+nodes aren't connected by links already found.  So no link is lost that would
+change a component.
 
 Nulls: a null text has no set and links with nothing; a null id is ignored when
 a component's smallest id is taken (null if it has no other).  Rows with equal
@@ -35,10 +39,12 @@ from .runtime import fan, settle, text_bytes
 from .sketch import bits_for, sketch
 from .words import U64, Words, mix
 
-#: pivots of an n-gram in each round; None: all
+#: pivots of an n-gram in each round where only components are asked for; None: all
 ROUNDS = (1, 8, None)
 #: ranges of hash values that the suffix filter counts a set's n-grams in
 RANGES = 64
+#: bytes of sets in a tile of pairs to verify, about
+TILE = 16 << 20
 #: bytes of text a task hashes in one go
 SLICE = 4 << 20
 #: log2 of the most bits that tell which sets to verify (32 MB)
@@ -135,23 +141,61 @@ def _maybe(sets: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     return known.where(F.getbit(byte, F.col("bit").bitwiseAND(7).cast("int")) == 1).select(*sets.columns)
 
 
-def links(table: DataFrame, percent: int) -> DataFrame:
-    """(node, comp): of each key that links connect, and its component's smallest key."""
+def _tiled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the pairs that link.  Keys fall into blocks; a tile has the pairs of two blocks and their sets."""
+    n, size = pairs.agg(F.count("*"), F.sum(8 * (F.col("nu") + F.col("nv")))).first()
+    least = 2 * fan(pairs)
+    side = int(np.ceil(np.sqrt(max(least, (size or 0) / TILE))))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    tile = F.least(block("u"), block("v")) * side + F.greatest(block("u"), block("v"))
+    pairs = pairs.select("u", "v", "nu", "nv", tile.alias("tile"))
+    ends = settle(pairs.select("tile", F.explode(F.array("u", "v")).alias("key")).distinct(), "ends")
+    sent = _maybe(sets, ends.select("key").distinct(), 2 * n).join(ends, "key").dropDuplicates(["tile", "key"])
+
+    def verify(left, right):
+        at = {k: i for i, k in enumerate(right["key"].to_pylist())}
+        flat = [w.values.to_numpy(zero_copy_only=False).view(U64) for w in right["whole"]]
+        left = left.sort_by("u")
+        us, vs = left["u"].to_pylist(), left["v"].to_pylist()
+        both = np.asarray(left["nu"]) + np.asarray(left["nv"])
+        good = np.zeros(len(us), bool)
+        i = 0
+        while i < len(us):
+            j = i + 1
+            while j < len(us) and us[j] == us[i] and j < i + 4096:
+                j += 1
+            mine, others = flat[at[us[i]]], [flat[at[v]] for v in vs[i:j]]
+            every = np.concatenate(others)
+            hit = mine[np.searchsorted(mine, every).clip(max=len(mine) - 1)] == every
+            common = np.add.reduceat(hit, np.cumsum([0, *(len(o) for o in others[:-1])]), dtype=np.int64)
+            good[i:j] = common * 100 >= (both[i:j] - common) * percent
+            i = j
+        return left.select(["u", "v"]).filter(pa.array(good))
+
+    return pairs.groupBy("tile").cogroup(sent.select("tile", "key", "whole").groupBy("tile")).applyInArrow(verify, "u binary, v binary")
+
+
+def links(table: DataFrame, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(u, v) of links between keys, and (node, comp): of each key that links connect, its component's smallest key.
+
+    every: all links; if not, at least those that connect the components.
+    """
     nodes = settle(table.where("tokens is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "places", "ranges"))), "nodes")
     shared = nodes.select("key", "n", F.explode(F.arrays_zip("tokens", "places")).alias("z")).select("key", "n", F.col("z.tokens").alias("t"), F.col("z.places").alias("place"))
     many = shared.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     shared = settle(shared.join(many.select("t"), "t"), "tokens")
     sets = table.where("whole is not null").select("key", "whole")
     found, comp = None, None
-    for pivots in ROUNDS:
+    for pivots in (None,) if every else ROUNDS:
         now = shared.withColumn("g", F.col("key"))
         if comp is not None:
             now = shared.join(comp, F.col("key") == F.col("node"), "left").select("t", "key", "n", "place", F.coalesce("comp", "key").alias("g"))
             open_ = now.groupBy("t").agg((F.min("g") != F.max("g")).alias("open")).where("open").select("t")
             now = now.join(open_, "t")
-            if not pivots:
-                # of each n-gram's prefix, what comes before it
-                now = now.join(nodes.select("key", "tokens", F.col("places")[0].alias("low")), "key").withColumn("before", F.slice("tokens", F.lit(1), F.col("place") - F.col("low"))).drop("tokens", "low")
+        if not pivots:
+            # of each n-gram's prefix, what comes before it
+            now = now.join(nodes.select("key", "tokens", F.col("places")[0].alias("low")), "key").withColumn("before", F.slice("tokens", F.lit(1), F.col("place") - F.col("low"))).drop("tokens", "low")
+        if comp is not None:
             now = settle(now, "tokens")
             if now.isEmpty():
                 break
@@ -178,6 +222,9 @@ def links(table: DataFrame, percent: int) -> DataFrame:
         apart = F.aggregate(F.zip_with("ru", "rv", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
         near = pairs.join(ranges.select(F.col("key").alias("u"), F.col("ranges").alias("ru")), "u").join(ranges.select(F.col("key").alias("v"), F.col("ranges").alias("rv")), "v")
         pairs = settle(near.where(apart <= F.col("nu") + F.col("nv") - 2 * need).select("u", "v", "nu", "nv"), "pairs")
+        if every:
+            found = settle(_tiled(pairs, sets, percent), "links")
+            return found, components(found)
         # not a semi-join: the optimizer would move it ahead of the filter, and with it the shuffle
         ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
         wanted = settle(_maybe(sets, ends, 2 * pairs.count()).join(ends, "key").dropDuplicates(["key"]), "sets")
@@ -186,19 +233,39 @@ def links(table: DataFrame, percent: int) -> DataFrame:
         got = settle(checked.withColumn("common", common).where(F.col("common") * 100 >= (F.col("nu") + F.col("nv") - F.col("common")) * percent).select("u", "v"), "links")
         found = got if found is None else found.unionByName(got)
         comp = components(found)
-    return comp
+    return found, comp
+
+
+def _members(table: DataFrame, comp: DataFrame, links_of: DataFrame | None = None) -> DataFrame:
+    """(id, n, component_id) of each row, and n_links if ``links_of`` (node, others) is given."""
+    by_key = table.where("n > 0").groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
+    named = by_key.join(comp, F.col("key") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("comp", "key"))
+    more = []
+    if links_of is not None:
+        named = named.join(links_of, F.col("key") == F.col("node"), "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("others", F.lit(0)))
+        more = ["n_links"]
+    lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
+    named = settle(named.join(lowest, "comp").select("key", "component_id", *more), "members")
+    out = table.select("id", "n", "key").join(named, "key", "left")
+    return out.select("id", "n", F.coalesce("component_id", "id").alias("component_id"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in more))
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id) for each row: component_id is the smallest id reachable by links."""
     table = shingled(docs, id_col, text_col, k, percent)
-    by_key = table.where("n > 0").groupBy("key").agg(F.min("id").alias("low"))
-    comp = links(table, percent)
-    named = by_key.join(comp, F.col("key") == F.col("node"), "left").select("key", "low", F.coalesce("comp", "key").alias("comp"))
-    lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = settle(named.join(lowest, "comp").select("key", "component_id"), "members")
-    out = table.select("id", "n", "key").join(named, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = _members(table, links(table, percent)[1])
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``linked_components`` with n_links: the number of other rows that a row links with, those with an equal set included."""
+    table = shingled(docs, id_col, text_col, k, percent)
+    found, comp = links(table, percent, every=True)
+    rows = table.where("n > 0").groupBy("key").agg(F.count("*").alias("rows"))
+    both = found.select("u", "v").unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    links_of = both.join(rows, F.col("v") == F.col("key")).groupBy(F.col("u").alias("node")).agg(F.sum("rows").alias("others"))
+    out = _members(table, comp, links_of)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", k: int = 5, percent: int = 80, order_col: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_matches
 from .html_wrappers import extract
-from .jaccard_join import linked_components
+from .jaccard_join import linked
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .pii import pseudonymise
@@ -28,7 +28,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linked_components(docs, "doc_id", "text", 3, 90)
+    return linked(docs, "doc_id", "text", 3, 90)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

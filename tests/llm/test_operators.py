@@ -100,6 +100,20 @@ def test_jaccard_components(docs, k, percent):
     assert kept.count() == len({top(i) for i in range(len(rows)) if sets[i]}) + sum(not s for s in sets)
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 60), (3, 90)])
+def test_jaccard_links(spark, docs, k, percent):
+    rows = corpus()
+    sets = []
+    for _, t, _ in rows:
+        w = SPACED.findall(lower(t))
+        sets.append({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set())
+    link = lambda a, b: bool(a) and len(a & b) * 100 >= len(a | b) * percent
+    want = collections.Counter((r[0], sum(link(sets[i], s) for j, s in enumerate(sets) if j != i)) for i, r in enumerate(rows))
+    got = jaccard_join.linked(docs, "doc_id", "text", k, percent)
+    assert bag(got.select("doc_id", "n_links")) == want
+    assert bag(got.drop("n_links")) == bag(jaccard_join.linked_components(docs, "doc_id", "text", k, percent))
+
+
 def test_decontaminate(spark, docs):
     texts = [t for _, t, _ in corpus()]
     items = [("b", texts[8]), ("a", "ONE"), (None, " ".join(texts[-1].split()[5:30])), ("c", None), ("d", "...")]
