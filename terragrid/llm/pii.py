@@ -3,7 +3,11 @@
 Validated values (cards by the Luhn rule, bank accounts by modulo 97, social
 security numbers, telephone numbers, IPv4 addresses, dates of the calendar, and
 the local parts of e-mail addresses) are replaced by a keyed permutation within
-their format, with DataFrame functions only.  The permutation is a Feistel
+their format, with DataFrame functions only.  Kinds are taken one after the
+other, each guarded only against longer numbers of its own kind; what a kind
+takes is hidden from the later ones.  Bank accounts and cards are tried from the
+longest candidate to the shortest until the check digits fit, and what is left
+of a candidate is looked at again.  The permutation is a Feistel
 network: in each round the characters of one half move on within their class
 (0-9, a-z, A-Z; 2-9 where a number must not begin with 0 or 1) by a keyed hash
 of the other half, the type and the round.  Dates are numbers of days in a span
@@ -34,9 +38,31 @@ IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}"
 CARD = r"\d(?:[ -]?\d){12,18}"
-#: in order of preference; not inside words or longer numbers
-KINDS = (("email", EMAIL), ("iban", IBAN), ("iso_date", ISO_DATE), ("slash_date", SLASH_DATE), ("ipv4", IPV4), ("ssn", SSN), ("card", CARD), ("phone", PHONE))
-ANY = r"(?<![A-Za-z0-9])(?<!\d[.,/-])(?:" + "|".join(f"(?:{p})" for _, p in KINDS) + r")(?![A-Za-z0-9])(?![.,/-]\d)"
+#: solid lengths of IBANs by country; those of other countries are told by their check digits only
+IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV "
+    "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
+LISTED = rf"(?:{'|'.join(sorted(IBAN_LENGTHS))})\d{{2}}"
+
+
+def _iban_shapes():
+    for n in sorted(set(IBAN_LENGTHS.values())):
+        cs, q, r = "|".join(c for c, x in IBAN_LENGTHS.items() if x == n), *divmod(n - 4, 4)
+        yield rf"(?:{cs})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{q}}}" + (rf" ?[A-Z0-9]{{{r}}}" if r else "")
+    yield rf"(?!{LISTED})[A-Z]{{2}}\d{{2}}(?: ?(?!{LISTED})[A-Z0-9]{{4}}){{2,7}}(?: ?(?!{LISTED})[A-Z0-9]{{1,3}})?"
+
+
+def _alone(p: str, before: str = "", behind: str = "") -> str:
+    """``p`` not inside a word, nor in a longer value with the separators ``before`` and ``behind``."""
+    return "(?<![A-Za-z0-9])" + (rf"(?<!\d{before})" if before else "") + f"(?:{p})(?![A-Za-z0-9])" + (rf"(?!{behind}\d)" if behind else "")
+
+
+#: groups of digits, 13 digits at least, and what makes the last group part of something else
+CARD_RUN = r"(?<![A-Za-z0-9])(?<!\d\.)(?=\d(?:[ -]?\d){12})\d++(?:[ -]\d++)*+(?:[A-Za-z]|\.\d)?+"
+NUMBERS = "|".join((_alone(ISO_DATE, "-", "-"), _alone(SLASH_DATE, "[/.]", "[/.]"), _alone(IPV4, r"\.", r"\."), _alone(SSN, "-", "-")))
+#: marks of values that are taken: MARK and a character of the kind; ESCAPE stands for MARK itself
+MARK, ESCAPE = "", ""
 OUTPUTS = ("n_found", "safe_text")
 
 
@@ -205,16 +231,91 @@ def pseudonym(v: Column, key: str) -> Column:
     )
 
 
+def _taken(v: Column, new: Column, mark: str) -> Column:
+    """(t, values) of a candidate: t is the mark if its pseudonym differs, and the candidate if not."""
+    return let(new, lambda n: F.when(n != v, F.struct(F.lit(mark).alias("t"), F.array(n).alias("values"))).otherwise(F.struct(v.alias("t"), F.array().cast("array<string>").alias("values"))))
+
+
+def _none(v: Column) -> Column:
+    return F.struct(v.alias("t"), F.array().cast("array<string>").alias("values"))
+
+
+def _email_in(v: Column, key: str, mark: str) -> Column:
+    return _taken(v, F.concat(feistel_text(F.substring_index(v, "@", 1), key, "email"), F.lit("@"), F.substring_index(v, "@", -1)), mark)
+
+
+def _iban_in(v: Column, key: str, mark: str) -> Column:
+    """The longest run of whole groups from the first that has valid check digits."""
+    def body(g):
+        part = lambda k: F.array_join(F.slice(g, F.lit(1), k), "")
+        fits = lambda k: (F.length(part(k)) >= 12) & ((k == F.size(g)) | ~v.rlike(f"^{LISTED}")) & (mod97(F.concat(F.substring(part(k), F.lit(5), F.length(part(k))), F.substring(part(k), 1, 4))) == 1)
+        best = F.get(F.filter(F.sequence(F.size(g), F.lit(1), F.lit(-1)), fits), F.lit(0))
+
+        def cut(k):
+            old = F.array_join(F.slice(g, F.lit(1), k), " ")
+            return let(old, lambda o: F.struct(F.concat(F.lit(mark), F.substring(v, F.length(o) + 1, F.length(v))).alias("t"), F.array(_iban(o, key)).alias("values")))
+
+        return let(best, lambda k: F.when(k.isNull(), _none(v)).otherwise(cut(k)))
+
+    return let(F.split(v, " "), body)
+
+
+def _cards_in(v: Column, key: str, mark: str) -> Column:
+    """Cards in a run of groups of digits: from the first group on, the longest valid number of whole groups."""
+    def body(g):
+        def fits(i, e):
+            run = F.slice(g, i + 1, e - i)
+            text = F.array_join(run, "")
+            inner = F.concat(F.regexp_replace(F.get(g, i), "^[ -]", ""), F.array_join(F.slice(g, i + 2, e - i - 1), ""))
+            longer = inner.contains("-") & (F.get(g, i).startswith("-") | F.coalesce(F.get(g, e).startswith("-"), F.lit(False)))
+            return F.when(F.length(_digits(text)).between(13, 19) & ~text.rlike("[A-Za-z.]") & ~longer, luhn(_digits(text)) % 10 == 0).otherwise(False)
+
+        def step(s, i):
+            best = F.get(F.filter(F.sequence(F.least(i + 19, F.size(g)), i + 1, F.lit(-1)), lambda e: fits(i, e)), F.lit(0))
+
+            def put(e):
+                lead = F.regexp_extract(F.get(g, i), "^[ -]?", 0)
+                old = F.concat(F.regexp_replace(F.get(g, i), "^[ -]", ""), F.array_join(F.slice(g, i + 2, e - i - 1), ""))
+                return F.struct(e.alias("next"), F.concat(s["t"], lead, F.lit(mark)).alias("t"), F.concat(s["values"], F.array(_card(old, key))).alias("values"))
+
+            return F.when(i < s["next"], s).otherwise(let(best, lambda e: F.when(e.isNull(), F.struct((i + 1).alias("next"), F.concat(s["t"], F.get(g, i)).alias("t"), s["values"].alias("values"))).otherwise(put(e))))
+
+        start = F.struct(F.lit(0).alias("next"), F.lit("").alias("t"), F.array().cast("array<string>").alias("values"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step, lambda s: F.struct(s["t"].alias("t"), s["values"].alias("values")))
+
+    return let(F.regexp_extract_all(v, F.lit(r"[ -]?\d+(?:[A-Za-z]|\.\d)?"), F.lit(0)), body)
+
+
+#: in the order in which they take values
+STAGES = (
+    (_alone(EMAIL), "@", _email_in),
+    (_alone("|".join(f"(?:{p})" for p in _iban_shapes())), r"[A-Z]{2}\d{2}", _iban_in),
+    (NUMBERS, r"\d[-/.]\d", lambda v, key, mark: _taken(v, pseudonym(v, key), mark)),
+    (CARD_RUN, r"\d(?:[ -]?\d){12}", _cards_in),
+    (_alone(PHONE, "[.-]", "[.-]"), r"\d{2}", lambda v, key, mark: _taken(v, _phone(v, key), mark)),
+)
+
+
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "terragrid") -> DataFrame:
     """The rows of ``docs`` with safe_text and n_found (values replaced, long)."""
     text = F.col(text_col).cast("string")
     name = "__matches"
     while name in docs.columns:
         name += "_"
-    out = docs.withColumn("__old", F.when(text.rlike(r"[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    out = out.withColumn(name, let(F.col("__old"), lambda old: let(F.transform(old, lambda v: pseudonym(v, key)), lambda new: F.struct(
-        F.size(F.filter(old, lambda v, i: v != F.get(new, i))).cast("long").alias("n"),
-        F.when(F.size(old) > 0, let(F.split(text, ANY, -1), lambda rest: F.array_join(F.transform(rest, lambda x, i: F.concat(x, F.coalesce(F.get(new, i), F.lit("")))), ""))).alias("t"),
-    ))))
+    woven = lambda rest, between: F.array_join(F.transform(rest, lambda x, i: F.concat(x, F.coalesce(F.get(between, i), F.lit("")))), "")
+    out = docs.withColumn(name, F.struct(F.when(text.rlike(r"[0-9@]"), F.replace(text, F.lit(MARK), F.lit(ESCAPE))).alias("t")))
+    for n, (pattern, hint, found_in) in enumerate(STAGES):
+        mark = MARK + chr(0xE002 + n)
+        now = F.col(f"{name}.t")
+        hits = F.when(now.rlike(hint), F.transform(F.regexp_extract_all(now, F.lit(pattern), F.lit(0)), lambda v: found_in(v, key, mark)))  # noqa: B023
+        before = [F.col(f"{name}.v{i}").alias(f"v{i}") for i in range(n)]
+        hit = lambda h: F.struct(F.when(F.size(h) > 0, woven(F.split(now, pattern, -1), F.transform(h, lambda x: x["t"]))).otherwise(now).alias("t"), *before, F.when(F.size(h) > 0, F.flatten(F.transform(h, lambda x: x["values"]))).alias(f"v{n}"))  # noqa: B023, E731
+        out = out.withColumn(name, let(hits, hit))
+    safe, found = F.col(f"{name}.t"), F.lit(0)
+    for n in reversed(range(len(STAGES))):
+        values = F.col(f"{name}.v{n}")
+        safe = F.when(F.size(values) > 0, woven(F.split(safe, MARK + chr(0xE002 + n), -1), values)).otherwise(safe)
+        found = found + F.when(F.size(values) > 0, F.size(values)).otherwise(0)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in OUTPUTS]
-    return out.select(*kept, F.coalesce(F.col(f"{name}.n"), F.lit(0)).cast("long").alias("n_found"), F.coalesce(F.col(f"{name}.t"), text).alias("safe_text"))
+    safe = F.when(found > 0, F.replace(safe, F.lit(ESCAPE), F.lit(MARK)))
+    return out.select(*kept, found.cast("long").alias("n_found"), F.coalesce(safe, text).alias("safe_text"))

@@ -276,6 +276,16 @@ def test_pii(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_pii_next_to_numbers(spark):
+    rows = [(1, "4111111111111111,1999-12-31,123-45-6789"), (2, "10.0.0.1/24"), (3, "BE68 5390 0754 7034 BIC GKCCBEBB"), (4, "4111 1111 1111 1111 123"), (5, "1234 4111 1111 1111 1111 10.0.0.1"), (6, "0.4111111111111111 10.0.0.1.5 1.2.2024.5 41111111111111110 é1"), (7, "7,joe@x.org")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_found for i in range(1, 8)] == [3, 1, 1, 1, 2, 0, 1]
+    assert got[6].safe_text == rows[5][1]
+    assert re.fullmatch(r"\d{16},\d{4}-\d\d-\d\d,\d{3}-\d\d-\d{4}", got[1].safe_text) and got[2].safe_text.endswith("/24")
+    assert re.fullmatch(r"BE\d\d \d{4} \d{4} \d{4} BIC GKCCBEBB", got[3].safe_text) and re.fullmatch(r"(?:\d{4} ){4}123", got[4].safe_text)
+    assert all(v not in r.safe_text for r in got.values() for v in ("123-45-6789", "5390 0754 7034", "joe@") if r.doc_id != 6)
+
+
 def test_date_permutation_is_one_to_one(spark):
     days = spark.range(0, 146097, 37).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
     new = days.select(pii._date(F.col("d"), "k").alias("n")).agg(F.countDistinct("n").alias("n"), F.min("n").alias("a"), F.max("n").alias("b")).first()
