@@ -258,6 +258,13 @@ def test_line_dedup(spark):
     assert line_dedup.patience(list("abcde"), list("xbcye")) == [(1, 1), (2, 2), (4, 4)]
 
 
+def test_line_dedup_short_lines(spark):
+    verse = [f"one two{i} three" for i in range(15)]
+    rows = [(1, "\n".join(verse)), (2, "\n".join(["own words here", *verse, "other words there"])), (3, "\n".join(verse)), (4, "own words here\nlast one")]
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (15, 0), 2: (17, 15), 3: (15, 15), 4: (2, 0)}
+
+
 def test_pii(spark):
     def luhn(d):
         return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
