@@ -48,60 +48,63 @@ def _tokenizer(path: str):
 class Encoder:
     """Ids of many texts, each distinct piece encoded once by the tokenizer.
 
-    A byte-level BPE never joins bytes across its pre-tokens, and a single space
-    after an ASCII letter, comma or full stop and before an ASCII letter begins
-    a pre-token; texts are cut there.  The tokenizer's ids of a text are thus the
-    ids of its pieces in order, and so are those of any pieces with such bounds
-    laid end to end: new pieces are encoded together, and the ids are told apart
-    by the bytes they stand for.  Up to ``KNOWN`` pieces are remembered.
+    A byte-level BPE never joins bytes across its pre-tokens.  A single space or
+    line feed after a Latin letter, comma or full stop and before a Latin letter
+    begins a pre-token, which the space shares with the letters; so does such a
+    comma or full stop after a letter.  Texts are cut there, so the tokenizer's
+    ids of a text are the ids of its pieces in order.  A piece of Latin letters,
+    with a space before them or not, is one pre-token, which the tokenizer's
+    model encodes as it is; all others go through the whole tokenizer.  Up to
+    ``KNOWN`` pieces are remembered.
     """
 
-    KNOWN, JOINED = 3 << 19, 1 << 16
+    KNOWN = 3 << 19
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.tokenizer = _tokenizer(path)
-        vocabulary = self.tokenizer.get_vocab()
-        #: bytes of each id: the byte-level alphabet has a character for each byte
-        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.bytes[i] = len(token)
-        self.after = np.zeros(256, bool)
-        self.after[[*range(65, 91), *range(97, 123)]] = True
-        self.before = self.after.copy()
-        self.before[[44, 46]] = True
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # every piece is asked for once
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = np.array([b if b in printable else 256 + sum(x not in printable for x in range(b)) for b in range(256)], "<u2")
+        self.ascii = np.zeros(256, bool)
+        self.ascii[[*range(65, 91), *range(97, 123)]] = True
         self._forget()
 
     def _forget(self):
         self.hash, self.first, self.n, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, h, buf, start, end) -> None:
+    def _letters(self, buf: np.ndarray) -> np.ndarray:
+        """Bytes of ASCII letters and of the letters from U+00C0 to U+00FF."""
+        flag = self.ascii[buf]
+        if len(buf) > 1:
+            pair = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] < 0xC0) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+            flag[:-1] |= pair
+            flag[1:] |= pair
+        return flag
+
+    def _learn(self, h, buf, letters, start, end) -> None:
         """Encode pieces that aren't known; ``h`` is sorted."""
-        raw = buf.tobytes()
-        plain = (buf[start] == 0x20) & self.before[buf[end - 1]] & (end - start > 1) & self.after[buf[np.minimum(start + 1, len(buf) - 1)]]
+        plain = (letters[end] - letters[start] == end - start - (buf[start] == 0x20)) & (letters[end] > letters[start])
         ids, n = [], np.zeros(len(h), np.int64)
-        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
-        size = (end - start)[order]
-        total, k, at = np.cumsum(size), int(plain.sum()), 0
-        while at < k:
-            to = max(at + 1, int(np.searchsorted(total[:k], (total[at - 1] if at else 0) + self.JOINED, "right")))
-            text = b"".join(raw[start[i] : end[i]] for i in order[at:to])
-            got = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
-            ends = np.cumsum(self.bytes[got])
-            cut = np.searchsorted(ends, np.cumsum(size[at:to]))
-            if ends[-1] != len(text) or (ends[cut] != np.cumsum(size[at:to])).any():
-                raise ValueError("the tokenizer joins bytes across pieces")
-            ids.append(got)
-            n[order[at:to]] = np.diff(cut, prepend=-1)
-            at = to
-        for some in range(k, len(order), 1024):
-            part = order[some : some + 1024]
+        one = np.flatnonzero(plain)
+        spelt = self.alphabet[buf].tobytes().decode("utf-16-le")
+        tokenize = self.model.tokenize
+        for i, a, b in zip(one.tolist(), start[one].tolist(), end[one].tolist(), strict=True):
+            got = [t.id for t in tokenize(spelt[a:b])]
+            n[i] = len(got)
+            ids += got
+        raw, rest = buf.tobytes(), np.flatnonzero(~plain)
+        for some in range(0, len(rest), 1024):
+            part = rest[some : some + 1024]
             for i, e in zip(part, self.tokenizer.encode_batch([raw[start[i] : end[i]].decode() for i in part], add_special_tokens=False), strict=True):
-                ids.append(np.array(e.ids, np.uint32))
+                ids += e.ids
                 n[i] = len(e.ids)
+        order = np.concatenate((one, rest))
         first = np.zeros(len(h), np.int64)
         first[order] = np.cumsum(n[order]) - n[order] + len(self.ids)
-        self.ids = np.concatenate([self.ids, *ids])
+        self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
         to = np.searchsorted(self.hash, h)
         self.hash, self.first, self.n = (np.insert(old, to, new) for old, new in ((self.hash, h), (self.first, first), (self.n, n)))
 
@@ -111,8 +114,16 @@ class Encoder:
         ends = np.cumsum(size)
         if not len(buf):
             return [np.zeros(0, np.uint32) for _ in texts]
-        cut = np.flatnonzero((buf[1:-1] == 0x20) & self.before[buf[:-2]] & self.after[buf[2:]]) + 1
-        start = np.unique(np.concatenate((cut, (ends - size)[size > 0])))
+        letter = self._letters(buf)
+        stop, feed = (buf == 44) | (buf == 46), buf == 10
+        cuts = np.zeros(len(buf) + 1, bool)
+        if len(buf) > 2:
+            np.logical_and(((buf == 0x20) | feed)[1:-1] & letter[2:], (letter | stop)[:-2], out=cuts[1:-2])
+            cuts[1:-2] |= cuts[2:-1] & stop[1:-1] & letter[:-2]
+            cuts[2:-1] |= cuts[1:-2] & feed[1:-1]
+        cuts = cuts[:-1]
+        cuts[(ends - size)[size > 0]] = True
+        start = np.flatnonzero(cuts)
         end = np.append(start[1:], len(buf))
         h, one, inverse = np.unique(hash_spans(buf, start, end), return_index=True, return_inverse=True)
         if len(self.hash) > self.KNOWN:
@@ -122,7 +133,9 @@ class Encoder:
         inside = at < len(self.hash)
         new[inside] = self.hash[at[inside]] != h[inside]
         if new.any():
-            self._learn(h[new], buf, start[one[new]], end[one[new]])
+            letters = np.zeros(len(buf) + 1, np.int32)
+            np.cumsum(letter, out=letters[1:])
+            self._learn(h[new], buf, letters, start[one[new]], end[one[new]])
         at = np.searchsorted(self.hash, h)
         first, n = self.first[at][inverse], self.n[at][inverse]
         out = self.ids[spread(first, n)]
@@ -174,7 +187,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     # one row for each shard; the window holds as many rows as there are files
     base = totals.select("shard", (F.sum("total").over(W.orderBy("shard")) - F.col("total")).alias("base"))
-    return files.join(base, "shard").select("id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "tokens")
+    # a row for each file: broadcast, so that no tokens are shuffled
+    return files.join(F.broadcast(base), "shard").select("id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "tokens")
 
 
 def token_digests(table: DataFrame, id_col: str) -> DataFrame:
