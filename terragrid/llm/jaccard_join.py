@@ -2,24 +2,23 @@
 
 Two sets of word n-grams link when their Jaccard similarity reaches
 ``percent`` / 100.  A document's n-grams are put in one order for the whole
-corpus: n-grams that occur in one text only come first, then rare ones, then
-frequent ones (a count-min sketch says which, so its size is bounded), ties by
+corpus: rarest first by levels of their count in a count-min sketch, ties by
 hash.  If two sets link, they share an n-gram among the first
 ``n - ceil(percent * n / 100) + 1`` of each.  N-grams that are surely unique
 join nothing and are never sent.
 
 Documents with equal sets share a key and count as one node.  Nodes that share
 a prefix n-gram are candidates; length, positional and suffix filters apply
-before a pair, once, is verified on the whole sets.
+before a pair, once, is verified on the whole sets.  N-grams with up to ``HOT``
+nodes make pairs of nodes.  Nodes with an n-gram of more lie in blocks, by the
+most frequent n-gram of their prefix and by length; such n-grams make pairs of
+blocks, whose nodes are all compared inside one task.  So no n-gram makes more
+rows than ``HOT`` times its nodes or the pairs of its blocks, and no task holds
+more than some pairs and two blocks' sets.
 
-``linked`` verifies all candidates and counts each document's links; its pairs
-grow with the square of a group of similar texts, as the links do.  The sets
-are sent to tiles of pairs, so that a set is sent at most once a block of others.
-``linked_components`` and ``keep_one`` need the components only and take
-candidates in rounds: first one pivot for each n-gram against all others that
-have it, later more pivots, in the end all pairs, but each time only pairs whose
-nodes aren't connected by links already found.  So no link is lost that would
-change a component.
+A task returns, of each node that has links there, how many, and an edge to one
+of those it is connected with: rows grow with nodes, not with links.  All links
+are counted; the components are exact.
 
 Nulls: a null text has no set and links with nothing; a null id is ignored when
 a component's smallest id is taken (null if it has no other).  Rows with equal
@@ -30,27 +29,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import fan, settle, text_bytes
-from .sketch import bits_for, sketch
+from .runtime import discard, fan, free_name, settle, text_bytes
+from .sketch import Sketch, chunked, each_chunk, texts_of, with_levels
 from .words import U64, Words, mix
 
-#: pivots of an n-gram in each round where only components are asked for; None: all
-ROUNDS = (1, 8, None)
+#: nodes of an n-gram up to which it makes pairs of nodes
+HOT = 32
+#: nodes, and bytes of sets, in a block, about
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: ranges of hash values that the suffix filter counts a set's n-grams in
 RANGES = 64
 #: bytes of sets in a tile of pairs to verify, about
 TILE = 16 << 20
-#: bytes of text a task hashes in one go
-SLICE = 4 << 20
 #: log2 of the most bits that tell which sets to verify (32 MB)
 FILTER_BITS = 28
-#: counts from which an n-gram is shared, and frequent
-LEVELS = (2, 32)
+#: counts that part rare n-grams from frequent ones
+LEVELS = (2, 4, 16, 64)
 
 
 def _sets(texts: list[bytes], k: int):
@@ -58,8 +56,7 @@ def _sets(texts: list[bytes], k: int):
     w = Words(texts, lower=True)
     at, h = w.windows(k, whole=True)
     cut = np.searchsorted(at, w.first)
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        yield np.unique(h[a:b])
+    return [np.unique(h[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -67,63 +64,53 @@ def _key(s: np.ndarray) -> bytes:
         return mix(s, 5).sum(dtype=U64).tobytes() + np.bitwise_xor.reduce(mix(s, 9)).tobytes()
 
 
-def _texts(batch_iter, column: int):
-    """(batch, first row, texts) of slices of a batch, of about 4 MB each."""
-    for batch in batch_iter:
-        values = batch.column(column).cast(pa.binary())
-        size = np.nan_to_num(np.asarray(pc.binary_length(values).cast(pa.float64())))
-        done, run = 0, np.cumsum(size)
-        while done < len(values):
-            n = max(1, int(np.searchsorted(run, (run[done - 1] if done else 0) + SLICE, "right")) - done)
-            yield batch, done, [t or b"" for t in values.slice(done, n).to_pylist()]
-            done += n
-
-
 def shingled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """(id, n, key, tokens, places, ranges, whole): a row per document; the set of a text that may link."""
+    """(id, n, key, tokens, places, whole): a row per document; the set of a text that may link."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-
-    def hashes(batch_iter):
-        seen = set()
-        for _, _, texts in _texts(batch_iter, 1):
-            for s in _sets(texts, k):
-                if len(s) and (key := _key(s)) not in seen:
-                    seen.add(key)
-                    yield s
-
-    held = docs.sparkSession.sparkContext.broadcast(sketch(rows, hashes, bits_for(text_bytes(rows, "t") / 6), thresholds=LEVELS))
+    sketch = Sketch(text_bytes(rows, "t") / 6, LEVELS)
+    chunks = chunked(rows, "t", sketch)
+
+    def distinct(rows):
+        """The chunk's sets, and which of them no earlier one equals."""
+        sets = _sets(texts_of(rows, "t"), k)
+        keys = [_key(s) if len(s) else None for s in sets]
+        first, seen = np.zeros(len(sets), bool), set()
+        for i, key in enumerate(keys):
+            first[i] = key is not None and key not in seen
+            seen.add(key)
+        return sets, keys, first
+
+    def hashes(rows):
+        sets, _, first = distinct(rows)
+        return np.concatenate([s for s, f in zip(sets, first, strict=True) if f] or [np.zeros(0, U64)])
 
     def prefixes(batch_iter):
-        seen, counts = set(), held.value
-        for batch, done, texts in _texts(batch_iter, 1):
-            sets = list(_sets(texts, k))
-            size = np.array([len(s) for s in sets])
-            flat = np.concatenate(sets)
-            level = counts.reaches(flat, 0).astype(np.int8)
-            level[level > 0] += counts.reaches(flat[level > 0], 1)
-            keys, tokens, places, ranges, whole = [], [], [], [], []
-            end = np.cumsum(size)
-            for s, e in zip(sets, end, strict=True):
-                n, lv = len(s), level[e - len(s) : e]
-                keys.append(_key(s) if n else None)
+        for _, rows, told in each_chunk(batch_iter):
+            sets, keys, fresh = distinct(rows)
+            level = sketch.levels(np.concatenate([s for s, f in zip(sets, fresh, strict=True) if f] or [np.zeros(0, U64)]), told)
+            tokens, places, whole, end = [], [], [], 0
+            for s, new in zip(sets, fresh.tolist(), strict=True):
+                n = len(s)
+                lv, end = level[end : end + n * new], end + n * new
                 first = n - -(-percent * n // 100) + 1
                 alone = int((lv == 0).sum())
-                if not n or alone >= first or keys[-1] in seen:
-                    tokens.append(None), places.append(None), ranges.append(None), whole.append(None)
+                if not new or alone >= first:
+                    tokens.append(None), places.append(None), whole.append(None)
                     continue
-                seen.add(keys[-1])
                 order = np.argsort(lv, kind="stable")[alone:first]
                 tokens.append(s[order].view(np.int64))
                 places.append(np.arange(alone, first, dtype=np.int32))
-                ranges.append(np.bincount((s >> U64(58)).astype(np.int64), minlength=RANGES).clip(max=32767).astype(np.int16))
                 whole.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(done, len(sets)), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(ranges, pa.list_(pa.int16())), pa.array(whole, pa.list_(pa.int64()))],
-                ["id", "n", "key", "tokens", "places", "ranges", "whole"],
+                [rows["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(whole, pa.list_(pa.int64()))],
+                ["id", "n", "key", "tokens", "places", "whole"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return settle(rows.mapInArrow(prefixes, f"id {kind}, n long, key binary, tokens array<long>, places array<int>, ranges array<smallint>, whole array<long>"), "shingles")
+    made = with_levels(chunks, hashes, sketch).mapInArrow(prefixes, f"id {kind}, n long, key binary, tokens array<long>, places array<int>, whole array<long>")
+    table = settle(made, "shingles")
+    discard(chunks)
+    return table
 
 
 def _maybe(sets: DataFrame, keys: DataFrame, n: int) -> DataFrame:
@@ -141,99 +128,167 @@ def _maybe(sets: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     return known.where(F.getbit(byte, F.col("bit").bitwiseAND(7).cast("int")) == 1).select(*sets.columns)
 
 
-def _tiled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the pairs that link.  Keys fall into blocks; a tile has the pairs of two blocks and their sets."""
+class _Sets:
+    """The sets of a tile, end to end."""
+
+    def __init__(self, table: pa.Table):
+        self.key, self.rows = table["key"].to_pylist(), np.asarray(table["rows"])
+        lists = table["whole"].combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks)
+        self.offset = np.asarray(lists.offsets).astype(np.int64)
+        self.flat = np.asarray(lists.values).view(U64)
+        self.n = np.diff(self.offset)
+        owner = np.repeat(np.arange(len(self.n)), self.n)
+        inside = self.flat[self.offset[0] : self.offset[-1]]
+        self.ranges = np.bincount(owner * RANGES + (inside >> U64(58)).astype(np.int64), minlength=len(self.n) * RANGES).reshape(-1, RANGES).astype(np.int32)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.offset[i] : self.offset[i + 1]]
+
+
+def _need(a, b, percent: int):
+    """The least number of common n-grams with which sets of these sizes link."""
+    return -(-(a + b) * percent // (100 + percent))
+
+
+def _common_of_blocks(sets: _Sets, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each set of ``left`` with each of ``right``."""
+    def laid(some):
+        flat = np.concatenate([sets[i] for i in some])
+        return flat, np.repeat(np.arange(len(some)), sets.n[some])
+
+    a, owner_a = laid(left)
+    b, owner_b = laid(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for flat, owner in ((a, owner_a), (b, owner_b)):
+        column = np.searchsorted(both, flat).clip(max=max(0, len(both) - 1))
+        hit = both[column] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(column[hit], kind="stable")
+        sides.append((column[hit][order], owner[hit][order]))
+    for start in range(0, len(both), 4096):
+        width, dense = min(4096, len(both) - start), []
+        for (column, owner), n in zip(sides, out.shape, strict=True):
+            x, y = np.searchsorted(column, (start, start + width))
+            m = np.zeros((n, width), np.float32)
+            m[owner[x:y], column[x:y] - start] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _linked_in_tile(sets: _Sets, u: np.ndarray, v: np.ndarray):
+    """(node, node it is connected with, rows it links with) of the nodes that the links (u, v) join."""
+    up = list(range(len(sets.key)))
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        x, y = top(a), top(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    others = np.bincount(u, sets.rows[v], len(up)) + np.bincount(v, sets.rows[u], len(up))
+    some = np.flatnonzero(others).tolist()
+    return pa.table([pa.array([sets.key[i] for i in some], pa.binary()), pa.array([sets.key[top(i)] for i in some], pa.binary()), pa.array([int(others[i]) for i in some], pa.int64())], ["u", "v", "others"])
+
+
+def _verified(pairs: DataFrame, tiles: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v, others) of nodes with links: of ``pairs`` (u, v, nu, nv), and of all pairs of the blocks in ``tiles`` (a, b).
+
+    blocks: (key, block); sets: (key, rows, whole).
+    """
     n, size = pairs.agg(F.count("*"), F.sum(8 * (F.col("nu") + F.col("nv")))).first()
-    least = 2 * fan(pairs)
-    side = int(np.ceil(np.sqrt(max(least, (size or 0) / TILE))))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
-    tile = F.least(block("u"), block("v")) * side + F.greatest(block("u"), block("v"))
-    pairs = pairs.select("u", "v", "nu", "nv", tile.alias("tile"))
-    ends = settle(pairs.select("tile", F.explode(F.array("u", "v")).alias("key")).distinct(), "ends")
-    sent = _maybe(sets, ends.select("key").distinct(), 2 * n).join(ends, "key").dropDuplicates(["tile", "key"])
+    side = int(np.ceil(np.sqrt(max(2 * fan(pairs), (size or 0) / TILE))))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    tile = F.concat_ws("|", F.least(part("u"), part("v")), F.greatest(part("u"), part("v"))).alias("tile")
+    pairs = pairs.select("u", "v", tile)
+    single = pairs.select("tile", F.explode(F.array("u", "v")).alias("key"), F.lit(0).alias("side")).distinct()
+    ends = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(3).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("block"), F.lit(1).alias("side")), F.struct(F.col("b").alias("block"), F.lit(2).alias("side"))))
+    whole = tiles.select(F.concat_ws("|", *(F.col(f"{x}.{y}") for x in "ab" for y in ("top", "length", "part"))).alias("tile"), F.explode(ends).alias("e")).select("tile", "e.*").join(blocks, "block").select("tile", "key", "side")
+    ends = settle(single.unionByName(whole), "ends")
+    sent = _maybe(sets, ends.select("key").distinct(), max(1, 2 * n)).join(ends, "key")
 
     def verify(left, right):
-        at = {k: i for i, k in enumerate(right["key"].to_pylist())}
-        flat = [w.values.to_numpy(zero_copy_only=False).view(U64) for w in right["whole"]]
-        left = left.sort_by("u")
-        us, vs = left["u"].to_pylist(), left["v"].to_pylist()
-        both = np.asarray(left["nu"]) + np.asarray(left["nv"])
-        good = np.zeros(len(us), bool)
-        i = 0
-        while i < len(us):
-            j = i + 1
-            while j < len(us) and us[j] == us[i] and j < i + 4096:
-                j += 1
-            mine, others = flat[at[us[i]]], [flat[at[v]] for v in vs[i:j]]
+        held = _Sets(right)
+        side = np.asarray(right["side"])
+        if (side > 0).any():
+            a, b = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+            n, m = held.n[a][:, None], held.n[b][None, :]
+            common = _common_of_blocks(held, a, b)
+            good = (common * 100 >= (n + m - common) * percent) & (common > 0)
+            if (side == 3).all():
+                good = np.triu(good, 1)
+            x, y = np.nonzero(good)
+            return _linked_in_tile(held, a[x], b[y])
+        at = {k: i for i, k in enumerate(held.key)}
+        u = np.array([at[x] for x in left["u"].to_pylist()], np.int64)
+        v = np.array([at[x] for x in left["v"].to_pylist()], np.int64)
+        order = np.argsort(u, kind="stable")
+        u, v = u[order], v[order]
+        # suffix filter: what the sets have apart in each range of hashes can't be common
+        near = np.ones(len(u), bool)
+        for i in range(0, len(u), 8192):
+            x, y = u[i : i + 8192], v[i : i + 8192]
+            apart = np.abs(held.ranges[x] - held.ranges[y]).sum(axis=1)
+            near[i : i + 8192] = apart <= held.n[x] + held.n[y] - 2 * _need(held.n[x], held.n[y], percent)
+        u, v = u[near], v[near]
+        good, i = np.zeros(len(u), bool), 0
+        while i < len(u):
+            j = min(int(np.searchsorted(u, u[i], "right")), i + 4096)
+            mine, others = held[u[i]], [held[x] for x in v[i:j]]
             every = np.concatenate(others)
             hit = mine[np.searchsorted(mine, every).clip(max=len(mine) - 1)] == every
             common = np.add.reduceat(hit, np.cumsum([0, *(len(o) for o in others[:-1])]), dtype=np.int64)
-            good[i:j] = common * 100 >= (both[i:j] - common) * percent
+            good[i:j] = common * 100 >= (len(mine) + held.n[v[i:j]] - common) * percent
             i = j
-        return left.select(["u", "v"]).filter(pa.array(good))
-
-    return pairs.groupBy("tile").cogroup(sent.select("tile", "key", "whole").groupBy("tile")).applyInArrow(verify, "u binary, v binary")
-
-
-def links(table: DataFrame, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(u, v) of links between keys, and (node, comp): of each key that links connect, its component's smallest key.
-
-    every: all links; if not, at least those that connect the components.
-    """
-    nodes = settle(table.where("tokens is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "places", "ranges"))), "nodes")
-    shared = nodes.select("key", "n", F.explode(F.arrays_zip("tokens", "places")).alias("z")).select("key", "n", F.col("z.tokens").alias("t"), F.col("z.places").alias("place"))
-    many = shared.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    shared = settle(shared.join(many.select("t"), "t"), "tokens")
-    sets = table.where("whole is not null").select("key", "whole")
-    found, comp = None, None
-    for pivots in (None,) if every else ROUNDS:
-        now = shared.withColumn("g", F.col("key"))
-        if comp is not None:
-            now = shared.join(comp, F.col("key") == F.col("node"), "left").select("t", "key", "n", "place", F.coalesce("comp", "key").alias("g"))
-            open_ = now.groupBy("t").agg((F.min("g") != F.max("g")).alias("open")).where("open").select("t")
-            now = now.join(open_, "t")
-        if not pivots:
-            # of each n-gram's prefix, what comes before it
-            now = now.join(nodes.select("key", "tokens", F.col("places")[0].alias("low")), "key").withColumn("before", F.slice("tokens", F.lit(1), F.col("place") - F.col("low"))).drop("tokens", "low")
-        if comp is not None:
-            now = settle(now, "tokens")
-            if now.isEmpty():
-                break
-        left = now.select("t", F.struct(*(c for c in now.columns if c != "t")).alias("a"))
-        if pivots:
-            # one order of keys for all n-grams, so that similar texts meet the same few pivots
-            order = F.xxhash64("a.key")
-            left = left.groupBy("t", F.pmod(order, F.lit(pivots)).alias("slot")).agg(F.min_by("a", F.struct(order, "a.key")).alias("a")).select("t", "a")
-        right = now.select("t", F.struct(*(c for c in now.columns if c != "t")).alias("b"))
-        close = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-        pairs = left.join(right, "t").where((F.col("a.g") != F.col("b.g")) & close)
-        if not pivots:
-            # each pair at its first common n-gram only, where the positional filter is at its best
-            rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-            need = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
-            pairs = pairs.where((F.col("a.g") < F.col("b.g")) & (rest >= need) & ~F.arrays_overlap("a.before", "b.before"))
-        first = F.col("a.key") < F.col("b.key")
-        one, two = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
-        pairs = pairs.select(one.alias("a"), two.alias("b")).groupBy(F.col("a.key").alias("u"), F.col("b.key").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv")).agg(F.min("a.place").alias("pu"), F.min("b.place").alias("pv"))
-        # no n-gram before the first common one is common
-        need = F.ceil((F.col("nu") + F.col("nv")) * percent / (100 + percent))
-        pairs = pairs.where(F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= need).select("u", "v", "nu", "nv")
-        ranges = nodes.select("key", "ranges")
-        apart = F.aggregate(F.zip_with("ru", "rv", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
-        near = pairs.join(ranges.select(F.col("key").alias("u"), F.col("ranges").alias("ru")), "u").join(ranges.select(F.col("key").alias("v"), F.col("ranges").alias("rv")), "v")
-        pairs = settle(near.where(apart <= F.col("nu") + F.col("nv") - 2 * need).select("u", "v", "nu", "nv"), "pairs")
-        if every:
-            found = settle(_tiled(pairs, sets, percent), "links")
-            return found, components(found)
-        # not a semi-join: the optimizer would move it ahead of the filter, and with it the shuffle
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-        wanted = settle(_maybe(sets, ends, 2 * pairs.count()).join(ends, "key").dropDuplicates(["key"]), "sets")
-        checked = pairs.join(wanted.select(F.col("key").alias("u"), F.col("whole").alias("su")), "u").join(wanted.select(F.col("key").alias("v"), F.col("whole").alias("sv")), "v")
-        common = F.size(F.array_intersect("su", "sv")).cast("long")
-        got = settle(checked.withColumn("common", common).where(F.col("common") * 100 >= (F.col("nu") + F.col("nv") - F.col("common")) * percent).select("u", "v"), "links")
-        found = got if found is None else found.unionByName(got)
-        comp = components(found)
-    return found, comp
+        return _linked_in_tile(held, u[good], v[good])
+
+    return pairs.groupBy("tile").cogroup(sent.select("tile", "key", "side", "rows", "whole").groupBy("tile")).applyInArrow(verify, "u binary, v binary, others long")
+
+
+def links(table: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, comp): of each key that has links, its component's smallest key; and (node, others): the rows it links with."""
+    nodes = table.where("tokens is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "places")))
+    entries = nodes.select("key", "n", F.explode(F.arrays_zip("tokens", "places")).alias("z")).select("key", "n", F.col("z.tokens").alias("t"), F.col("z.places").alias("place"))
+    entries = settle(entries, "entries")
+    many = entries.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    shared = settle(entries.join(many, "t"), "tokens")
+    # blocks of the nodes with a hot n-gram: by the most frequent one, length and, at last, by hash
+    hot = shared.where(F.col("c") > HOT).select("key", "n", "t", "c")
+    length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
+    first = hot.groupBy("key").agg(F.max("n").alias("n"), F.max_by("t", F.struct("c", "t")).alias("top")).withColumn("length", length)
+    size = first.groupBy("top", "length").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).alias("parts"))
+    placed = first.join(size, ["top", "length"]).select("key", F.struct("top", "length", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part")).alias("block"))
+    blocks = settle(placed, "blocks")
+    spots = settle(hot.select("key", "t").join(blocks, "key").select("t", "block").distinct(), "spots")
+    one, two = F.col("x.block"), F.col("y.block")
+    # sets link only if their lengths' classes are the same or neighbours; one more for rounding
+    tiles = spots.alias("x").join(spots.alias("y"), "t").where((one <= two) & (F.abs(one["length"] - two["length"]) <= 2)).select(one.alias("a"), two.alias("b")).distinct()
+    tiles = settle(tiles, "tiles")
+    # pairs of the other n-grams, each once
+    cold = shared.where(F.col("c") <= HOT).join(blocks, "key", "left").select("t", F.struct("key", "n", "place", "block").alias("a"))
+    close = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
+    rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    pairs = cold.join(cold.select("t", F.col("a").alias("b")), "t").where((F.col("a.key") < F.col("b.key")) & close & (rest >= need))
+    pairs = pairs.groupBy(F.col("a.key").alias("u"), F.col("b.key").alias("v")).agg(*(F.first(c).alias(d) for c, d in (("a.n", "nu"), ("b.n", "nv"), ("a.block", "bu"), ("b.block", "bv"))))
+    # pairs of blocks that a tile compares are left to it
+    both = [F.least("bu", "bv").alias("a"), F.greatest("bu", "bv").alias("b")]
+    pairs = settle(pairs.select("u", "v", "nu", "nv", *(F.when(F.col("bu").isNotNull() & F.col("bv").isNotNull(), c).alias(d) for c, d in zip(both, ("a", "b"), strict=True))), "candidates")
+    pairs = pairs.join(tiles.withColumn("held", F.lit(True)), ["a", "b"], "left").where("held is null").select("u", "v", "nu", "nv")
+    sets = table.where("whole is not null").groupBy("key").agg(F.first("whole").alias("whole"))
+    rows = table.where("n > 0").groupBy("key").agg(F.count("*").alias("rows"))
+    wanted = blocks.select("key").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("key"))).distinct()
+    copies = wanted.join(rows, "key")
+    found = settle(_verified(pairs, tiles, blocks, _maybe(table.where("whole is not null").select("key", "whole"), wanted, max(1, 2 * wanted.count())).dropDuplicates(["key"]).join(copies, "key"), percent), "links")
+    discard(entries, shared, spots)
+    return components(found.select("u", "v")), found.groupBy(F.col("u").alias("node")).agg(F.sum("others").alias("others"))
 
 
 def _members(table: DataFrame, comp: DataFrame, links_of: DataFrame | None = None) -> DataFrame:
@@ -253,17 +308,14 @@ def _members(table: DataFrame, comp: DataFrame, links_of: DataFrame | None = Non
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id) for each row: component_id is the smallest id reachable by links."""
     table = shingled(docs, id_col, text_col, k, percent)
-    out = _members(table, links(table, percent)[1])
+    out = _members(table, links(table, percent)[0])
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``linked_components`` with n_links: the number of other rows that a row links with, those with an equal set included."""
     table = shingled(docs, id_col, text_col, k, percent)
-    found, comp = links(table, percent, every=True)
-    rows = table.where("n > 0").groupBy("key").agg(F.count("*").alias("rows"))
-    both = found.select("u", "v").unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    links_of = both.join(rows, F.col("v") == F.col("key")).groupBy(F.col("u").alias("node")).agg(F.sum("rows").alias("others"))
+    comp, links_of = links(table, percent)
     out = _members(table, comp, links_of)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
 

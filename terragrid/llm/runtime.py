@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("terragrid.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="terragrid-shared-")
         spark.conf.set("terragrid.shared.dir", named)
     return named.rstrip("/")
@@ -33,7 +35,17 @@ def settle(df: DataFrame, what: str = "table") -> DataFrame:
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._folder = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more: what was made of them is written itself."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(table._folder)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fan(df: DataFrame) -> int:

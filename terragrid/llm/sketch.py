@@ -1,112 +1,186 @@
-"""Count-min sketches of hashes, built per partition and merged.
-
-A sketch has ``rows`` rows of ``2**bits`` cells.  A partition sends the sorted
-cells it has filled, one byte each (gaps; 255 moves on by 255 without a cell);
-the merge adds them up, a range of cells per task, and keeps one bit a cell and
-threshold: whether its count has reached it.  Estimates are never too low, so
-nothing that occurs twice is ever estimated to occur once.
-
-The merged bits are broadcast: of the first threshold all rows, of others one
-row.  Their size is ``(rows + thresholds - 1) * 2**bits / 8`` bytes and ``bits`` has a fixed upper bound (``MAX_BITS``), however large the
-corpus: beyond it, estimates get coarser and the exact pass behind the sketch
-gets more to do, but results stay the same.
+"""Count-min sketches of hashes that stay spread over the cluster, however large the corpus.
+
+A sketch has ``rows`` rows of at least twice as many cells as there are hashes,
+so hashes that occur once are seldom taken for repeated ones, at any size.  Nobody
+holds it whole: it is cut into blocks of cells.  The documents are written as
+chunks of some megabytes.  A chunk sends to each block the cells that its hashes
+fall into, sorted, as gaps, with counts; the block adds up what all chunks sent
+and answers each chunk with a level for each of its cells, a bit for each
+threshold.  The answers join the chunk, which makes its hashes again and takes,
+for each, the least level of its rows.  Estimates are never too low: nothing that
+occurs twice is estimated to occur once.
+
+A chunk and a block exchange at most one message.  The number of blocks is fixed
+up to ``2**MAX_BLOCK`` cells in one; beyond that chunks grow with the corpus, so
+that messages grow with the hashes, not with their square.  A hash that occurs
+everywhere is one cell of each chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .runtime import fan
+from .runtime import settle
 from .words import U64, mix
 
-MIN_BITS, MAX_BITS, BLOCK_BITS = 16, 28, 18
-#: hashes a task gathers before it sends their cells
-FLUSH = 1 << 21
-
-
-def bits_for(items: float) -> int:
-    """Cells a row: the power of two at or above twice the number of items, within bounds."""
-    return int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(2.0, 2 * items))))))
-
-
-def encode(cells: np.ndarray) -> bytes:
-    """Sorted cells, repeats allowed, as gaps of one byte."""
-    gap = np.diff(cells, prepend=0)
-    skip = gap // 255
-    out = np.full(int(skip.sum()) + len(gap), 255, np.uint8)
-    out[np.cumsum(skip + 1) - 1] = gap % 255
-    return out.tobytes()
-
-
-def decode(data: bytes) -> np.ndarray:
-    gap = np.frombuffer(data, np.uint8)
-    return np.cumsum(gap, dtype=np.int64)[gap != 255]
-
-
-def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (mix(hashes, row + 1) >> U64(64 - bits)).astype(np.int64)
-
-
-def sketch(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterable[np.ndarray]], bits: int, rows: int = 2, thresholds: tuple[int, ...] = (2,)) -> "Sketch":
-    """Merged sketch of what ``hashes`` makes of each partition of ``df``."""
-    cap, size = max(thresholds), 1 << min(BLOCK_BITS, bits)
-
-    def send(held):
-        h = np.concatenate(held)
-        block, data = [], []
-        for r in range(rows):
-            c = np.sort(cells_of(h, r, bits))
-            new = np.flatnonzero(np.diff(c, prepend=-1))
-            again = np.arange(len(c)) - np.repeat(new, np.diff(np.append(new, len(c))))
-            c = c[again < cap]
-            cut = np.searchsorted(c, np.arange(0, (1 << bits) + 1, size))
-            for b in np.flatnonzero(np.diff(cut)):
-                block.append((r << (bits - size.bit_length() + 1)) + int(b))
-                data.append(encode(c[cut[b] : cut[b + 1]] - b * size))
-        return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
-
-    def fill(batches):
-        held, n = [], 0
-        for h in hashes(batches):
-            held.append(h)
-            n += len(h)
-            if n >= FLUSH:
-                yield send(held)
-                held, n = [], 0
-        if n:
-            yield send(held)
-
-    def merge(batches):
-        counts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, n = np.unique(decode(data), return_counts=True)
-                have = counts.setdefault(b, np.zeros(size, np.uint8))
-                have[at] = np.minimum(have[at].astype(np.int64) + n, cap)
-        for b, have in counts.items():
-            planes = [np.packbits(have >= t).tobytes() for t in (thresholds if b << BLOCK_BITS < 1 << bits else thresholds[:1])]
-            yield pa.RecordBatch.from_arrays([pa.array([b] * len(planes), pa.int32()), pa.array(range(len(planes)), pa.int32()), pa.array(planes, pa.binary())], ["block", "plane", "data"])
-
-    filled = df.mapInArrow(fill, "block int, data binary").repartition(max(fan(df), rows << max(0, bits - 24)), "block")
-    merged = filled.mapInArrow(merge, "block int, plane int, data binary")
-    table = [np.zeros((rows if t == thresholds[0] else 1) * max(1, (1 << bits) // 8), np.uint8) for t in thresholds]
-    for b, plane, data in merged.toLocalIterator():
-        table[plane][b * size // 8 : (b + 1) * size // 8] = np.frombuffer(data, np.uint8)
-    return Sketch(table, bits, rows)
+#: bytes of text in a chunk
+CHUNK, MAX_CHUNK = 4 << 20, 64 << 20
+#: log2 of the blocks of a row, and of the cells of a block
+BLOCKS, MIN_BLOCK, MAX_BLOCK = 10, 19, 27
+ROWS = 2
+#: counts are kept up to here
+MOST = 255
 
 
 class Sketch:
-    def __init__(self, table: list[np.ndarray], bits: int, rows: int):
-        self.table, self.bits, self.rows = table, bits, rows
-
-    def reaches(self, hashes: np.ndarray, plane: int = 0) -> np.ndarray:
-        """Whether each hash's estimated count is at least the plane's threshold."""
-        yes = np.ones(len(hashes), bool)
-        for r in range(self.rows if plane == 0 else 1):
-            c = cells_of(hashes, r, self.bits) + (r << self.bits)
-            yes &= (self.table[plane][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 != 0
-        return yes
+    """The measures of a sketch of so many hashes."""
+
+    def __init__(self, items: float, thresholds: tuple[int, ...] = (2,), rows: int = ROWS):
+        self.items, self.thresholds, self.rows = items, thresholds, rows
+        #: log2 of a row's cells: the power of two at or above twice the number of hashes
+        self.bits = int(max(MIN_BLOCK, np.ceil(np.log2(max(2.0, 2 * items)))))
+        #: cells of a block
+        self.size = 1 << min(max(self.bits - BLOCKS, MIN_BLOCK), MAX_BLOCK)
+        #: bytes of text in a chunk
+        self.chunk = int(min(MAX_CHUNK, max(CHUNK, CHUNK * 2.0 ** (self.bits - MAX_BLOCK - BLOCKS))))
+
+    def cells(self, hashes: np.ndarray, row: int) -> np.ndarray:
+        return (mix(hashes, row + 1) >> U64(64 - self.bits)).astype(np.int64)
+
+    def levels(self, hashes: np.ndarray, told: list | None) -> np.ndarray:
+        """Of each of a chunk's hashes, how many thresholds its estimated count reaches."""
+        n = len(self.thresholds)
+        out = np.full(len(hashes), n, np.int8)
+        answer = {m["block"]: np.frombuffer(m["levels"], np.uint8) for m in told or ()}
+        for r in range(self.rows):
+            cells, where = np.unique(self.cells(hashes, r), return_inverse=True)
+            block, level = cells // self.size, np.zeros(len(cells), np.int8)
+            cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(cells))
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                planes = answer[int(block[a]) + (r << 48)].reshape(n, -1)
+                level[a:b] = np.unpackbits(planes, axis=1, count=b - a).sum(axis=0)
+            out = np.minimum(out, level[where])
+        return out
+
+
+def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in 7-bit groups, lowest first, the last one without the high bit; and the end of each."""
+    n = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        n += values >= (1 << 7 * k)
+    ends = np.cumsum(n)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    at = ends - n
+    for k in range(int(n.max()) if len(n) else 0):
+        some = np.flatnonzero(n > k)
+        out[at[some] + k] = ((values[some] >> 7 * k) & 127) | ((n[some] > k + 1) << 7)
+    return out, ends
+
+
+def unpack(data: np.ndarray) -> np.ndarray:
+    if not len(data):
+        return np.zeros(0, np.int64)
+    ends = np.flatnonzero(data < 128)
+    start = np.append(0, ends[:-1] + 1)
+    place = np.arange(len(data)) - np.repeat(start, ends - start + 1)
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, start)
+
+
+def chunked(docs: DataFrame, text_col: str, sketch: Sketch) -> DataFrame:
+    """(chunk, data): the rows of ``docs`` in chunks of some megabytes of text, as Arrow streams; written once."""
+    size = sketch.chunk
+
+    def cut(batch_iter):
+        held, total, n, part = [], 0, 0, TaskContext.get().partitionId() << 32
+
+        def send():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in held:
+                    out.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([part + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "data"])
+
+        for batch in batch_iter:
+            bytes_ = np.nan_to_num(np.asarray(pc.binary_length(batch[text_col].cast(pa.binary())).cast(pa.float64()))) + 8
+            run, done = np.cumsum(bytes_), 0
+            while done < len(run):
+                before = run[done - 1] if done else 0
+                to = max(done + 1, int(np.searchsorted(run, before + size - total, "right")))
+                held.append(batch.slice(done, to - done))
+                total += run[to - 1] - before
+                done = to
+                if total >= size or done < len(run):
+                    yield send()
+                    held, total, n = [], 0, n + 1
+        if held:
+            yield send()
+
+    # partitions under a chunk are put together
+    least = max(1, int(np.ceil(sketch.items * 6 / size)))
+    return settle(docs.coalesce(least).mapInArrow(cut, "chunk long, data binary"), "chunks")
+
+
+def rows_of(data: bytes) -> pa.RecordBatch:
+    """The rows of a chunk."""
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
+
+
+def texts_of(rows: pa.RecordBatch, column: str) -> list[bytes]:
+    return [t or b"" for t in rows[column].cast(pa.binary()).to_pylist()]
+
+
+def with_levels(chunks: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], sketch: Sketch) -> DataFrame:
+    """``chunks`` with ``told``, from which ``Sketch.levels`` takes how many thresholds the count of each of a chunk's hashes reaches."""
+    size, thresholds = sketch.size, sketch.thresholds
+
+    def send(batch_iter):
+        for batch in batch_iter:
+            for chunk, data in zip(batch["chunk"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                h = hashes(rows_of(data))
+                for r in range(sketch.rows):
+                    cells, n = np.unique(sketch.cells(h, r), return_counts=True)
+                    block = cells // size
+                    cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(cells))
+                    if len(cut) < 2:
+                        continue
+                    gap = np.diff(cells, prepend=0)
+                    gap[cut[:-1]] = cells[cut[:-1]] % size
+                    many = n > 1
+                    values, ends = pack(gap * 2 + many)
+                    ends = np.append(0, ends)
+                    more, run = n[many].clip(max=MOST).astype(np.uint8), np.append(0, np.cumsum(many))
+                    message = [values[ends[a] : ends[b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                    counts = [more[run[a] : run[b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                    to = (block[cut[:-1]] + (r << 48)).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([chunk] * len(to), pa.int64()), pa.array(message, pa.binary()), pa.array(counts, pa.binary())], ["block", "chunk", "cells", "counts"])
+
+    def merge(table):
+        total, parts = np.zeros(size, np.uint16), []
+        for data, counts in zip(table["cells"].to_pylist(), table["counts"].to_pylist(), strict=True):
+            values = unpack(np.frombuffer(data, np.uint8))
+            cells, n = np.cumsum(values >> 1), np.ones(len(values), np.uint16)
+            n[values & 1 != 0] = np.frombuffer(counts, np.uint8)
+            total[cells] = np.minimum(total[cells] + n, MOST)
+            parts.append(cells.astype(np.uint32))
+        answer = [b"".join(np.packbits(total[c] >= t).tobytes() for t in thresholds) for c in parts]
+        return pa.table([table["chunk"], table["block"], pa.array(answer, pa.binary())], ["chunk", "block", "levels"])
+
+    sent = chunks.mapInArrow(send, "block long, chunk long, cells binary, counts binary")
+    answers = sent.groupBy("block").applyInArrow(merge, "chunk long, block long, levels binary")
+    told = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("block", "levels"))).alias("told"))
+    return chunks.join(told, "chunk", "left")
+
+
+def each_chunk(batch_iter: Iterator[pa.RecordBatch]):
+    """(chunk, rows, told) of each row of ``with_levels``."""
+    for batch in batch_iter:
+        for i in range(len(batch)):
+            yield batch["chunk"][i].as_py(), rows_of(batch["data"][i].as_py()), batch["told"][i].as_py()

@@ -1,8 +1,13 @@
 """Substring dedup: windows of k words that occur more than once are removed.
 
-A count-min sketch of all windows comes first; a second pass groups exactly,
-by hash, only those windows whose estimated count is two or more.  A window is
-repeated if its word sequence starts at any other place of any text.
+A count-min sketch of all windows comes first; a second pass groups exactly, by
+128 bits of hash, only those windows whose estimated count is two or more.  A
+window is repeated if its word sequence starts at any other place of any text.
+
+The documents are chunks of some megabytes from end to end: a chunk sends each
+different window it has once, by hash to a bucket, and gets back which are
+repeated.  Texts go with their chunk, never by content, so that copies stay as
+spread as they came.  A bucket has a window at most once for each chunk.
 
 Nulls: a null text has no words.  Rows with equal texts each keep their row;
 all their windows are repeated.  Texts under k words have no window.  An empty
@@ -12,209 +17,110 @@ the outputs (``n_words n_removed kept_text``) are replaced.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import fan, free_name, settle, text_bytes
-from .sketch import bits_for, sketch
-from .words import U64, Words, batches, spread
-
-#: stands for "all windows of the text"
-ALL = 0xFFFFFFFF
-#: candidate windows a task gathers before it sends them
-FLUSH = 1 << 21
-PACKED = T.StructType([T.StructField("part", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("keys", "counts", "pos", "hash", "known"))])
-
-
-def _new_texts(batch_iter, copies):
-    """Lists of texts that the task has not had; copies(key) is called for others."""
-    seen: set[bytes] = set()
-    for batch in batch_iter:
-        for part in batches(batch.column(0).cast(pa.binary()).to_pylist(), length=lambda t: len(t or b"")):
-            fresh = []
-            for t in part:
-                if t:
-                    key = hashlib.md5(t).digest()
-                    if key in seen:
-                        copies(key)
-                    else:
-                        seen.add(key)
-                        fresh.append((key, t))
-            if fresh:
-                yield fresh
-
-
-def _rows(schema_names, rows):
-    kinds = {"part": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(c, pa.binary())) for i, c in enumerate(schema_names)], schema_names)
-
-
-def _pack(part, keys, which, pos, hashes=None, known=None):
-    """One row for each part: the texts it has windows of, then the windows in order of text and place."""
-    if not len(part):
-        return []
-    order = np.lexsort((pos, which, part))
-    part, which, pos = part[order], which[order], pos[order]
-    hashes, known = (None if x is None else x[order] for x in (hashes, known))
-    cut = np.flatnonzero(np.diff(part, prepend=-1))
-    rows = []
-    for a, b in zip(cut, [*cut[1:], len(part)], strict=True):
-        w = which[a:b]
-        new = np.flatnonzero(np.diff(w, prepend=-1))
-        n = np.diff(np.append(new, b - a)).astype(np.uint32)
-        rows.append((int(part[a]), keys[w[new]].tobytes(), n.tobytes(), pos[a:b].astype(np.uint32).tobytes(), b"" if hashes is None else hashes[a:b].tobytes(), b"" if known is None else np.packbits(known[a:b]).tobytes()))
-    return rows
-
-
-def repeated_windows(docs: DataFrame, text_col: str = "text", k: int = 35) -> DataFrame:
-    """(key, pos): the MD5 of each text with repeated windows; their first words.
-
-    pos: little-endian uint32, sorted; a single 0xFFFFFFFF: every window.
-    """
-    texts = docs.select(F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") > 0)
-    words = text_bytes(texts, "t") / 6
-    parts = fan(docs)
-    buckets = 8 * parts
-
-    def hashes(batch_iter):
-        for fresh in _new_texts(batch_iter, lambda key: None):
-            yield Words([t for _, t in fresh]).windows(k)[1]
-
-    seen = docs.sparkSession.sparkContext.broadcast(sketch(texts, hashes, bits_for(words)))
+from .runtime import free_name, text_bytes
+from .sketch import Sketch, chunked, each_chunk, rows_of, texts_of, with_levels
+from .words import U64, Words
+
+#: bytes of text for each bucket of windows, and the fewest buckets
+BUCKET, BUCKETS = 32 << 20, 32
+OUTPUTS = ("n_words", "n_removed", "kept_text")
+
+
+def _equal(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of 128-bit values, and whether each, in that order, differs from the one before."""
+    order = np.argsort(h, kind="stable")
+    a, b = h[order], g[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((g, h))
+        a, b = h[order], g[order]
+        same = a[1:] == a[:-1]
+    return order, np.append(np.ones(min(1, len(h)), bool), ~(same & (b[1:] == b[:-1])))
+
+
+def repeated_windows(docs: DataFrame, text_col: str = "text", k: int = 35) -> tuple[DataFrame, DataFrame]:
+    """Chunks of ``docs`` (chunk, data), and (chunk, found): binary little-endian uint32, the chunk's words at which repeated windows begin."""
+    size = text_bytes(docs, text_col)
+    sketch, buckets = Sketch(size / 6), max(BUCKETS, -(-size // BUCKET))
+    chunks = chunked(docs, text_col, sketch)
+
+    def hashes(rows):
+        return Words(texts_of(rows, text_col)).windows(k)[1]
 
     def candidates(batch_iter):
-        keys, held, whole = [], [], set()
-        estimate = seen.value
-
-        def flush():
-            table = np.frombuffer(b"".join(keys), "S16") if keys else np.zeros(0, "S16")
-            rows = []
-            if held:
-                h, which, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-                order = np.argsort(h, kind="stable")
-                h, which, pos = h[order], which[order], pos[order]
-                first = np.diff(h, prepend=~h[:1]) != 0
-                twice = np.zeros(len(h), bool)
-                twice[:-1] = h[1:] == h[:-1]
-                rest = ~first
-                rows += _pack((h[first] % U64(buckets)).astype(np.int64), table, which[first], pos[first], h[first], twice[first])
-                if rest.any():
-                    to = np.frombuffer(table.tobytes(), "<u8")[::2][which[rest]] % U64(buckets)
-                    rows += _pack(to.astype(np.int64), table, which[rest], pos[rest])
-            for key in whole:
-                rows.append((int(np.frombuffer(key, "<u8")[0] % U64(buckets)), key, np.array([ALL], np.uint32).tobytes(), b"", b"", b""))
-            keys.clear(), held.clear(), whole.clear()
-            return _rows(PACKED.names, rows)
-
-        n = 0
-        for fresh in _new_texts(batch_iter, whole.add):
-            w = Words([t for _, t in fresh])
+        for chunk, rows, told in each_chunk(batch_iter):
+            w = Words(texts_of(rows, text_col))
             at, h = w.windows(k)
-            maybe = estimate.reaches(h)
+            maybe = sketch.levels(h, told) > 0
             at, h = at[maybe], h[maybe]
-            doc = w.doc[at]
-            held.append((h, (doc + len(keys)).astype(np.int32), (at - w.first[doc]).astype(np.uint32)))
-            keys.extend(key for key, _ in fresh)
-            n += len(h)
-            if n >= FLUSH or len(keys) >= FLUSH // 32:
-                yield flush()
-                n = 0
-        yield flush()
-
-    def unpack(batch_iter):
-        """(keys, text number, pos, hash or None, known or None, keys of whole texts) of a task's rows."""
-        keys, which, pos, h, known, plain, total, whole = [], [], [], [], [], [], 0, set()
-        for batch in batch_iter:
-            for _, k_, c, p, hh, kn in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                n = np.frombuffer(c, np.uint32)
-                if len(n) == 1 and n[0] == ALL:
-                    whole.add(k_)
-                    continue
-                keys.append(np.frombuffer(k_, "<u8").reshape(-1, 2))
-                which.append(np.repeat(np.arange(len(n)) + total, n))
-                pos.append(np.frombuffer(p, np.uint32))
-                h.append(np.frombuffer(hh, U64) if hh else np.zeros(len(pos[-1]), U64))
-                known.append(np.unpackbits(np.frombuffer(kn, np.uint8), count=len(pos[-1])).astype(bool) if hh else np.ones(len(pos[-1]), bool))
-                plain.append(np.full(len(pos[-1]), not hh))
-                total += len(n)
-        if not keys:
-            return None, whole
-        return [np.concatenate(x) for x in (keys, which, pos, h, known, plain)], whole
-
-    def decide(batch_iter):
-        got, whole = unpack(batch_iter)
-        rows = [(int(np.frombuffer(key, "<u8")[0] % U64(buckets)), key, np.array([ALL], np.uint32).tobytes(), b"", b"", b"") for key in whole]
-        if got:
-            keys, which, pos, h, known, plain = got
-            order = np.argsort(h, kind="stable")
-            hs, ks, ps = h[order], known[order], plain[order]
-            start = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
-            n = np.diff(np.append(start, len(hs)))
-            yes = (np.add.reduceat((~ps).astype(np.int64), start) >= 2) | (np.bitwise_or.reduceat(ks & ~ps, start))
-            keep = np.repeat(yes, n) | ps
-            sel = order[keep]
-            which, pos = which[sel], pos[sel]
-            if len(which):
-                table = np.ascontiguousarray(keys).view("S16").ravel()
-                rows += _pack((keys[which, 0] % U64(buckets)).astype(np.int64), table, which, pos)
-        yield _rows(PACKED.names, rows)
-
-    def gather(batch_iter):
-        got, whole = unpack(batch_iter)
-        out = [(key, np.array([ALL], np.uint32).tobytes()) for key in whole]
-        if got:
-            keys, which, pos, *_ = got
-            k1, k2 = keys[which, 0], keys[which, 1]
-            order = np.lexsort((pos, k2, k1))
-            k1, k2, pos = k1[order], k2[order], pos[order]
-            new_text = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
-            keep = new_text | np.append(True, pos[1:] != pos[:-1])
-            k1, k2, pos, new_text = k1[keep], k2[keep], pos[keep], new_text[keep]
-            start = np.flatnonzero(new_text)
-            for a, b in zip(start, [*start[1:], len(pos)], strict=True):
-                key = k1[a].tobytes() + k2[a].tobytes()
-                if key not in whole:
-                    out.append((key, pos[a:b].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], ["key", "pos"])
-
-    found = texts.mapInArrow(candidates, PACKED).repartition(parts, "part").mapInArrow(decide, PACKED)
-    return settle(found.repartition(parts, "part").mapInArrow(gather, "key binary, pos binary"), "windows")
+            if not len(at):
+                continue
+            g = w.second(at, k)
+            order, first = _equal(h, g)
+            at, h, g = at[order].astype(np.uint32), h[order], g[order]
+            twice = np.append(~first[1:], False)[first]
+            # what the chunk has again is repeated for sure
+            known = at[~first]
+            at, h, g = at[first], h[first], g[first]
+            bucket = (h % U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            at, h, g, twice, bucket = at[order], h[order], g[order], twice[order], bucket[order]
+            cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
+            spans = list(zip(cut[:-1], cut[1:], strict=True))
+            columns = [pa.array(bucket[cut[:-1]]), pa.array([chunk] * len(spans), pa.int64())]
+            columns += [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (h, g, at)]
+            columns += [pa.array([np.packbits(twice[a:b]).tobytes() for a, b in spans], pa.binary())]
+            columns += [pa.array([known.tobytes() if i == 0 else b"" for i in range(len(spans))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "h", "g", "at", "twice", "known"])
+
+    def decide(table):
+        whole = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
+        h, g, at = whole("h", U64), whole("g", U64), whole("at", np.uint32)
+        n = np.array([len(x) // 4 for x in table["at"].to_pylist()])
+        twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=c) for t, c in zip(table["twice"].to_pylist(), n.tolist(), strict=True)]) != 0
+        order, first = _equal(h, g)
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, len(h)))
+        yes = np.zeros(len(h), bool)
+        yes[order] = np.repeat((size > 1) | np.bitwise_or.reduceat(twice[order], start), size)
+        ends = np.cumsum(n)
+        found = [at[b - c : b][yes[b - c : b]].tobytes() + sure for b, c, sure in zip(ends.tolist(), n.tolist(), table["known"].to_pylist(), strict=True)]
+        return pa.table([table["chunk"], pa.array(found, pa.binary())], ["chunk", "found"])
+
+    told = with_levels(chunks, hashes, sketch)
+    sent = told.mapInArrow(candidates, "bucket long, chunk long, h binary, g binary, at binary, twice binary, known binary")
+    return chunks, sent.groupBy("bucket").applyInArrow(decide, "chunk long, found binary")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", k: int = 35) -> DataFrame:
     """The rows of ``docs`` with n_words, n_removed (long) and kept_text (kept words joined by one space)."""
-    found = repeated_windows(docs, text_col, k)
-    ours = ["n_words", "n_removed", "kept_text"]
-    key, pos, text = (free_name(docs, c) for c in ("__key", "__pos", "__text"))
-    docs = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    docs = docs.drop(*(c for c in docs.columns if c in ours)).withColumn(key, F.unhex(F.md5(F.col(text))))
-    joined = docs.join(found.withColumnsRenamed({"key": key, "pos": pos}), key, "left").drop(key)
-    kept = [f for f in joined.schema.fields if f.name not in (pos, text)]
+    text = free_name(docs, "__text")
+    kept = [f for f in docs.schema.fields if f.name not in OUTPUTS]
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    docs = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(text))
+    chunks, found = repeated_windows(docs, text, k)
+    found = found.groupBy("chunk").agg(F.collect_list("found").alias("found"))
 
     def strip(batch_iter):
         for batch in batch_iter:
-            n_words, n_removed, out = [], [], []
-            for t, p in zip(batch[text].cast(pa.binary()).to_pylist(), batch[pos].to_pylist(), strict=True):
-                words = t.split()
-                n = len(words)
-                if p:
-                    at = np.frombuffer(p, np.uint32).astype(np.int64)
-                    if at[0] == ALL:
-                        at = np.arange(max(0, n - k + 1))
-                    edge = np.zeros(n + 1, np.int64)
-                    edge[at] += 1
-                    np.add.at(edge, at + k, -1)
-                    keep = np.cumsum(edge[:n]) == 0
-                    words = [words[i] for i in np.flatnonzero(keep)]
-                n_words.append(n)
-                n_removed.append(n - len(words))
-                out.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in kept), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], schema.names)
-
-    return joined.mapInArrow(strip, schema)
+            for data, parts in zip(batch["data"], batch["found"].to_pylist(), strict=True):
+                rows = rows_of(data.as_py())
+                texts = [t.split() for t in texts_of(rows, text)]
+                n = np.array([len(t) for t in texts], np.int64)
+                first = np.cumsum(n) - n
+                edge = np.zeros(int(n.sum()) + 1, np.int64)
+                at = np.frombuffer(b"".join(parts or ()), np.uint32).astype(np.int64)
+                edge[at] += 1
+                np.add.at(edge, at + k, -1)
+                keep = np.cumsum(edge[:-1]) == 0
+                n_left = np.add.reduceat(np.append(keep, False), first, dtype=np.int64) * (n > 0) if len(n) else n
+                out = [b" ".join(t if c == len(t) else [t[i] for i in np.flatnonzero(keep[a : a + len(t)])]).decode() for t, a, c in zip(texts, first.tolist(), n_left.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(rows[f.name] for f in kept), pa.array(n), pa.array(n - n_left), pa.array(out, pa.string())], schema.names)
+
+    return chunks.join(found, "chunk", "left").select("data", "found").mapInArrow(strip, schema)

@@ -33,6 +33,9 @@ ALNUM = byte_class(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+#: tables for a second, independent hash
+_BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_BASE2, _WORD_BASE2 = 0xA24BAED4963EE407, 0x9FB21C651E98DF25
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -63,6 +66,7 @@ class _Powers:
 
 
 _BYTE_POWERS, _WORD_POWERS = _Powers(_BASE), _Powers(_WORD_BASE)
+_BYTE_POWERS2, _WORD_POWERS2 = _Powers(_BASE2), _Powers(_WORD_BASE2)
 
 
 class Words:
@@ -98,6 +102,17 @@ class Words:
             self._hash = hash_spans(self.buf, self.start, self.end)
         return self._hash
 
+    def second(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Another hash, from other words' hashes, of the windows of k words that begin at ``at``."""
+        if not len(at):
+            return np.zeros(0, U64)
+        h = hash_spans(self.buf, self.start, self.end, _BYTE2, _BYTE_POWERS2)
+        up, down = _WORD_POWERS2.get(len(h) + 1)
+        run = np.zeros(len(h) + 1, U64)
+        with np.errstate(over="ignore"):
+            np.cumsum(h * up[: len(h)], out=run[1:])
+            return mix((run[at + k] - run[at]) * down[at] + U64(k))
+
     def windows(self, k: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each window of k words inside one text.
 
@@ -117,7 +132,7 @@ class Words:
         return at, h
 
 
-def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = _BYTE, powers: _Powers = _BYTE_POWERS) -> np.ndarray:
     """A hash of each byte span; spans are in order and don't overlap."""
     out = np.empty(len(start), U64)
     i = 0
@@ -126,9 +141,9 @@ def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
             base = start[i]
             j = max(i + 1, int(np.searchsorted(end, base + SLICE, "right")))
             part = buf[base : end[j - 1]]
-            up, down = _BYTE_POWERS.get(len(part) + 1)
+            up, down = powers.get(len(part) + 1)
             run = np.zeros(len(part) + 1, U64)
-            np.cumsum(_BYTE[part] * up[: len(part)], out=run[1:])
+            np.cumsum(table[part] * up[: len(part)], out=run[1:])
             s, e = start[i:j] - base, end[i:j] - base
             out[i:j] = mix((run[e] - run[s]) * down[s] + (e - s).astype(U64))
             i = j

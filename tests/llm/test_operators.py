@@ -46,15 +46,36 @@ def bag(df):
     return collections.Counter(tuple(r) for r in df.collect())
 
 
-def test_sketch_never_low(spark):
+@pytest.mark.parametrize("limit", [None, 12])
+def test_sketch(spark, monkeypatch, limit):
+    """Levels are never too low, and few single hashes are taken for repeated ones, also where blocks are at their limit and chunks grow."""
     import numpy as np
 
-    h = words.mix(np.arange(3000, dtype=np.uint64))
-    s = sketch.sketch(spark.range(4).repartition(4), lambda it: [h[: 1000 if sum(len(b) for b in it) else 0]], 16)
-    assert s.reaches(h[:1000]).all()
-    assert s.reaches(h[1000:]).mean() < 0.1
-    gaps = np.sort(np.array([0, 0, 5, 255, 256, 100_000, 100_000]))
-    assert (sketch.decode(sketch.encode(gaps)) == gaps).all()
+    if limit:
+        monkeypatch.setattr(sketch, "MAX_BLOCK", limit)
+        monkeypatch.setattr(sketch, "MIN_BLOCK", 8)
+        monkeypatch.setattr(sketch, "BLOCKS", 3)
+    n, items = 40_000, 400_000
+    docs = spark.range(10 * n).select(F.concat_ws(" ", F.col("id"), F.lit("often"), F.pmod("id", F.lit(n)) + 10 * n).alias("t")).repartition(10)
+    held = sketch.Sketch(items, (2, 16))
+    held.chunk = 100_000
+    chunks = sketch.chunked(docs, "t", held)
+    sizes = [len(sketch.texts_of(sketch.rows_of(r.data), "t")) for r in chunks.collect()]
+    assert sum(sizes) == 10 * n and max(sizes) < 100_000
+    hashes = lambda rows: words.Words(sketch.texts_of(rows, "t")).hash
+
+    def look(batch_iter):
+        import pyarrow as pa
+
+        for _, rows, told in sketch.each_chunk(batch_iter):
+            level = held.levels(hashes(rows), told)
+            yield pa.RecordBatch.from_arrays([pa.array(level[i::3]) for i in range(3)], ["one", "often", "tenth"])
+
+    told = sketch.with_levels(chunks, hashes, held).mapInArrow(look, "one byte, often byte, tenth byte")
+    got = told.agg(F.avg((F.col("one") > 0).cast("int")).alias("let"), F.min("often").alias("often"), F.min("tenth").alias("tenth")).first()
+    assert got.let < 0.3 and got.often == 2 and got.tenth >= 1
+    values = np.array([0, 5, 127, 128, 1 << 20, 1 << 45])
+    assert (sketch.unpack(sketch.pack(values)[0]) == values).all()
 
 
 def test_substring_dedup(docs):
@@ -100,8 +121,10 @@ def test_jaccard_components(docs, k, percent):
     assert kept.count() == len({top(i) for i in range(len(rows)) if sets[i]}) + sum(not s for s in sets)
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 60), (3, 90)])
-def test_jaccard_links(spark, docs, k, percent):
+@pytest.mark.parametrize(("k", "percent", "hot"), [(3, 60, 32), (3, 90, 32), (3, 90, 2), (3, 60, 5)])
+def test_jaccard_links(spark, docs, monkeypatch, k, percent, hot):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4 * hot)
     rows = corpus()
     sets = []
     for _, t, _ in rows:
