@@ -27,14 +27,14 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/terragrid/{what}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, what: str = "table") -> DataFrame:
+def settle(df: DataFrame, what: str = "table", row_group: int = 128 << 20) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: what reads it survives the loss of any executor, and two
     readers see the same rows even if the input order is not repeatable.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._folder = path
     return table

@@ -1,10 +1,10 @@
 """Count-min sketches of hashes that stay spread over the cluster, however large the corpus.
 
-A sketch has ``rows`` rows of at least twice as many cells as there are hashes,
-so hashes that occur once are seldom taken for repeated ones, at any size.  Nobody
+A sketch has ``rows`` rows of at least four times as many cells as there are
+hashes, so hashes that occur once are seldom taken for repeated ones, at any size.  Nobody
 holds it whole: it is cut into blocks of cells.  The documents are written as
 chunks of some megabytes.  A chunk sends to each block the cells that its hashes
-fall into, sorted, as gaps, with counts; the block adds up what all chunks sent
+fall into, sorted, as gaps in a Rice code, with counts; the block adds up what all chunks sent
 and answers each chunk with a level for each of its cells, a bit for each
 threshold.  The answers join the chunk, which makes its hashes again and takes,
 for each, the least level of its rows.  Estimates are never too low: nothing that
@@ -33,7 +33,7 @@ from .words import U64, mix
 #: bytes of text in a chunk
 CHUNK, MAX_CHUNK = 4 << 20, 64 << 20
 #: log2 of the blocks of a row, and of the cells of a block
-BLOCKS, MIN_BLOCK, MAX_BLOCK = 10, 19, 27
+BLOCKS, MIN_BLOCK, MAX_BLOCK = 9, 20, 27
 ROWS = 2
 #: counts are kept up to here
 MOST = 255
@@ -44,8 +44,8 @@ class Sketch:
 
     def __init__(self, items: float, thresholds: tuple[int, ...] = (2,), rows: int = ROWS):
         self.items, self.thresholds, self.rows = items, thresholds, rows
-        #: log2 of a row's cells: the power of two at or above twice the number of hashes
-        self.bits = int(max(MIN_BLOCK, np.ceil(np.log2(max(2.0, 2 * items)))))
+        #: log2 of a row's cells: the power of two at or above four times the number of hashes
+        self.bits = int(max(MIN_BLOCK, np.ceil(np.log2(max(2.0, 4 * items)))))
         #: cells of a block
         self.size = 1 << min(max(self.bits - BLOCKS, MIN_BLOCK), MAX_BLOCK)
         #: bytes of text in a chunk
@@ -70,27 +70,23 @@ class Sketch:
         return out
 
 
-def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers in 7-bit groups, lowest first, the last one without the high bit; and the end of each."""
-    n = np.ones(len(values), np.int64)
-    for k in range(1, 10):
-        n += values >= (1 << 7 * k)
-    ends = np.cumsum(n)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    at = ends - n
-    for k in range(int(n.max()) if len(n) else 0):
-        some = np.flatnonzero(n > k)
-        out[at[some] + k] = ((values[some] >> 7 * k) & 127) | ((n[some] > k + 1) << 7)
-    return out, ends
+def pack(values: np.ndarray, low: int) -> bytes:
+    """Numbers as ``low`` bits each, end to end, and what is above in unary (Rice code)."""
+    high = values >> low
+    bits = np.zeros(len(values) * (low + 1) + int(high.sum()), np.uint8)
+    for k in range(low):
+        bits[k : len(values) * low : low] = (values >> k) & 1
+    bits[len(values) * low + np.cumsum(high + 1) - 1] = 1
+    return np.packbits(bits).tobytes()
 
 
-def unpack(data: np.ndarray) -> np.ndarray:
-    if not len(data):
-        return np.zeros(0, np.int64)
-    ends = np.flatnonzero(data < 128)
-    start = np.append(0, ends[:-1] + 1)
-    place = np.arange(len(data)) - np.repeat(start, ends - start + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, start)
+def unpack(data: bytes, low: int, n: int) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))
+    high = np.diff(np.flatnonzero(bits[n * low :])[:n], prepend=-1) - 1
+    values = high.astype(np.int64) << low
+    for k in range(low):
+        values |= bits[k : n * low : low].astype(np.int64) << k
+    return values
 
 
 def chunked(docs: DataFrame, text_col: str, sketch: Sketch) -> DataFrame:
@@ -124,7 +120,7 @@ def chunked(docs: DataFrame, text_col: str, sketch: Sketch) -> DataFrame:
 
     # partitions under a chunk are put together
     least = max(1, int(np.ceil(sketch.items * 6 / size)))
-    return settle(docs.coalesce(least).mapInArrow(cut, "chunk long, data binary"), "chunks")
+    return settle(docs.coalesce(least).mapInArrow(cut, "chunk long, data binary"), "chunks", 4 * size)
 
 
 def rows_of(data: bytes) -> pa.RecordBatch:
@@ -154,18 +150,18 @@ def with_levels(chunks: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray
                     gap = np.diff(cells, prepend=0)
                     gap[cut[:-1]] = cells[cut[:-1]] % size
                     many = n > 1
-                    values, ends = pack(gap * 2 + many)
-                    ends = np.append(0, ends)
+                    values = gap * 2 + many
                     more, run = n[many].clip(max=MOST).astype(np.uint8), np.append(0, np.cumsum(many))
-                    message = [values[ends[a] : ends[b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                    low = max(1, int(np.log2(sketch.size * len(cut) / len(cells))))
+                    message = [pack(values[a:b], low) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                     counts = [more[run[a] : run[b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                     to = (block[cut[:-1]] + (r << 48)).tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([chunk] * len(to), pa.int64()), pa.array(message, pa.binary()), pa.array(counts, pa.binary())], ["block", "chunk", "cells", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([chunk] * len(to), pa.int64()), pa.array([low] * len(to), pa.int32()), pa.array(np.diff(cut), pa.int32()), pa.array(message, pa.binary()), pa.array(counts, pa.binary())], ["block", "chunk", "low", "n", "cells", "counts"])
 
     def merge(table):
         total, parts = np.zeros(size, np.uint16), []
-        for data, counts in zip(table["cells"].to_pylist(), table["counts"].to_pylist(), strict=True):
-            values = unpack(np.frombuffer(data, np.uint8))
+        for low, n, data, counts in zip(*(table[c].to_pylist() for c in ("low", "n", "cells", "counts")), strict=True):
+            values = unpack(data, low, n)
             cells, n = np.cumsum(values >> 1), np.ones(len(values), np.uint16)
             n[values & 1 != 0] = np.frombuffer(counts, np.uint8)
             total[cells] = np.minimum(total[cells] + n, MOST)
@@ -173,7 +169,7 @@ def with_levels(chunks: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray
         answer = [b"".join(np.packbits(total[c] >= t).tobytes() for t in thresholds) for c in parts]
         return pa.table([table["chunk"], table["block"], pa.array(answer, pa.binary())], ["chunk", "block", "levels"])
 
-    sent = chunks.mapInArrow(send, "block long, chunk long, cells binary, counts binary")
+    sent = chunks.mapInArrow(send, "block long, chunk long, low int, n int, cells binary, counts binary")
     answers = sent.groupBy("block").applyInArrow(merge, "chunk long, block long, levels binary")
     told = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("block", "levels"))).alias("told"))
     return chunks.join(told, "chunk", "left")

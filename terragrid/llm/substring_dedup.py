@@ -100,10 +100,11 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", k: int = 35) -> tu
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", k: int = 35) -> DataFrame:
     """The rows of ``docs`` with n_words, n_removed (long) and kept_text (kept words joined by one space)."""
-    text = free_name(docs, "__text")
     kept = [f for f in docs.schema.fields if f.name not in OUTPUTS]
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    docs = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(text))
+    text = text_col if any(f.name == text_col and f.dataType == T.StringType() for f in kept) else free_name(docs, "__text")
+    columns = [F.col(f"`{f.name}`") for f in kept]
+    docs = docs.select(*columns, *([] if text == text_col else [F.col(f"`{text_col}`").cast("string").alias(text)]))
     chunks, found = repeated_windows(docs, text, k)
     found = found.groupBy("chunk").agg(F.collect_list("found").alias("found"))
 

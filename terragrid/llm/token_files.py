@@ -24,17 +24,21 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .runtime import fan, new_path
-from .words import U64, batches, hash_spans, spread
+from .words import U64, hash_spans, spread
 
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
+#: bytes of text encoded at a time
+PART = 2 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -54,17 +58,16 @@ class Encoder:
     comma or full stop after a letter.  Texts are cut there, so the tokenizer's
     ids of a text are the ids of its pieces in order.  A piece of Latin letters,
     with a space before them or not, is one pre-token, which the tokenizer's
-    model encodes as it is; all others go through the whole tokenizer.  Up to
-    ``KNOWN`` pieces are remembered.
+    model encodes as it is; some ``KNOWN`` of them are remembered.  All others go
+    through the whole tokenizer.
     """
 
-    KNOWN = 3 << 19
+    KNOWN = 1 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
-        self.model._resize_cache(0)  # every piece is asked for once
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.alphabet = np.array([b if b in printable else 256 + sum(x not in printable for x in range(b)) for b in range(256)], "<u2")
@@ -84,29 +87,27 @@ class Encoder:
             flag[1:] |= pair
         return flag
 
-    def _learn(self, h, buf, letters, start, end) -> None:
-        """Encode pieces that aren't known; ``h`` is sorted."""
+    def _encode(self, buf, letters, start, end):
+        """Numbers of ids and ids of some pieces, and which of them are plain."""
         plain = (letters[end] - letters[start] == end - start - (buf[start] == 0x20)) & (letters[end] > letters[start])
-        ids, n = [], np.zeros(len(h), np.int64)
-        one = np.flatnonzero(plain)
+        ids, n = array("I"), np.zeros(len(start), np.int64)
+        one, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
         spelt = self.alphabet[buf].tobytes().decode("utf-16-le")
         tokenize = self.model.tokenize
         for i, a, b in zip(one.tolist(), start[one].tolist(), end[one].tolist(), strict=True):
             got = [t.id for t in tokenize(spelt[a:b])]
             n[i] = len(got)
-            ids += got
-        raw, rest = buf.tobytes(), np.flatnonzero(~plain)
-        for some in range(0, len(rest), 1024):
-            part = rest[some : some + 1024]
+            ids.extend(got)
+        raw = buf.tobytes()
+        for some in range(0, len(rest), 256):
+            part = rest[some : some + 256]
             for i, e in zip(part, self.tokenizer.encode_batch([raw[start[i] : end[i]].decode() for i in part], add_special_tokens=False), strict=True):
-                ids += e.ids
+                ids.extend(e.ids)
                 n[i] = len(e.ids)
         order = np.concatenate((one, rest))
-        first = np.zeros(len(h), np.int64)
-        first[order] = np.cumsum(n[order]) - n[order] + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
-        to = np.searchsorted(self.hash, h)
-        self.hash, self.first, self.n = (np.insert(old, to, new) for old, new in ((self.hash, h), (self.first, first), (self.n, n)))
+        first = np.zeros(len(n), np.int64)
+        first[order] = np.cumsum(n[order]) - n[order]
+        return first, n, np.frombuffer(ids, np.uint32), plain
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         buf = np.frombuffer(b"".join(texts), np.uint8)
@@ -128,17 +129,23 @@ class Encoder:
         h, one, inverse = np.unique(hash_spans(buf, start, end), return_index=True, return_inverse=True)
         if len(self.hash) > self.KNOWN:
             self._forget()
-        at = np.searchsorted(self.hash, h)
-        new = np.ones(len(h), bool)
-        inside = at < len(self.hash)
-        new[inside] = self.hash[at[inside]] != h[inside]
+        at = np.searchsorted(self.hash, h).clip(max=max(0, len(self.hash) - 1))
+        new = self.hash[at] != h if len(self.hash) else np.ones(len(h), bool)
+        first, n, pool = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), self.ids
+        first[~new], n[~new] = self.first[at[~new]], self.n[at[~new]]
         if new.any():
             letters = np.zeros(len(buf) + 1, np.int32)
             np.cumsum(letter, out=letters[1:])
-            self._learn(h[new], buf, letters, start[one[new]], end[one[new]])
-        at = np.searchsorted(self.hash, h)
-        first, n = self.first[at][inverse], self.n[at][inverse]
-        out = self.ids[spread(first, n)]
+            f, m, ids, plain = self._encode(buf, letters, start[one[new]], end[one[new]])
+            first[new], n[new] = f + len(self.ids), m
+            pool = np.concatenate((self.ids, ids))
+            # plain pieces come first, so what is remembered of the ids is a run
+            some = np.flatnonzero(new)[plain]
+            to = np.searchsorted(self.hash, h[some])
+            self.hash, self.first, self.n = (np.insert(old, to, more[some]) for old, more in ((self.hash, h), (self.first, first), (self.n, n)))
+            self.ids = pool[: len(self.ids) + int(m[plain].sum())].copy()
+        first, n = first[inverse], n[inverse]
+        out = pool[spread(first, n)]
         run = np.append(0, np.cumsum(n))
         begin = run[np.searchsorted(start, ends - size)]
         return np.split(out, begin[1:])
@@ -164,8 +171,11 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def encode(batch_iter):
         encoder, row, start = encoder_for(vocabulary), 0, 0
         for batch in batch_iter:
-            done = 0
-            for part in batches(batch.column(2).cast(pa.binary()).to_pylist(), 2 << 20):
+            size = np.nan_to_num(np.asarray(pc.binary_length(batch.column(2).cast(pa.binary())).cast(pa.float64()))) + 1
+            run, done = np.cumsum(size), 0
+            while done < len(run):
+                to = max(done + 1, int(np.searchsorted(run, run[done] + PART, "right")))
+                part = batch.column(2).slice(done, to - done).cast(pa.binary()).to_pylist()
                 ids = [np.append(x, np.uint32(end_id)).astype(np.int32) for x in encoder(part)]
                 n = np.array([len(x) for x in ids], np.int64)
                 before = start + np.cumsum(n) - n
@@ -174,7 +184,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     [batch.column(0).slice(done, len(part)), pa.array(np.arange(row, row + len(part)), pa.int64()), batch.column(1).slice(done, len(part)), pa.array(n), pa.array(before, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))],
                     ["shard", "row", "id", "n_tokens", "start_in_shard", "tokens"],
                 )
-                row, start, done = row + len(part), start + int(n.sum()), done + len(part)
+                row, start, done = row + len(part), start + int(n.sum()), to
 
     tokens = rows.mapInArrow(encode, f"shard int, row long, id {kind}, n_tokens long, start_in_shard long, tokens array<int>")
     writer = tokens.write.option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "true")
