@@ -281,6 +281,14 @@ def test_line_dedup(spark):
     assert line_dedup.patience(list("abcde"), list("xbcye")) == [(1, 1), (2, 2), (4, 4)]
 
 
+def test_line_dedup_meets_all_holders(spark):
+    """Blocks that the first holder has in another order; equal documents of short lines; clashing names; blank lines."""
+    p, q = "the line that is called P here", "the line that is called Q here"
+    rows = [(1, f"{p}\n{q}", 1, "a"), (2, f"own first line of the second one\n{q}\n{p}", 2, "a"), (3, f"own first line of the third one\n\n{q}\n{p}", 3, "a")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, h long, `first doc` string")).collect()}
+    assert got[3].n_removed == 2 and got[3].kept_text == "own first line of the third one\n" and got[3].h == 3
+
+
 def test_line_dedup_short_lines(spark):
     verse = [f"one two{i} three" for i in range(15)]
     rows = [(1, "\n".join(verse)), (2, "\n".join(["own words here", *verse, "other words there"])), (3, "\n".join(verse)), (4, "own words here\nlast one")]
@@ -288,6 +296,30 @@ def test_line_dedup_short_lines(spark):
     assert got == {1: (15, 0), 2: (17, 15), 3: (15, 15), 4: (2, 0)}
 
 
+def test_line_dedup_recall(spark):
+    """Against alignment of all pairs; blank lines and documents that share reordered blocks."""
+    r = random.Random(5)
+    lines = [f"line {i} {'x' * (i % 5)} of a large stock with enough words" for i in range(60)] + [f"short {i}" for i in range(20)] + [""]
+    docs = []
+    for i in range(80):
+        text = [r.choice(lines) if r.random() < 0.4 else f"own line {i} {j} that nobody else has" for j in range(r.randrange(1, 25))]
+        if i % 7 == 3:
+            cut = r.randrange(len(docs[-1][1].split("\n")) + 1)
+            text = docs[-1][1].split("\n")[cut:] + docs[-1][1].split("\n")[:cut]
+        docs.append((i, "\n".join(text)))
+    full = {i: [x for x in t.split("\n") if x.strip()] for i, t in docs}
+    want = {i: set() for i, _ in docs}
+    for i, _ in docs:
+        for j in range(i):
+            want[i] |= set(line_dedup.common_blocks(full[j], full[i], [len(x.split()) for x in full[i]], 5))
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    gone, found = sum(len(w) for w in want.values()), sum(x.n_removed for x in got.values())
+    assert all(x.n_removed <= len(want[i]) for i, x in got.items())
+    assert 0.9 * gone <= found <= gone
+    assert all(x.kept_text.count("\n\n") <= t.count("\n\n") + x.n_removed and x.kept_text.split("\n").count("") >= t.split("\n").count("") for (i, t) in docs if (x := got[i]).n_removed < len(full[i]))
+    print(gone, found)
+
+
 def test_pii(spark):
     def luhn(d):
         return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
