@@ -1,13 +1,14 @@
 """Line-first quality rules, with DataFrame functions only.
 
 Every line with a word is judged by three kinds of rule: punctuation (over a
-fifth of its characters other than white space are symbols, or over a third of
-its words end in runs of exclamation or question marks), navigation (a
-separator for every three words, or a menu word alone) and boilerplate (stock
-phrases of notices).  Failing lines are removed; a document that loses more than
-``max_lost`` of its words is rejected, and so is one that fails the base rules
-(under ``min_words`` words, or over ``max_repeat`` percent of its words in
-8-word windows that it has twice).
+fifth of its characters other than white space are symbols, over a third of its
+words end in runs of exclamation or question marks, or it has ``SENTENCE`` words
+or more and no sentence ends in it), navigation (a separator for every three
+words, or a menu word alone) and boilerplate (stock phrases of notices), both in
+English, German, French and Spanish.  Failing lines are removed; a document that
+loses more than ``max_lost`` of its words is rejected, and so is one that fails
+the base rules (under ``min_words`` words, or over ``max_repeat`` percent of its
+words in 8-word windows that it has twice).
 
 Nulls: a null text has no words and is rejected by the base rules.  All rows
 are kept in ``measure``; rows with equal texts get equal verdicts.  An empty
@@ -20,16 +21,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import let
+from .runtime import free_name, let
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-SYMBOLS = r"[#*$%&|<>]"
-#: a menu word alone
-NAVIGATION = r"(?i)^\W*(?:home|menu|search|login|log in|sign in|sign up|register|next|previous|back|top|share|print|contact(?: us)?|about(?: us)?|sitemap|read more|skip to (?:main )?content)\W*$"
-SEPARATORS = r"[|>»•]"
-#: phrases of notices
-BOILERPLATE = r"(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|(?:uses?|accept|enable) cookies|enable javascript|javascript is (?:disabled|required)|subscribe to our newsletter|follow us on|click here to|powered by|page not found|advertisement)\b"
+BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = "#*$%&|<>"
+SEPARATORS = "|>»•"
+#: words from which a line must have the end of a sentence
+SENTENCE = 5
+ENDS = r"[.!?…。！？][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)"
+#: menu words, of a line alone
+MENU = (
+    ("home", "menu", "search", "login", "log in", "log out", "sign in", "sign up", "register", "next", "previous", "back", "back to top", "share", "print", "contact", "contact us", "about", "about us", "sitemap", "read more", "skip to content", "skip to main content"),
+    ("startseite", "menü", "suche", "anmelden", "abmelden", "registrieren", "weiter", "zurück", "nach oben", "teilen", "drucken", "kontakt", "über uns", "impressum", "datenschutz", "mehr lesen", "weiterlesen", "zum inhalt springen"),
+    ("accueil", "rechercher", "recherche", "connexion", "se connecter", "déconnexion", "s'inscrire", "suivant", "précédent", "retour", "haut de page", "partager", "imprimer", "nous contacter", "à propos", "plan du site", "lire la suite", "aller au contenu"),
+    ("inicio", "menú", "buscar", "iniciar sesión", "cerrar sesión", "registrarse", "siguiente", "anterior", "volver", "volver arriba", "compartir", "imprimir", "contacto", "acerca de", "mapa del sitio", "leer más", "saltar al contenido"),
+)
+#: phrases of notices; \\w* stands for endings
+NOTICES = (
+    (r"all rights reserved", r"terms of (?:use|service)", r"privacy policy", r"cookie policy", r"(?:uses?|accept|enable) cookies", r"(?:enable|requires) javascript", r"javascript is (?:disabled|required)", r"subscribe to our newsletter", r"follow us on", r"click here to", r"powered by", r"page not found", r"advertisement"),
+    (r"alle rechte vorbehalten", r"allgemeine geschäftsbedingungen", r"nutzungsbedingungen", r"datenschutzerklärung", r"(?:verwendet|akzeptieren|aktivieren) (?:sie )?cookies", r"javascript (?:ist deaktiviert|aktivieren)", r"newsletter abonnieren", r"folgen sie uns", r"klicken sie hier", r"seite nicht gefunden", r"anzeige"),
+    (r"tous droits réservés", r"conditions (?:générales|d'utilisation)", r"politique de confidentialité", r"(?:utilise|accepter|activer) (?:des |les )?cookies", r"(?:activer|activez) javascript", r"abonnez-vous à", r"suivez-nous", r"cliquez ici", r"page introuvable", r"publicité"),
+    (r"todos los derechos reservados", r"(?:términos|condiciones) de uso", r"política de (?:privacidad|cookies)", r"(?:usa|utiliza|aceptar) cookies", r"(?:activar|habilite) javascript", r"suscríb\w+ a nuestr\w+", r"síguenos en", r"haga clic aquí", r"página no encontrada", r"publicidad"),
+)
+NAVIGATION = r"^[^\p{L}\p{N}]*(?:" + "|".join(w for words in MENU for w in words) + r")[^\p{L}\p{N}]*$"
+BOILERPLATE = r"(?<![\p{L}\p{N}])(?:" + "|".join(p for phrases in NOTICES for p in phrases) + r")(?![\p{L}\p{N}])"
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_lines", "n_lost_words", "base_failed", "kept", "clean_text")
 
 
@@ -57,48 +74,53 @@ def _repeat_words(words: Column) -> Column:
     return let(words, counted).cast("long")
 
 
-def bad_line(line: Column) -> Column:
-    """Whether a line with words fails a rule."""
-    solid = F.length(F.regexp_replace(line, SPACE, ""))
-    words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    symbols = F.regexp_count(line, F.lit(SYMBOLS)) * 5 > solid
-    shouts = (words >= 3) & (F.regexp_count(line, F.lit(r"[!?]{2,}")) * 3 > words)
-    menu = F.regexp_count(line, F.lit(SEPARATORS)) * 3 >= words
-    return symbols | shouts | menu | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+def _count(text: Column, chars: str) -> Column:
+    """How many of ``chars`` the text has."""
+    return F.length(text) - F.length(F.translate(text, chars, ""))
+
+
+def bad_line(line: Column, words: Column) -> Column:
+    """Whether a line of so many words, one at least, fails a rule."""
+    solid = F.length(F.translate(line, BLANKS, ""))
+    symbols = _count(line, SYMBOLS) * 5 > solid
+    shouts = (words >= 3) & (_count(line, "!?") * 3 > words * 2) & (F.regexp_count(line, F.lit(r"[!?]{2,}")) * 3 > words)
+    menu = _count(line, SEPARATORS) * 3 >= words
+    endless = (words >= SENTENCE) & ~line.rlike(ENDS)
+    small = F.lower(line)
+    return symbols | menu | shouts | endless | ((words < 8) & small.rlike(NAVIGATION)) | small.rlike(BOILERPLATE)
 
 
 def measure(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_repeat: int = 30, max_lost: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with the counts, the verdict and the text without its failing lines."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
-    n = lambda words: F.size(words).cast("long")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
     def facts(t):
-        lines = F.split(t, "\n", -1)
-
-        def of_lines(all_lines):
-            full = F.filter(all_lines, has_word)
-            return let(full, lambda f: F.struct(
-                (F.size(f) - F.size(F.array_distinct(f))).cast("long").alias("dup"),
-                let(F.filter(f, bad_line), lambda b: F.struct(n(b).alias("lines"), n(_words(F.array_join(b, "\n"))).alias("words"))).alias("bad"),
-                F.array_join(F.filter(all_lines, lambda x: ~(has_word(x) & bad_line(x))), "\n").alias("clean"),
-            ))
+        # each line once: its words, and whether it fails
+        judged = F.transform(F.split(t, "\n", -1), lambda x: let(F.size(_words(x)), lambda n: F.struct(x.alias("x"), n.alias("n"), ((n > 0) & bad_line(x, n)).alias("bad"))))
+
+        def of_lines(lines):
+            bad = F.filter(lines, lambda z: z["bad"])
+            full = F.filter(lines, lambda z: z["n"] > 0)
+            return F.struct(
+                (F.size(full) - F.size(F.array_distinct(F.transform(full, lambda z: z["x"])))).cast("long").alias("dup"),
+                F.size(bad).cast("long").alias("lines"),
+                F.aggregate(bad, F.lit(0), lambda s, z: s + z["n"]).cast("long").alias("words"),
+                F.array_join(F.transform(F.filter(lines, lambda z: ~z["bad"]), lambda z: z["x"]), "\n").alias("clean"),
+            )
 
         return let(_words(t), lambda w: F.struct(
-            n(w).alias("n"),
-            F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("chars"),
-            F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("symbols"),
+            F.size(w).cast("long").alias("n"),
+            F.length(F.translate(t, BLANKS, "")).cast("long").alias("chars"),
+            _count(t, SYMBOLS).cast("long").alias("symbols"),
             _repeat_words(w).alias("repeat"),
-            let(lines, of_lines).alias("l"),
+            let(judged, of_lines).alias("l"),
         ))
 
-    name = "__facts"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "__facts")
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     out = docs.withColumn(name, let(text, facts)).drop(*(c for c in docs.columns if c in OUTPUTS))
     g = lambda c: F.col(f"{name}.{c}")
-    out = out.withColumns({"n_words": g("n"), "word_chars": g("chars"), "n_symbols": g("symbols"), "n_dup_lines": g("l.dup"), "n_repeat_words": g("repeat"), "n_bad_lines": g("l.bad.lines"), "n_lost_words": g("l.bad.words"), "clean_text": g("l.clean")})
+    out = out.withColumns({"n_words": g("n"), "word_chars": g("chars"), "n_symbols": g("symbols"), "n_dup_lines": g("l.dup"), "n_repeat_words": g("repeat"), "n_bad_lines": g("l.lines"), "n_lost_words": g("l.words"), "clean_text": g("l.clean")})
     return out.drop(name).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= F.col("n_words") * max_lost))
 
 

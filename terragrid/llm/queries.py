@@ -11,7 +11,7 @@ from .jaccard_join import linked
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .pii import pseudonymise
-from .quality_rules import measure
+from .quality_rules import BOILERPLATE, ENDS, NAVIGATION, SENTENCE, measure
 from .substring_dedup import remove_repeats
 from .token_files import through_files
 from .warc import through_archives
@@ -90,7 +90,60 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _quoted(pattern: str) -> str:
+    """A pattern as SQL text for an engine without lookaround."""
+    word = r"[\p{L}\p{N}]"
+    return "'" + pattern.replace("(?<!" + word + ")", r"(?:^|[^\p{L}\p{N}])").replace("(?!" + word + ")", r"(?:$|[^\p{L}\p{N}])").replace("'", "''") + "'"
+
+
+def _many(chars: str) -> str:
+    return f"(length(x) - length(translate(x, '{chars}', '')))"
+
+
 ORACLE_SQL = {
+    "op2_jaccard_join": rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') ws from documents),
+s as materialized (select distinct doc_id, unnest(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) g from w),
+n as materialized (select doc_id, count(*) n from s group by doc_id),
+c as (select a.doc_id u, b.doc_id v, count(*) c from s a join s b using (g) where a.doc_id <> b.doc_id group by all),
+l as materialized (select u, v from c join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 90 * (x.n + y.n - c)),
+r as (select doc_id u, doc_id v from w union select r.u, l.v from r join l on l.u = r.v),
+k as (select u, min(v) component_id from r group by u),
+d as (select u, count(*) n_links from l group by u)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, k.component_id, cast(coalesce(d.n_links, 0) as bigint) n_links
+from w left join n using (doc_id) left join k on k.u = w.doc_id left join d on d.u = w.doc_id""",
+    "op5_quality_rules": rf"""
+with w as (select doc_id, coalesce(text, '') t, {_WORDS} ws from documents),
+e as (select doc_id, len(ws) n, unnest(range(1, len(ws) + 1)) i, unnest(list_transform(range(1, len(ws) + 1), lambda i: array_to_string(ws[i:i + 7], ' '))) g from w),
+r as (select doc_id, i, count(*) over (partition by doc_id, g) c from e where i + 7 <= n),
+k as (select e.doc_id, e.i, max(coalesce(case when r.c > 1 then r.i end, -99)) over (partition by e.doc_id order by e.i) s from e left join r on r.doc_id = e.doc_id and r.i = e.i),
+p as (select doc_id, sum((i - s < 8)::int) n from k group by doc_id),
+b as (select doc_id, unnest(string_split(t, chr(10))) x from w),
+f as (select doc_id, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) n from b),
+j as (select doc_id, x, n, {_many("#*$%&|<>")} * 5 > length(translate(x, {_BLANKS}, '')) or {_many("|>»•")} * 3 >= n
+  or (n >= 3 and {_many("!?")} * 3 > n * 2 and len(regexp_extract_all(x, '[!?]{{2,}}')) * 3 > n)
+  or (n >= {SENTENCE} and not regexp_matches(x, {_quoted(ENDS)}))
+  or (n < 8 and regexp_matches(lower(x), {_quoted(NAVIGATION)})) or regexp_matches(lower(x), {_quoted(BOILERPLATE)}) bad from f where n > 0),
+l as (select doc_id, count(*) - count(distinct x) dup, count(*) filter (bad) bad, coalesce(sum(n) filter (bad), 0) lost from j group by doc_id),
+q as (select w.doc_id, cast(len(ws) as bigint) n_words, cast(length(array_to_string(ws, '')) as bigint) word_chars,
+  cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) n_symbols, cast(coalesce(dup, 0) as bigint) n_dup_lines, cast(coalesce(p.n, 0) as bigint) n_repeat_words,
+  cast(coalesce(bad, 0) as bigint) n_bad_lines, cast(coalesce(lost, 0) as bigint) n_lost_words from w left join p using (doc_id) left join l using (doc_id))
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 2 * n_lost_words <= n_words kept from q""",
+    "op7_decontaminate": rf"""
+with w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+b as (select coalesce(cast(item_id as varchar), '') item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark),
+i as materialized (select distinct item, least(10, len(ws)) k, unnest(list_transform(range(1, len(ws) - least(10, len(ws)) + 2), lambda j: array_to_string(ws[j:j + least(10, len(ws)) - 1], ' '))) g from b where len(ws) > 0),
+k as (select distinct k from i),
+d as (select doc_id, k, unnest(range(1, len(ws) - k + 2)) j, unnest(list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j + k - 1], ' '))) g from w cross join k where len(ws) >= k),
+m as materialized (select doc_id, j, d.k, item from d join i on i.g = d.g and i.k = d.k),
+h as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(j, j + k)) p from m) group by doc_id),
+t as (select doc_id, count(*) n, string_agg(item, ',' order by item) s from (select distinct doc_id, item from m) group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) n_words, cast(coalesce(h.n, 0) as bigint) n_hit, cast(coalesce(t.n, 0) as bigint) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(h.n, 0) > 0 contaminated
+from w left join h using (doc_id) left join t using (doc_id)""",
     "op3_warc": """
 with p as (select page_id, coalesce(html, '') h from pages),
 q as (select page_id, octet_length(encode(h)) b, sha1(h) d, max(page_id) over (partition by sha1(h)) m from p)

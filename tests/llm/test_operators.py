@@ -174,15 +174,34 @@ def test_suffix_array():
     assert [depth(i) for i in sa if rank[i]] == sorted(depth(i) for i in sa if rank[i])
 
 
-def test_quality_rules(spark):
+def test_quality_rules(spark, docs):
+    """All counts and verdicts against plain Python, line by line."""
     rows = [(1, None), (2, ""), (3, "\n".join(f"Line {i} has w{i} x{i} y{i} z{i} in it." for i in range(5))), (4, " ".join(["spam"] * 50)), (5, "\n".join(f"a{i} | b{i} | c{i} | d{i}" for i in range(9))), (6, "few words"), (7, "x y z\nx y z\n\nx y z")]
-    got = {r.doc_id: r for r in quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows += [(8, "Startseite\n Accueil \n» Leer más\nAlle Rechte vorbehalten.\nIn the anzeigen.\nPágina no encontrada!\n(SEARCH)"), (9, "A heading\n" + " ".join(f"Satz Nummer {i} ist da." for i in range(9)) + "\n\nno end of it in sight\nWow!! so!! loud!! this.\n\t#$% é\n$$ a b c d e f g h i j."), (10, "x\x0by\x0cz é\u00a0ü\u2003q " * 3 + "\n" + "same eight words in a row here twice " * 2)]
+    rows += [(100 + i, t) for i, (_, t, _) in enumerate(corpus())]
+    frame = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, __facts string, n_words int")
+    got = {r.doc_id: r for r in quality_rules.measure(frame).collect()}
     assert [got[i].kept for i in range(1, 8)] == [False, False, True, False, False, False, False]
     assert (got[4].n_repeat_words, got[7].n_dup_lines, got[5].n_bad_lines) == (50, 2, 9)
+    assert got[8].n_bad_lines == 6 and got[9].n_bad_lines == 3 and got[9].kept and got[9].clean_text.startswith("A heading\nSatz")
+    java = lambda p: re.compile(p.replace(r"\p{L}\p{N}", r"\w"))
     for i, t in rows:
-        w = SPACED.findall(t or "")
+        w, lines = SPACED.findall(t or ""), (t or "").split("\n")
         count = collections.Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
-        assert got[i].n_repeat_words == len({k for j in range(len(w) - 7) if count[tuple(w[j : j + 8])] > 1 for k in range(j, j + 8)})
+        repeat = len({k for j in range(len(w) - 7) if count[tuple(w[j : j + 8])] > 1 for k in range(j, j + 8)})
+        bad = []
+        for x in lines:
+            n, solid = len(SPACED.findall(x)), sum(map(len, SPACED.findall(x)))
+            shout = n >= 3 and sum(x.count(c) for c in "!?") * 3 > 2 * n and len(re.findall(r"[!?]{2,}", x)) * 3 > n
+            many = lambda chars: sum(x.count(c) for c in chars)  # noqa: B023, E731
+            bad.append(n > 0 and bool(many("#*$%&|<>") * 5 > solid or many("|>»•") * 3 >= n or shout or (n >= 5 and not re.search(quality_rules.ENDS, x)) or (n < 8 and java(quality_rules.NAVIGATION).search(x.lower())) or java(quality_rules.BOILERPLATE).search(x.lower())))
+        full = [x for x in lines if SPACED.search(x)]
+        lost = sum(len(SPACED.findall(x)) for x, b in zip(lines, bad, strict=True) if b)
+        failed = len(w) < 20 or 100 * repeat > 30 * len(w)
+        want = (len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(full) - len(set(full)), repeat, sum(bad), lost, failed, not failed and lost <= len(w) / 2, "\n".join(x for x, b in zip(lines, bad, strict=True) if not b))
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_bad_lines, r.n_lost_words, r.base_failed, r.kept, r.clean_text) == want, (i, t)
+    assert quality_rules.keep_good(frame).columns == frame.columns
 
 
 def test_token_files(docs):
