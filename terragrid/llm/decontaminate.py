@@ -5,20 +5,22 @@ Each task sorts the suffixes of its documents, shard after shard, by words
 searches every suffix of every benchmark item in the shard: one search per item
 word and depth, all suffixes at once, until no training suffix shares more
 words.  That gives the longest verbatim match of each test suffix in the shard
-and, where at least one whole window matches, all its places.
+and the run of the suffix array, hence the places, where it stands.  Equal runs
+are taken once, and places are marked run by run: the work grows with the words
+of the shard, whatever the number of equal item windows.
 
 A window is ``k`` consecutive words of an item; an item of fewer words, but not
 none, is one window.  Words are lower-cased (A-Z) runs of digits, ASCII letters
 and non-ASCII characters; they are compared by 64-bit hashes.
 
-The benchmark is read in blocks of ``BLOCK`` bytes, which bounds what a task
-holds of it; the blocks are searched one after the other in the same stage, so
-a large benchmark costs time in proportion, no shuffle and no memory.
+The benchmark is searched in blocks of ``BLOCK`` bytes of text, all of them in
+one pass over each shard's suffix array.  A task holds the whole benchmark as 16
+bytes a word: the broadcast grows with the benchmark, not with the documents.
 
 Nulls: a null text has no words, on either side; a null item id counts as the
 empty string.  Rows with equal texts get equal results.  Empty tables: an empty
 benchmark hits nothing; no documents give no rows.  Columns of the input that
-are named like an output (``n_words n_hit items matches``) are replaced.
+are named like an output (``n_words n_hit items spans longest``) are replaced.
 """
 
 from __future__ import annotations
@@ -29,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import ALNUM, U64, Words, batches, spread
+from .runtime import free_name
+from .words import ALNUM, Words, batches, spread
 
-#: bytes of benchmark text a task holds at a time
+#: bytes of benchmark text searched at a time
 BLOCK = 16 << 20
 #: bytes of training text in a shard's suffix array
 SHARD = 4 << 20
-MATCH = "array<struct<item_id:string,item_pos:int,doc_pos:int,length:int>>"
+OUTPUTS = ("n_words", "n_hit", "items", "spans", "longest")
 
 
 def suffix_array(rank: np.ndarray, depth: int) -> np.ndarray:
@@ -77,21 +80,24 @@ class Block:
 
     def __init__(self, ids: list[str], texts: list[bytes], k: int):
         w = Words(texts, ALNUM, lower=True)
-        self.ids, self.k, self.hash, self.item = ids, k, w.hash, w.doc
-        self.pos = np.arange(len(w)) - w.first[w.doc]
-        #: words from here to the item's end
-        self.left = w.first[w.doc + 1] - np.arange(len(w))
-        n = np.diff(w.first)[w.doc]
-        #: words of the window that starts here; 0: none does
-        self.need = np.where(self.left >= k, k, np.where((n < k) & (self.pos == 0), n, 0))
-        self.depth = int(n.max()) if len(n) else 0
+        self.ids, self.k, self.hash, self.item = ids, k, w.hash, w.doc.astype(np.int32)
+        self.first = w.first
+        self.depth = int(np.diff(w.first).max()) if len(w) else 0
 
+    def measures(self):
+        """Of each suffix, its words, and those of the window that begins it (0: none does)."""
+        pos = np.arange(len(self.hash)) - self.first[self.item]
+        left = self.first[self.item + 1] - np.arange(len(self.hash))
+        n = left + pos
+        return left, np.where(left >= self.k, self.k, np.where((n < self.k) & (pos == 0), n, 0))
 
-def search(block: Block, words: np.ndarray, rank: np.ndarray, values: np.ndarray, sa: np.ndarray):
-    """(suffix, place) of each window found; longest match of each suffix.
 
-    words: ``rank`` of the training words, 0 between texts; values: the hash of rank i + 1.
+def search(block: Block, rank: np.ndarray, values: np.ndarray, sa: np.ndarray):
+    """Longest match of each suffix; (suffix, first, end) in ``sa`` of the windows found; the same of the longest matches of these.
+
+    rank: of the training words, 0 between texts; values: the hash of rank i + 1.
     """
+    left, need = block.measures()
     q = np.searchsorted(values, block.hash)
     known = (q < len(values)) & (values[np.minimum(q, max(0, len(values) - 1))] == block.hash) if len(values) else np.zeros(len(q), bool)
     q = np.where(known, q + 1, -1)
@@ -100,9 +106,9 @@ def search(block: Block, words: np.ndarray, rank: np.ndarray, values: np.ndarray
     padded = np.append(rank, np.zeros(block.depth + 2, rank.dtype))
     lo, hi = np.zeros(m, np.int64), np.full(m, n, np.int64)
     live, longest = np.arange(m), np.zeros(m, np.int64)
-    found = []
+    found = [np.zeros((3, 0), np.int64)]
     for d in range(block.depth):
-        live = live[(block.left[live] > d) & (q[live + d] >= 0)]
+        live = live[(left[live] > d) & (q[live + d] >= 0)]
         if not len(live):
             break
         want, a, b = q[live + d], lo[live].copy(), hi[live].copy()
@@ -123,89 +129,98 @@ def search(block: Block, words: np.ndarray, rank: np.ndarray, values: np.ndarray
         live = live[ok]
         lo[live], hi[live] = ends[0][ok], ends[1][ok]
         longest[live] = d + 1
-        hit = live[block.need[live] == d + 1]
-        if len(hit):
-            size = hi[hit] - lo[hit]
-            found.append((np.repeat(hit, size), sa[spread(lo[hit], size)]))
-    which, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-    return which, place, longest
+        hit = live[need[live] == d + 1]
+        found.append(np.stack((hit, lo[hit], hi[hit])))
+    windows = np.concatenate(found, axis=1)
+    return longest, windows, np.stack((windows[0], lo[windows[0]], hi[windows[0]]))
 
 
-def matches_in(texts: list[bytes], block: Block) -> tuple[np.ndarray, list[list[tuple[str, int, int, int]]]]:
-    """Words of each text; its maximal verbatim matches (item id, item word, text word, words)."""
+def matches_in(texts: list[bytes], blocks: list[Block]):
+    """Of each text: its words, the hit spans (first word, words), the ids of items with windows in it, and the words of the longest match."""
     w = Words(texts, ALNUM, lower=True)
     n = np.diff(w.first)
-    out: list[list] = [[] for _ in texts]
-    if len(w) and len(block.hash):
+    spans: list[list] = [[] for _ in texts]
+    items: list[set] = [set() for _ in texts]
+    top = np.zeros(len(texts), np.int64)
+    depth = max((b.depth for b in blocks), default=0)
+    if len(w) and depth:
         values, inverse = np.unique(w.hash, return_inverse=True)
         rank = np.zeros(len(w) + len(texts), np.int64)
-        at = np.arange(len(w)) + w.doc
-        rank[at] = inverse + 1
-        sa = suffix_array(rank, block.depth)
-        which, place, _ = search(block, w.hash, rank, values, sa)
-        if len(which):
-            base = w.first[:-1] + np.arange(len(texts))
-            doc = np.searchsorted(base, place, "right") - 1
-            pos, item, start = place - base[doc], block.item[which], block.pos[which]
-            order = np.lexsort((start, pos - start, item, doc))
-            doc, item, start, pos, need = doc[order], item[order], start[order], pos[order], block.need[which][order]
-            cont = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (pos[1:] == pos[:-1] + 1) & (start[1:] == start[:-1] + 1)
-            head = np.flatnonzero(np.append(True, ~cont))
-            last = np.append(head[1:], len(doc)) - 1
-            for h, e in zip(head, last, strict=True):
-                out[doc[h]].append((block.ids[item[h]], int(start[h]), int(pos[h]), int(start[e] - start[h] + need[e])))
-    return n, out
+        rank[np.arange(len(w)) + w.doc] = inverse + 1
+        sa = suffix_array(rank, depth)
+        base = w.first[:-1] + np.arange(len(texts))
+        text_at = np.searchsorted(base, sa, "right") - 1
+        edge = np.zeros(len(rank) + 1, np.int64)
+        for block in blocks:
+            longest, windows, ends = search(block, rank, values, sa)
+            if not windows.shape[1]:
+                continue
+            _, need = block.measures()
+            # equal windows have one run of the suffix array
+            runs, which = np.unique(np.stack((windows[1], windows[2], need[windows[0]])), axis=1, return_inverse=True)
+            size = runs[1] - runs[0]
+            places = sa[spread(runs[0], size)]
+            edge += np.bincount(places, minlength=len(edge)) - np.bincount(places + np.repeat(runs[2], size), minlength=len(edge))
+            # texts of each run, items of each run
+            seen = np.unique(np.repeat(np.arange(len(size)), size) * len(texts) + text_at[spread(runs[0], size)])
+            of_run = np.unique(which.ravel() * len(block.ids) + block.item[windows[0]])
+            cut = np.searchsorted(of_run, np.arange(len(size) + 1) * len(block.ids))
+            for x in seen.tolist():
+                r, t = divmod(x, len(texts))
+                items[t].update(block.ids[i % len(block.ids)] for i in of_run[cut[r] : cut[r + 1]].tolist())
+            # runs of longer matches lie inside those of shorter ones: shortest first
+            best = np.zeros(len(sa), np.int64)
+            deep = np.unique(np.stack((longest[ends[0]], ends[1], ends[2])), axis=1)
+            for d, a, b in deep.T.tolist():
+                best[a:b] = d
+            np.maximum.at(top, text_at[best > 0], best[best > 0])
+        inside = np.append(np.cumsum(edge[:-1]) > 0, False)
+        first = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+        last = np.flatnonzero(~inside & np.append(False, inside[:-1]))
+        of = np.searchsorted(base, first, "right") - 1
+        for t, a, b in zip(of.tolist(), (first - base[of]).tolist(), (last - base[of]).tolist(), strict=True):
+            spans[t].append((a, b - a))
+    return n, spans, items, top
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", k: int = 10) -> DataFrame:
-    """The rows of ``docs`` with n_words, n_hit (long), items (sorted ids with windows in the text)
-    and matches (maximal verbatim matches of a window or more: item, its word, the text's word, words)."""
+    """The rows of ``docs`` with n_words, n_hit (long), items (sorted ids with windows in the text), spans (hit words:
+    first, number) and longest (words of the longest verbatim match that begins with a window, long)."""
     spark = docs.sparkSession
-    ours = ["n_words", "n_hit", "items", "matches"]
-    text = "__text"
-    while text in docs.columns:
-        text += "_"
-    rows = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = rows.drop(*ours).withColumns({"n_words": F.lit(0).cast("long"), "matches": F.expr(f"cast(array() as {MATCH})")})
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
-
-    def block_pass(rows, block):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batch_iter):
-            block = held.value
-            for batch in batch_iter:
-                texts = batch[text].cast(pa.binary()).to_pylist()
-                n_words, found = [], []
-                for part in batches(texts, SHARD):
-                    n, m = matches_in(part, block)
-                    n_words.extend(n.tolist())
-                    found.extend(m)
-                old = batch["matches"].to_pylist()
-                new = [[*o, *({"item_id": a, "item_pos": b, "doc_pos": c, "length": d} for a, b, c, d in m)] for o, m in zip(old, found, strict=True)]
-                cols = [pa.array(n_words, pa.int64()) if f.name == "n_words" else pa.array(new, batch["matches"].type) if f.name == "matches" else batch[f.name] for f in schema.fields]
-                yield pa.RecordBatch.from_arrays(cols, schema.names)
-
-        return rows.mapInArrow(run, schema)
-
-    ids, texts, size, any_block = [], [], 0, False
+    text = free_name(docs, "__text")
+    kept = [f for f in docs.schema.fields if f.name not in OUTPUTS]
+    rows = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text_col}`").cast("string").alias(text))
+    blocks, ids, texts, size = [], [], [], 0
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
     for i, t in items.toLocalIterator():
         ids.append(i)
         texts.append(t.encode())
         size += len(texts[-1])
         if size >= BLOCK:
-            rows, any_block, ids, texts, size = block_pass(rows, Block(ids, texts, k)), True, [], [], 0
-    if texts or not any_block:
-        rows = block_pass(rows, Block(ids, texts, k))
-    # spans of one text that touch or overlap count once: sort by start, add what lies past the furthest end so far
-    spans = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_pos"].alias("a"), (m["doc_pos"] + m["length"]).alias("b"))))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    covered = F.aggregate(spans, zero, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")), lambda s: s["n"].cast("long"))
-    return rows.drop(text).withColumns({"n_hit": covered, "items": F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))})
+            blocks.append(Block(ids, texts, k))
+            ids, texts, size = [], [], 0
+    if texts:
+        blocks.append(Block(ids, texts, k))
+    held = spark.sparkContext.broadcast(blocks)
+    span = pa.list_(pa.struct([("doc_pos", pa.int32()), ("length", pa.int32())]))
+
+    def run(batch_iter):
+        for batch in batch_iter:
+            texts = [t or b"" for t in batch[text].cast(pa.binary()).to_pylist()]
+            done = 0
+            for part in batches(texts, SHARD):
+                n, spans, found, top = matches_in(part, held.value)
+                columns = [batch[f.name].slice(done, len(part)) for f in kept]
+                columns += [pa.array(n, pa.int64()), pa.array([sum(m for _, m in s) for s in spans], pa.int64()), pa.array([sorted(x, key=str.encode) for x in found], pa.list_(pa.string()))]
+                columns += [pa.array([[{"doc_pos": a, "length": m} for a, m in s] for s in spans], span), pa.array(top, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                done += len(part)
+
+    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("doc_pos", T.IntegerType()), T.StructField("length", T.IntegerType())]))), T.StructField("longest", T.LongType())])
+    return rows.mapInArrow(run, schema)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", k: int = 10) -> DataFrame:
     """The rows of ``docs`` that no benchmark window occurs in, with the columns of ``docs``."""
-    marked = find_matches(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("t")), benchmark, "t", k)
+    marked = find_matches(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("t")), benchmark, "t", k)
     return marked.where(F.col("n_hit") == 0).select("row.*")

@@ -59,6 +59,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "longest",
     )
 
 
@@ -141,9 +142,12 @@ k as (select distinct k from i),
 d as (select doc_id, k, unnest(range(1, len(ws) - k + 2)) j, unnest(list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j + k - 1], ' '))) g from w cross join k where len(ws) >= k),
 m as materialized (select doc_id, j, d.k, item from d join i on i.g = d.g and i.k = d.k),
 h as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(j, j + k)) p from m) group by doc_id),
-t as (select doc_id, count(*) n, string_agg(item, ',' order by item) s from (select distinct doc_id, item from m) group by doc_id)
-select w.doc_id, cast(len(ws) as bigint) n_words, cast(coalesce(h.n, 0) as bigint) n_hit, cast(coalesce(t.n, 0) as bigint) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(h.n, 0) > 0 contaminated
-from w left join h using (doc_id) left join t using (doc_id)""",
+t as (select doc_id, count(*) n, string_agg(item, ',' order by item) s from (select distinct doc_id, item from m) group by doc_id),
+x as materialized (select item, k, p + 1 i, ws from (select item, least(10, len(ws)) k, unnest(range(0, len(ws) - least(10, len(ws)) + 1)) p, ws from b where len(ws) > 0)),
+y as (select m.doc_id, d.ws dw, x.ws iw, m.j, x.i, m.k from (select distinct doc_id, j, k, item from m) m join w d using (doc_id) join x on x.item = m.item and x.k = m.k and array_to_string(x.ws[x.i:x.i + m.k - 1], ' ') = array_to_string(d.ws[m.j:m.j + m.k - 1], ' ')),
+o as (select doc_id, max(coalesce(list_position(list_transform(range(0, least(len(dw) - j, len(iw) - i) + 1), lambda z: dw[j + z] = iw[i + z]), false) - 1, least(len(dw) - j, len(iw) - i) + 1)) longest from y group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) n_words, cast(coalesce(h.n, 0) as bigint) n_hit, cast(coalesce(t.n, 0) as bigint) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(h.n, 0) > 0 contaminated, cast(coalesce(longest, 0) as bigint) longest
+from w left join h using (doc_id) left join t using (doc_id) left join o using (doc_id)""",
     "op3_warc": """
 with p as (select page_id, coalesce(html, '') h from pages),
 q as (select page_id, octet_length(encode(h)) b, sha1(h) d, max(page_id) over (partition by sha1(h)) m from p)

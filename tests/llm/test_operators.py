@@ -165,6 +165,19 @@ def test_decontaminate(spark, docs):
     assert decontaminate.find_matches(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_repeated_words(spark):
+    """One word again and again on both sides: the work stays with the words; two blocks of items give what one does."""
+    import time
+
+    block = lambda n, i="a": decontaminate.Block([i], [b"w " * n], 10)
+    start = time.time()
+    n, spans, items, top = decontaminate.matches_in([b"x " + b"w " * 40_000, b"w " * 9], [block(500), block(3, "b")])
+    assert time.time() - start < 20
+    assert (n.tolist(), spans, items, top.tolist()) == ([40_001, 9], [[(1, 40_000)], [(0, 9)]], [{"a", "b"}, {"b"}], [500, 3])
+    none = spark.createDataFrame([], "doc_id long, text string, longest int")
+    assert decontaminate.find_matches(none, spark.createDataFrame([("a", "b")], "item_id string, text string")).count() == 0
+
+
 def test_suffix_array():
     import numpy as np
 
