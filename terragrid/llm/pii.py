@@ -13,7 +13,8 @@ network: in each round the characters of one half move on within their class
 of the other half, the type and the round.  Dates are numbers of days in a span
 of 400 years, which is 189 x 773 days, and addresses are two 16-bit halves;
 both go through a Feistel network on the two residues.  Check digits are
-computed anew, so that a pseudonym is as valid as the value.
+computed anew, so that a pseudonym is as valid as the value.  Letters of e-mail
+addresses are permuted in lower case and keep their capitals.
 
 One key gives one permutation: equal values stay equal in all documents,
 whatever separators they are written with, different values stay different.
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import let
+from .runtime import free_name, let
 
 ROUNDS = 6
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -66,13 +67,18 @@ MARK, ESCAPE = "", ""
 OUTPUTS = ("n_found", "safe_text")
 
 
-def _hash(key: str, kind: str, round_: int, half: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit(str(round_)), half).cast("binary"), 256)
+def _hash(key: str, kind: str, round_: Column, *half: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), round_.cast("string"), *half).cast("binary"), 256)
 
 
-def _draw(digest: Column, at) -> Column:
-    """The 4-hex-digit number of a digest at place ``at`` (modulo its 16 places)."""
-    return F.conv(F.substring(digest, F.pmod(F.lit(at) if isinstance(at, int) else at, F.lit(16)) * 4 + 1, 4), 16, 10).cast("int")
+def _rounds(start: Column, step) -> Column:
+    """The rounds of the network, as a loop: nested lambdas would make the plan as deep as there are rounds."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
+
+
+def _draw(digests: Column, at: Column) -> Column:
+    """The 4-hex-digit number at place ``at``: a digest has 16 of them."""
+    return F.conv(F.substring(F.get(digests, F.floor(at / 16).cast("int")), F.pmod(at, F.lit(16)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
 def _move(c: Column, first: Column, by: Column) -> Column:
@@ -92,41 +98,25 @@ def _move(c: Column, first: Column, by: Column) -> Column:
 def feistel_text(value: Column, key: str, kind: str, strict: tuple[int, ...] = ()) -> Column:
     """Permutation of strings of one shape; ``strict``: places (from 0) of digits that stay within 2-9."""
 
-    def rounds(chars):
-        half = F.floor(F.size(chars) / 2).cast("int")
-
-        def one(r):
-            stays = lambda i: i < half if r % 2 else i >= half
-
-            def step(x):
-                other = F.array_join(F.filter(x, lambda _, i: stays(i)), "")
-                return let(_hash(key, kind, r, other), lambda d: F.transform(x, lambda c, i: F.when(stays(i), c).otherwise(_move(c, i.isin(*strict) if strict else F.lit(False), _draw(d, i)))))
-
-            return step
+    def step(x, r):
+        stays = lambda i: (i < F.floor(F.size(x) / 2)) == (r % 2 == 1)
+        other = F.array_join(F.filter(x, lambda _, i: stays(i)), "")
+        digests = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 16).cast("int")), lambda b: _hash(key, kind, r, other, b.cast("string")))
+        return let(digests, lambda d: F.transform(x, lambda c, i: F.when(stays(i), c).otherwise(_move(c, i.isin(*strict) if strict else F.lit(False), _draw(d, i)))))
 
-        for r in range(ROUNDS):
-            chars = let(chars, one(r))
-        return F.array_join(chars, "")
-
-    return let(F.filter(F.split(value, ""), lambda c: c != ""), rounds)
+    chars = let(F.filter(F.split(value, ""), lambda c: c != ""), lambda x: F.when(F.size(x) > 0, _rounds(x, step)).otherwise(x))
+    return F.array_join(chars, "")
 
 
 def feistel_pair(left: Column, right: Column, sizes: tuple[int, int], key: str, kind: str) -> Column:
     """Permutation of pairs of numbers below ``sizes`` as struct(l, r)."""
-    pair = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
-    def one(r):
-        name, other = ("l", "r") if r % 2 == 0 else ("r", "l")
-
-        def step(p):
-            by = F.conv(F.substring(_hash(key, kind, r, p[other].cast("string")), 1, 12), 16, 10).cast("long")
-            new = F.pmod(p[name] + by, F.lit(sizes[0 if name == "l" else 1])).alias(name)
-            return F.struct(new, p["r"].alias("r")) if name == "l" else F.struct(p["l"].alias("l"), new)
-
-        return step
+    def step(p, r):
+        by = lambda other: F.conv(F.substring(_hash(key, kind, r, other.cast("string")), 1, 12), 16, 10).cast("long")
+        even = F.struct(F.pmod(p["l"] + by(p["r"]), F.lit(sizes[0])).cast("long").alias("l"), p["r"].alias("r"))
+        odd = F.struct(p["l"].alias("l"), F.pmod(p["r"] + by(p["l"]), F.lit(sizes[1])).cast("long").alias("r"))
+        return F.when(r % 2 == 0, even).otherwise(odd)
 
-    for r in range(ROUNDS):
-        pair = let(pair, one(r))
-    return pair
+    return _rounds(F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), step)
 
 
 def _fold(chars: Column, zero: int, step) -> Column:
@@ -196,6 +186,34 @@ def _ipv4(v: Column, key: str) -> Column:
     return let(F.split(v, r"\."), body)
 
 
+def _email(v: Column, key: str) -> Column:
+    """The local part moves within its lower-case letters and keeps its capitals, so that spellings in other cases stay linked."""
+    def body(local):
+        new = feistel_text(F.lower(local), key, "email")
+        return F.concat(F.array_join(F.zip_with(F.split(new, ""), F.split(local, ""), lambda n, o: F.when(o.rlike("[A-Z]"), F.upper(n)).otherwise(n)), ""), F.lit("@"), F.substring_index(v, "@", -1))
+
+    return let(F.substring_index(v, "@", 1), body)
+
+
+#: areas 001 to 899 without 666, groups 01 to 99; serials 0001 to 9999
+SSN_SIZES = (898 * 99, 9999)
+
+
+def _ssn(v: Column, key: str) -> Column:
+    """Within the numbers that can be given out: area, group and serial by their rank."""
+    def body(d):
+        area, group, serial = (F.substring(d, a, n).cast("int") for a, n in ((1, 3), (4, 2), (6, 4)))
+        pair = feistel_pair((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1, serial - 1, SSN_SIZES, key, "ssn")
+
+        def put(p):
+            rank = F.floor(p["l"] / 99)
+            return _fill(v, F.concat(F.lpad((rank + F.when(rank >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((p["l"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["r"] + 1).cast("string"), 4, "0")), r"\d")
+
+        return let(pair, put)
+
+    return let(_digits(v), body)
+
+
 #: days of the span 1800-01-01 to 2199-12-31, and its first day as a number
 SPAN, FIRST = (189, 773), "1800-01-01"
 
@@ -219,12 +237,12 @@ def pseudonym(v: Column, key: str) -> Column:
     ssn_ok = ~v.rlike(r"^(?:000|666|9)|^\d{3}-00|0000$")
     solid = F.regexp_replace(v, " ", "")
     return (
-        F.when(whole(EMAIL), F.concat(feistel_text(F.substring_index(v, "@", 1), key, "email"), F.lit("@"), F.substring_index(v, "@", -1)))
+        F.when(whole(EMAIL), _email(v, key))
         .when(whole(IBAN), F.when(mod97(F.concat(F.substring(solid, F.lit(5), F.length(solid)), F.substring(solid, 1, 4))) == 1, _iban(v, key)).otherwise(v))
         .when(whole(ISO_DATE), F.when(in_span(iso), F.date_format(_date(iso, key), "yyyy-MM-dd")).otherwise(v))
         .when(whole(SLASH_DATE), F.when((sep == ".") & in_span(day_first), print_as(_date(day_first, key), F.lit("dmy"))).when(in_span(month_first), print_as(_date(month_first, key), F.lit("mdy"))).when(in_span(day_first), print_as(_date(day_first, key), F.lit("dmy"))).otherwise(v))
         .when(whole(IPV4), F.when(octets_ok, _ipv4(v, key)).otherwise(v))
-        .when(whole(SSN), F.when(ssn_ok, _fill(v, feistel_text(_digits(v), key, "ssn", (0,)), r"\d")).otherwise(v))
+        .when(whole(SSN), F.when(ssn_ok, _ssn(v, key)).otherwise(v))
         .when(whole(CARD), F.when(luhn(_digits(v)) % 10 == 0, _card(v, key)).when(whole(PHONE), _phone(v, key)).otherwise(v))
         .when(whole(PHONE), _phone(v, key))
         .otherwise(v)
@@ -241,7 +259,7 @@ def _none(v: Column) -> Column:
 
 
 def _email_in(v: Column, key: str, mark: str) -> Column:
-    return _taken(v, F.concat(feistel_text(F.substring_index(v, "@", 1), key, "email"), F.lit("@"), F.substring_index(v, "@", -1)), mark)
+    return _taken(v, _email(v, key), mark)
 
 
 def _iban_in(v: Column, key: str, mark: str) -> Column:
@@ -296,12 +314,12 @@ STAGES = (
 )
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "terragrid") -> DataFrame:
-    """The rows of ``docs`` with safe_text and n_found (values replaced, long)."""
-    text = F.col(text_col).cast("string")
-    name = "__matches"
-    while name in docs.columns:
-        name += "_"
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with safe_text and n_found (values replaced, long).  Who knows the key can invert the pseudonyms."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    text = F.col(f"`{text_col}`").cast("string")
+    name = free_name(docs, "__matches")
     woven = lambda rest, between: F.array_join(F.transform(rest, lambda x, i: F.concat(x, F.coalesce(F.get(between, i), F.lit("")))), "")
     out = docs.withColumn(name, F.struct(F.when(text.rlike(r"[0-9@]"), F.replace(text, F.lit(MARK), F.lit(ESCAPE))).alias("t")))
     for n, (pattern, hint, found_in) in enumerate(STAGES):
