@@ -18,6 +18,8 @@ replaced.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,17 @@ NOTICES = (
     (r"todos los derechos reservados", r"(?:términos|condiciones) de uso", r"política de (?:privacidad|cookies)", r"(?:usa|utiliza|aceptar) cookies", r"(?:activar|habilite) javascript", r"suscríb\w+ a nuestr\w+", r"síguenos en", r"haga clic aquí", r"página no encontrada", r"publicidad"),
 )
 NAVIGATION = r"^[^\p{L}\p{N}]*(?:" + "|".join(w for words in MENU for w in words) + r")[^\p{L}\p{N}]*$"
-BOILERPLATE = r"(?<![\p{L}\p{N}])(?:" + "|".join(p for phrases in NOTICES for p in phrases) + r")(?![\p{L}\p{N}])"
+def _any_phrase(phrases: list[str]) -> str:
+    """Phrases as whole words, by their first letters, so that few are tried at a place."""
+    by: dict[str, list[str]] = {}
+    for p in phrases:
+        by.setdefault(p[0] if p[0] != "(" else "", []).append(p[1:] if p[0] != "(" else p)
+    first = "".join(sorted({*filter(None, by), *(x[0] for p in by.get("", []) for x in re.findall(r"^\(\?:([^)]*)\)", p)[0].split("|"))}))
+    inner = "|".join(f"{c}(?:{'|'.join(ps)})" for c, ps in by.items())
+    return rf"(?=[{first}])(?<![\p{{L}}\p{{N}}])(?:{inner})(?![\p{{L}}\p{{N}}])"
+
+
+BOILERPLATE = _any_phrase([p for phrases in NOTICES for p in phrases])
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_lines", "n_lost_words", "base_failed", "kept", "clean_text")
 
 
@@ -79,15 +91,18 @@ def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def bad_line(line: Column, words: Column) -> Column:
-    """Whether a line of so many words, one at least, fails a rule."""
-    solid = F.length(F.translate(line, BLANKS, ""))
-    symbols = _count(line, SYMBOLS) * 5 > solid
-    shouts = (words >= 3) & (_count(line, "!?") * 3 > words * 2) & (F.regexp_count(line, F.lit(r"[!?]{2,}")) * 3 > words)
-    menu = _count(line, SEPARATORS) * 3 >= words
+def _traits(text: Column) -> Column:
+    """What some line of the text may have: rules on anything else needn't be asked."""
+    return F.struct(text.rlike(f"[{SYMBOLS}]").alias("symbols"), text.rlike(f"[{SEPARATORS}]").alias("separators"), text.rlike(r"[!?]{2}").alias("shouts"), F.lower(text).rlike(BOILERPLATE).alias("notices"))
+
+
+def bad_line(line: Column, words: Column, traits: Column) -> Column:
+    """Whether a line of so many words, one at least, of a text with such traits fails a rule."""
+    symbols = traits["symbols"] & (_count(line, SYMBOLS) * 5 > F.length(F.translate(line, BLANKS, "")))
+    shouts = traits["shouts"] & (words >= 3) & (_count(line, "!?") * 3 > words * 2) & (F.regexp_count(line, F.lit(r"[!?]{2,}")) * 3 > words)
+    menu = traits["separators"] & (_count(line, SEPARATORS) * 3 >= words)
     endless = (words >= SENTENCE) & ~line.rlike(ENDS)
-    small = F.lower(line)
-    return symbols | menu | shouts | endless | ((words < 8) & small.rlike(NAVIGATION)) | small.rlike(BOILERPLATE)
+    return symbols | menu | shouts | endless | ((words < 8) & F.lower(line).rlike(NAVIGATION)) | (traits["notices"] & F.lower(line).rlike(BOILERPLATE))
 
 
 def measure(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_repeat: int = 30, max_lost: float = 0.5) -> DataFrame:
@@ -96,7 +111,7 @@ def measure(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_re
 
     def facts(t):
         # each line once: its words, and whether it fails
-        judged = F.transform(F.split(t, "\n", -1), lambda x: let(F.size(_words(x)), lambda n: F.struct(x.alias("x"), n.alias("n"), ((n > 0) & bad_line(x, n)).alias("bad"))))
+        judged = let(_traits(t), lambda traits: F.transform(F.split(t, "\n", -1), lambda x: let(F.size(_words(x)), lambda n: F.struct(x.alias("x"), n.alias("n"), ((n > 0) & bad_line(x, n, traits)).alias("bad")))))
 
         def of_lines(lines):
             bad = F.filter(lines, lambda z: z["bad"])
@@ -111,7 +126,7 @@ def measure(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_re
         return let(_words(t), lambda w: F.struct(
             F.size(w).cast("long").alias("n"),
             F.length(F.translate(t, BLANKS, "")).cast("long").alias("chars"),
-            _count(t, SYMBOLS).cast("long").alias("symbols"),
+            F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("symbols"),
             _repeat_words(w).alias("repeat"),
             let(judged, of_lines).alias("l"),
         ))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,7 +104,7 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 def _quoted(pattern: str) -> str:
     """A pattern as SQL text for an engine without lookaround."""
     word = r"[\p{L}\p{N}]"
-    return "'" + pattern.replace("(?<!" + word + ")", r"(?:^|[^\p{L}\p{N}])").replace("(?!" + word + ")", r"(?:$|[^\p{L}\p{N}])").replace("'", "''") + "'"
+    return "'" + re.sub(r"^\(\?=\[[^]]*\]\)", "", pattern).replace("(?<!" + word + ")", r"(?:^|[^\p{L}\p{N}])").replace("(?!" + word + ")", r"(?:$|[^\p{L}\p{N}])").replace("'", "''") + "'"
 
 
 def _many(chars: str) -> str:
