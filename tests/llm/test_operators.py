@@ -298,10 +298,49 @@ def test_html_mixed_layouts(spark):
 
 
 def test_html_wrapper_groups():
-    nodes = html_wrappers._nodes("<ul><li>a</li><li>b</li><li>c</li></ul><p>x")
-    assert ["+", ["<li", ["#", None], "</li"]] in nodes
-    both = html_wrappers.align(nodes, html_wrappers._nodes("<ul><li>a</li></ul><hr><p>y"))
-    assert ["?", ["<hr"]] in both and ["#", None] in both
+    import time
+
+    of = lambda page: html_wrappers.fold(html_wrappers._nodes(html_wrappers.tokens(page)))
+    plain = html_wrappers._placeless
+    nodes = of("<ul><li>a</li><li>b</li><li>c</li></ul><p>x")
+    assert ["+", ["<li", ["#<ul", None, [0, 1, 2]], "</li"]] in nodes
+    both = html_wrappers.align(plain(nodes), plain(of("<ul><li>a</li></ul><hr><p>y")))
+    assert ["?", ["<hr"]] in both and ["#", None, []] in both
+    # groups of more than eight nodes; long pages that don't fold
+    row = "".join(f"<{t}>x</{t}>" for t in ("td", "th", "dd", "dt", "p"))
+    assert any(n[0] == "+" and len(n[1]) == 17 for n in of(f"<table>{f'<tr>{row}</tr>' * 3}</table>"))
+    r = random.Random(2)
+    some = lambda: plain(html_wrappers._nodes(html_wrappers.tokens("".join(f"<{r.choice(['p', 'h2', 'li', 'td', 'pre'])} class=c{r.randrange(400)}>t" for _ in range(10_000)))))
+    start = time.time()
+    merged = html_wrappers.align(html_wrappers.fold(some()), html_wrappers.fold(some()))
+    assert sum(1 for _ in html_wrappers.flat(merged)) > 10_000 and time.time() - start < 60
+
+
+def test_html_held_out(spark):
+    """Generated sites with varying numbers of blocks, framed or not, chrome told by class or by being the same everywhere: the texts that were put in come out."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows, want = [], {}
+    for site in range(6):
+        framed = site % 2 == 0
+        banner, imprint = f"Site {site} name", f"All about site {site}"
+        for n in range(20):
+            texts = [" ".join(word() for _ in range(8)) for _ in range(r.randrange(1, 9))]
+            body = "".join(f"<p>{t}</p>" + ("<ul><li>" + "</li><li>".join(texts[i : i + 2]) + "</li></ul>" if r.random() < 0 else "") for i, t in enumerate(texts))
+            links = "".join(f"<li><a href=x>{word()}</a></li>" for _ in range(r.randrange(1, 5)))
+            menu = f"<ul class='menu'>{links}</ul>"
+            comments = "".join(f"<div class='comment'><p>{word()}</p></div>" for _ in range(r.randrange(3)))
+            page = f"<html><body><h1>{banner}</h1>{menu}{'<article>' if framed else '<div>'}{body}{comments}{'</article>' if framed else '</div>'}<p>{imprint}</p></body></html>"
+            if site == 5 and n == 3:
+                page = ""
+            rows.append((100 * site + n, f"https://me@my_site{site}.org:80/{n}", page, "k", "h"))
+            want[100 * site + n] = " ".join(texts) if page else ""
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, `a.key` string, host string").repartition(4)
+    got = html_wrappers.extract(pages)
+    assert got.columns == ["page_id", "url", "a.key", "host", "text", "n_chars"]
+    got = {x.page_id: x.text for x in got.collect()}
+    right = sum(got[i] == want[i] for i in want)
+    assert right >= 0.95 * len(want), (right, next((got[i], want[i]) for i in want if got[i] != want[i]))
 
 
 def test_line_dedup(spark):
