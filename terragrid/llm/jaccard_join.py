@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,7 +211,7 @@ def _verified(pairs: DataFrame, tiles: DataFrame, blocks: DataFrame, sets: DataF
     single = pairs.select("tile", F.explode(F.array("u", "v")).alias("key"), F.lit(0).alias("side")).distinct()
     ends = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(3).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("block"), F.lit(1).alias("side")), F.struct(F.col("b").alias("block"), F.lit(2).alias("side"))))
     whole = tiles.select(F.concat_ws("|", *(F.col(f"{x}.{y}") for x in "ab" for y in ("top", "length", "part"))).alias("tile"), F.explode(ends).alias("e")).select("tile", "e.*").join(blocks, "block").select("tile", "key", "side")
-    ends = single.unionByName(whole).withColumnRenamed("tile", "of").persist(StorageLevel.DISK_ONLY)
+    ends = settle(single.unionByName(whole).withColumnRenamed("tile", "of"), "ends")
     sent = _maybe(sets, ends.select("key").distinct(), max(1, 2 * n)).join(ends, "key")
 
     def verify(left, right):
@@ -251,7 +250,7 @@ def _verified(pairs: DataFrame, tiles: DataFrame, blocks: DataFrame, sets: DataF
         return _linked_in_tile(held, u[good], v[good])
 
     found = settle(pairs.groupBy("tile").cogroup(sent.select("of", "key", "side", "rows", "whole").groupBy("of")).applyInArrow(verify, "u binary, v binary, others long"), "links")
-    ends.unpersist()
+    discard(ends)
     return found
 
 
@@ -260,19 +259,19 @@ def links(table: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     nodes = table.where("tokens is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "places")))
     entries = nodes.select("key", "n", F.explode(F.arrays_zip("tokens", "places")).alias("z")).select("key", "n", F.col("z.tokens").alias("t"), F.col("z.places").alias("place"))
     many = entries.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    shared = entries.join(many, "t").persist(StorageLevel.DISK_ONLY)
+    shared = settle(entries.join(many, "t"), "tokens")
     # blocks of the nodes with a hot n-gram: by the most frequent one, length and, at last, by hash
     hot = shared.where(F.col("c") > HOT).select("key", "n", "t", "c")
     length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
     first = hot.groupBy("key").agg(F.max("n").alias("n"), F.max_by("t", F.struct("c", "t")).alias("top")).withColumn("length", length)
     size = first.groupBy("top", "length").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).alias("parts"))
     placed = first.join(size, ["top", "length"]).select("key", F.struct("top", "length", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part")).alias("block"))
-    blocks = placed.persist(StorageLevel.DISK_ONLY)
+    blocks = settle(placed, "blocks")
     spots = hot.select("key", "t").join(blocks, "key").select("t", "block").distinct()
     one, two = F.col("x.block"), F.col("y.block")
     # sets link only if their lengths' classes are the same or neighbours; one more for rounding
     tiles = spots.alias("x").join(spots.alias("y"), "t").where((one <= two) & (F.abs(one["length"] - two["length"]) <= 2)).select(one.alias("a"), two.alias("b")).distinct()
-    tiles = tiles.persist(StorageLevel.DISK_ONLY)
+    tiles = settle(tiles, "tiles")
     # pairs of the other n-grams, each once
     cold = shared.where(F.col("c") <= HOT).join(blocks, "key", "left").select("t", F.struct("key", "n", "place", "block").alias("a"))
     close = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
@@ -283,14 +282,13 @@ def links(table: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # pairs of blocks that a tile compares are left to it
     both = [F.least("bu", "bv").alias("a"), F.greatest("bu", "bv").alias("b")]
     pairs = pairs.select("u", "v", "nu", "nv", *(F.when(F.col("bu").isNotNull() & F.col("bv").isNotNull(), c).alias(d) for c, d in zip(both, ("a", "b"), strict=True)))
-    pairs = pairs.join(tiles.withColumn("held", F.lit(True)), ["a", "b"], "left").where("held is null").select("u", "v", "nu", "nv").persist(StorageLevel.DISK_ONLY)
+    pairs = settle(pairs.join(tiles.withColumn("held", F.lit(True)), ["a", "b"], "left").where("held is null").select("u", "v", "nu", "nv"), "pairs")
     rows = table.where("n > 0").groupBy("key").agg(F.count("*").alias("rows"))
     wanted = blocks.select("key").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("key"))).distinct()
     copies = wanted.join(rows, "key")
     sets = _maybe(table.where("whole is not null").select("key", "whole"), wanted, max(1, 2 * wanted.count())).dropDuplicates(["key"])
     found = _verified(pairs, tiles, blocks, sets.join(copies, "key"), percent)
-    for held in (shared, blocks, tiles, pairs):
-        held.unpersist()
+    discard(shared, blocks, tiles, pairs)
     return components(found.select("u", "v")), found.groupBy(F.col("u").alias("node")).agg(F.sum("others").alias("others"))
 
 

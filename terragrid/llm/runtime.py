@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,18 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/terragrid/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of a few megabytes while a job runs, so that executors hold little beside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def settle(df: DataFrame, what: str = "table", row_group: int = 128 << 20) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -34,7 +47,8 @@ def settle(df: DataFrame, what: str = "table", row_group: int = 128 << 20) -> Da
     readers see the same rows even if the input order is not repeatable.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._folder = path
     return table

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import fan, new_path
+from .runtime import fan, new_path, small_batches
 from .words import U64, hash_spans, spread
 
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
@@ -188,7 +188,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     tokens = rows.mapInArrow(encode, f"shard int, row long, id {kind}, n_tokens long, start_in_shard long, tokens array<int>")
     writer = tokens.write.option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "true")
-    writer.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", 1000).parquet(path)
+    with small_batches(docs.sparkSession):
+        writer.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", 1000).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
