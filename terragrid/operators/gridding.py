@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import Registry
+from ..tables import settle
 
 MODULES = Registry("gridding module")
 
@@ -25,15 +26,45 @@ def within(cells: DataFrame, data: DataFrame, radius: int) -> DataFrame:
     return left.join(right, ["br", "bc"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop("br", "bc")
 
 
-def _nearest(near: DataFrame, k: int) -> DataFrame:
+def _ranked(near: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("row", "col").orderBy("d2", "nr", "nc")
-    return near.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)
+    return near.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
+
+
+def k_nearest(cells: DataFrame, data: DataFrame, k: int, radius: int | None = None) -> DataFrame:
+    """Cells with their k nearest data; ties by row and column.
+
+    Without a radius the search has no bound: cells with fewer than k data within a
+    ring go on to one twice as wide, until the ring holds the whole extent.  The first
+    radius follows from the data's density, so that most cells are done at once.
+    """
+    if radius is not None:
+        return _ranked(within(cells, data, radius), k)
+    box = lambda df: df.agg(*(f(c) for c in ("row", "col") for f in (F.min, F.max)), F.count("*")).first()
+    a, b = box(cells), box(data.where("z is not null"))
+    if not a[4] or not b[4]:
+        return within(cells, data, 1)
+    rows, cols = max(a[1], b[1]) - min(a[0], b[0]) + 1, max(a[3], b[3]) - min(a[2], b[2]) + 1
+    radius = max(1, int((k * rows * cols / b[4] / 3) ** 0.5) + 1)
+    left, found = cells.select("row", "col"), None
+    while True:
+        last = radius * radius >= rows * rows + cols * cols
+        near = settle(_ranked(within(left, data, radius), k), "nearest")
+        # beyond the radius nothing is known: only cells with k data within it are done
+        done = near if last else near.join(near.groupBy("row", "col").count().where(F.col("count") >= k).select("row", "col"), ["row", "col"], "left_semi")
+        found = done if found is None else found.unionByName(done)
+        if last:
+            return found
+        left = settle(left.join(done.select("row", "col").distinct(), ["row", "col"], "left_anti"), "cells")
+        if left.isEmpty():
+            return found
+        radius *= 2
 
 
 @MODULES.add("idw")
-def idw(cells: DataFrame, data: DataFrame, power: float = 1, k: int = 8, radius: int = 10) -> DataFrame:
+def idw(cells: DataFrame, data: DataFrame, power: float = 1, k: int = 8, radius: int | None = None) -> DataFrame:
     """Weighted mean of the k nearest; data cells keep their value."""
-    n = _nearest(within(cells, data, radius), k)
+    n = k_nearest(cells, data, k, radius)
     w = F.col("nw") / F.pow(F.sqrt("d2"), power)
     far = F.when(F.col("d2") > 0, w)
     mean = F.sum(far * F.col("nz")) / F.sum(far)
@@ -41,8 +72,8 @@ def idw(cells: DataFrame, data: DataFrame, power: float = 1, k: int = 8, radius:
 
 
 @MODULES.add("nearest")
-def nearest(cells: DataFrame, data: DataFrame, radius: int = 10) -> DataFrame:
-    return within(cells, data, radius).groupBy("row", "col").agg(F.min_by("nz", F.struct("d2", "nr", "nc")).alias("z"))
+def nearest(cells: DataFrame, data: DataFrame, radius: int | None = None) -> DataFrame:
+    return k_nearest(cells, data, 1, radius).select("row", "col", F.col("nz").alias("z"))
 
 
 @MODULES.add("average")
@@ -68,9 +99,10 @@ def near_neighbor(cells: DataFrame, data: DataFrame, radius: int = 5, sectors: i
     return n.groupBy("row", "col").agg((F.sum(w * F.col("p.nz")) / F.sum(w)).alias("z"))
 
 
-def proximity(cells: DataFrame, data: DataFrame, radius: int) -> DataFrame:
-    """Distance in cells to the nearest data cell; null beyond the radius."""
-    d = within(cells, data, radius).groupBy("row", "col").agg(F.sqrt(F.min("d2")).alias("distance"))
+def proximity(cells: DataFrame, data: DataFrame, radius: int | None = None) -> DataFrame:
+    """Distance in cells to the nearest data cell; null beyond a radius, if one is given."""
+    near = k_nearest(cells, data, 1) if radius is None else within(cells, data, radius)
+    d = near.groupBy("row", "col").agg(F.sqrt(F.min("d2")).alias("distance"))
     return cells.select("row", "col").join(d, ["row", "col"], "left")
 
 

@@ -1 +1,3 @@
 """Part of terragrid."""
+
+from . import areas, queries  # noqa: F401  queries register themselves

@@ -7,6 +7,8 @@ flags, id from a hash-free total order of all columns.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +19,15 @@ from ..operators import gridding as I
 from ..operators import points as P
 from ..operators import stack as S
 
-REGION = Region(0, 2000, 0, 100)
-CELLS = Grid.of(REGION, 50, 10)
+#: cell sizes; the grid's extent is that of the points
+DX, DY = 50, 10
 
 PTS = """select cast(l_partkey as double) x, cast(l_suppkey as double) y, l_quantity z,
  1 + round(100 * l_discount) w, round(100 * l_tax) u, l_returnflag || '/' || l_linestatus source,
  l_orderkey * 1000000 + l_linenumber * 100000 + cast(l_quantity as bigint) * 1000 + cast(round(100 * l_discount) as bigint) * 10 + cast(round(100 * l_tax) as bigint) id
  from lineitem"""
-BINNED = f"pts as ({PTS}), b as (select *, cast(floor((x - 0) / 50.0) as int) col, cast(floor((100 - y) / 10.0) as int) row from pts), c as (select * from b where row between 0 and 9 and col between 0 and 39)"
+EXTENT = "e as (select (floor(max(x) / 50) + 1) * 50 x1, ceil(max(y) / 10) * 10 y1, ceil(min(y) / 10) * 10 - 10 y0 from pts)"
+BINNED = f"pts as ({PTS}), {EXTENT}, c as (select pts.*, cast(floor(x / 50.0) as int) col, cast(floor((y1 - y) / 10.0) as int) row from pts, e)"
 STACKED = f"{BINNED}, s as (select source, row, col, sum(z*w) sz, sum(x*w) sx, sum(y*w) sy, sum(w) sw, sum(z*z*w) szz, max(u) u, count(*) n from c group by all)"
 MEAN = f"{STACKED}, g as (select row, col, floor(sum(sz)/sum(sw)) z, sum(sw) sw, sum(n) n from s group by row, col)"
 
@@ -41,8 +44,15 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def cells_of(spark: SparkSession, d: str) -> Grid:
+    """Cells around all coordinates, at any size of the table; a point on a cell's upper edge belongs to it."""
+    x, y, low = points(spark, d).agg(F.max("x"), F.max("y"), F.min("y")).first()
+    up = lambda v: math.ceil((v or 0) / DY) * DY
+    return Grid.of(Region(0, ((x or 0) // DX + 1) * DX, up(low) - DY, up(y)), DX, DY)
+
+
 def sums(spark: SparkSession, d: str) -> DataFrame:
-    return S.source_sums(points(spark, d), CELLS)
+    return S.source_sums(points(spark, d), cells_of(spark, d))
 
 
 def surface(spark: SparkSession, d: str) -> DataFrame:
@@ -135,29 +145,32 @@ def points_polygon(s, d):
 
 @query(f"with {BINNED}, m as (select row, col from c group by 1, 2 having avg(z) > 25) select {XYZ} from c semi join m using (row, col)")
 def points_raster_mask(s, d):
-    p = S.to_cells(points(s, d), CELLS)
+    grid = cells_of(s, d)
+    p = S.to_cells(points(s, d), grid)
     mask = p.groupBy("row", "col").agg((F.avg("z") > 25).cast("int").alias("z"))
-    return xyz(P.raster_mask(p.drop("row", "col"), mask, CELLS))
+    return xyz(P.raster_mask(p.drop("row", "col"), mask, grid))
 
 
 @query(f"with {BINNED}, m as (select row, col, floor(avg(z)) r from c group by 1, 2) select {XYZ} from c join m using (row, col) where z - r between -5 and 5")
 def points_diff(s, d):
-    p = S.to_cells(points(s, d), CELLS)
+    grid = cells_of(s, d)
+    p = S.to_cells(points(s, d), grid)
     ref = p.groupBy("row", "col").agg(F.floor(F.avg("z")).cast("double").alias("z"))
-    return xyz(P.difference(p.drop("row", "col"), ref, CELLS, -5, 5))
+    return xyz(P.difference(p.drop("row", "col"), ref, grid, -5, 5))
 
 
 @query(f"with {BINNED}, m as (select row, col, floor(avg(z)) r from c group by 1, 2) select {XYZ} from c join m using (row, col) where r = 0 or abs(z - r) / r * 100 <= 10")
 def points_reference_quality(s, d):
-    p = S.to_cells(points(s, d), CELLS)
+    grid = cells_of(s, d)
+    p = S.to_cells(points(s, d), grid)
     ref = p.groupBy("row", "col").agg(F.floor(F.avg("z")).cast("double").alias("z"))
-    return xyz(P.reference_quality(p.drop("row", "col"), ref, CELLS, 10))
+    return xyz(P.reference_quality(p.drop("row", "col"), ref, grid, 10))
 
 
 for _mode, _agg in (("mean", "sum(z) / count(*)"), ("min", "min(z)"), ("max", "max(z)"), ("median", "median(z)"), ("sums", "sum(z * w)")):
 
     def _bin(s, d, mode=_mode):
-        return S.bin_points(points(s, d), CELLS, mode).select("row", "col", "z", "count")
+        return S.bin_points(points(s, d), cells_of(s, d), mode).select("row", "col", "z", "count")
 
     QUERIES[f"bin_{_mode}"] = lambda s, d, f=_bin: f(s, d)
     ORACLE[f"bin_{_mode}"] = f'with {BINNED} select row, col, {_agg} z, count(*) "count" from c group by row, col'
@@ -165,20 +178,20 @@ for _mode, _agg in (("mean", "sum(z) / count(*)"), ("min", "min(z)"), ("max", "m
 for _mode, _agg in (("std", "stddev_pop(z)"), ("var", "var_pop(z)")):
 
     def _bin2(s, d, mode=_mode):
-        return S.bin_points(points(s, d), CELLS, mode).select("row", "col", F.round("z", 6).alias("z"))
+        return S.bin_points(points(s, d), cells_of(s, d), mode).select("row", "col", F.round("z", 6).alias("z"))
 
     QUERIES[f"bin_{_mode}"] = lambda s, d, f=_bin2: f(s, d)
     ORACLE[f"bin_{_mode}"] = f"with {BINNED} select row, col, round({_agg}, 6) z from c group by row, col"
 
 
-@query(f"with pts as ({PTS}) select cast(floor((100 - y) / 10.0 + 0.5) as int) row, cast(floor(x / 50.0 + 0.5) as int) col, sum(z * w) / sum(w) z, count(*) \"count\" from pts where x > 0 and x < 2000 and y < 100 and y > 0 group by 1, 2")
+@query(f"with pts as ({PTS}), {EXTENT} select cast(floor((y1 - y) / 10.0 + 0.5) as int) row, cast(floor(x / 50.0 + 0.5) as int) col, sum(z * w) / sum(w) z, count(*) \"count\" from pts, e where x > 0 and x < x1 and y < y1 and y > y0 group by 1, 2")
 def block_nodes_weighted(s, d):
-    return S.block_nodes(points(s, d), CELLS, weighted=True)
+    return S.block_nodes(points(s, d), cells_of(s, d), weighted=True)
 
 
-@query(f"with {STACKED} select row, col, sum(sz) / sum(sw) z, sum(sx) / sum(sw) x, sum(sy) / sum(sw) y, sum(sw) / sum(n) weights, cast(sum(n) as bigint) \"count\", sqrt(sum(u*u)) src_uncertainty from s group by row, col")
+@query(f"with {STACKED} select row, col, sum(sz) / sum(sw) z, sum(sx) / sum(sw) x, sum(sy) / sum(sw) y, sum(sw) / sum(n) weights, cast(sum(n) as bigint) \"count\", sqrt(sum(u*u)) src_uncertainty, round(sqrt(sum(u*u) + greatest(0, sum(szz)/sum(sw) - (sum(sz)/sum(sw)) * (sum(sz)/sum(sw)))), 6) uncertainty from s group by row, col")
 def stack_mean(s, d):
-    return S.stack(sums(s, d)).drop("uncertainty")
+    return S.stack(sums(s, d)).withColumn("uncertainty", F.round("uncertainty", 6))
 
 
 for _mode, _order in (("min", "sz / sw"), ("max", "sz / sw desc"), ("supercede", "sw / n desc")):
@@ -208,8 +221,8 @@ def stack_min_count(s, d):
 
 @query(f"with {STACKED} select source, row, col, sz, sw, n \"count\" from s")
 def stack_incremental(s, d):
-    p = points(s, d)
-    return S.merge_sums(S.source_sums(p.where("z < 20"), CELLS), S.source_sums(p.where("z >= 20"), CELLS)).select("source", "row", "col", "sz", "sw", "count")
+    p, grid = points(s, d), cells_of(s, d)
+    return S.merge_sums(S.source_sums(p.where("z < 20"), grid), S.source_sums(p.where("z >= 20"), grid)).select("source", "row", "col", "sz", "sw", "count")
 
 
 @query(f"with {STACKED} select distinct row, col, split_part(source, '/', 1) source from s")
@@ -305,56 +318,66 @@ def grid_hillshade(s, d):
     return G.hillshade(surface(s, d))
 
 
-@query(f"with {MEAN}, e as (select row, col, case when z <= 26 then least(z, 25) end z from g) select count(*) cells, sum((e.z is null)::int)::bigint removed, count(case when e.z <> g.z then 1 end) changed from g join e using (row, col)")
+@query(f"with {MEAN}, a as (select row, col, case when z <= 26 then least(z, 25) end z from g) select count(*) cells, sum((a.z is null)::int)::bigint removed, count(case when a.z <> g.z then 1 end) changed, min(case when a.z <> g.z then a.z - g.z end) min_diff, max(case when a.z <> g.z then a.z - g.z end) max_diff, avg(case when a.z <> g.z then a.z - g.z end) mean_diff from g join a using (row, col)")
 def grid_filter_statistics(s, d):
     g = surface(s, d)
     after = g.withColumn("z", F.when(F.col("z") <= 26, F.least(F.col("z"), F.lit(25.0))))
-    return G.filter_statistics(g, after).select("cells", "removed", "changed")
+    return G.filter_statistics(g, after)
 
 
-SPARSE = f"{MEAN}, k as (select * from g where (row * 7 + col * 3) % 5 = 0)"
+SPARSE = f"{MEAN}, k as (select row * 2 row, col * 2 col, z from g), t as (select row, col from (select unnest(range(0, cast((y1 - y0) / 5 as bigint)))::int row from e), (select unnest(range(0, cast(x1 / 25 as bigint)))::int col from e))"
 
 
 def sparse(s, d):
-    return surface(s, d).where("(row * 7 + col * 3) % 5 = 0")
+    """All cells of the surface, as every second row and column of a finer grid."""
+    return surface(s, d).withColumns({"row": F.col("row") * 2, "col": F.col("col") * 2})
+
 
+def fine(s, d):
+    """All cells of the finer grid."""
+    grid = cells_of(s, d)
+    return I.targets(s, 2 * grid.ny, 2 * grid.nx)
 
-NEAR = lambda r: f"p as (select g.row, g.col, k.row nr, k.col nc, k.z nz, (g.row-k.row)*(g.row-k.row)+(g.col-k.col)*(g.col-k.col) d2 from g join k on (g.row-k.row)*(g.row-k.row)+(g.col-k.col)*(g.col-k.col) <= {r * r})"
 
+NEAR = lambda r: f"p as (select g.row, g.col, k.row nr, k.col nc, k.z nz, (g.row-k.row)*(g.row-k.row)+(g.col-k.col)*(g.col-k.col) d2 from t g join k on (g.row-k.row)*(g.row-k.row)+(g.col-k.col)*(g.col-k.col) <= {r * r})"
 
-@query(f"with {SPARSE}, {NEAR(4)}, r as (select *, row_number() over (partition by row, col order by d2, nr, nc) q from p) select row, col, round(coalesce(max(case when d2 = 0 then nz end), sum(case when d2 > 0 then nz / sqrt(d2) end) / sum(case when d2 > 0 then 1 / sqrt(d2) end)), 6) z from r where q <= 8 group by row, col")
+
+NEAREST = f"{SPARSE}, p as (select g.row, g.col, k.row nr, k.col nc, k.z nz, (g.row-k.row)*(g.row-k.row)+(g.col-k.col)*(g.col-k.col) d2 from t g, k), r as (select *, row_number() over (partition by row, col order by d2, nr, nc) q from p)"
+
+
+@query(f"with {NEAREST} select row, col, round(coalesce(max(case when d2 = 0 then nz end), sum(case when d2 > 0 then nz / sqrt(d2) end) / sum(case when d2 > 0 then 1 / sqrt(d2) end)), 6) z from r where q <= 8 group by row, col")
 def waffle_idw(s, d):
-    return I.idw(surface(s, d), sparse(s, d), 1, 8, 4).withColumn("z", F.round("z", 6))
+    return I.idw(fine(s, d), sparse(s, d), 1, 8).withColumn("z", F.round("z", 6))
 
 
-@query(f"with {SPARSE}, {NEAR(4)}, r as (select *, row_number() over (partition by row, col order by d2, nr, nc) q from p) select row, col, nz z from r where q = 1")
+@query(f"with {NEAREST} select row, col, nz z from r where q = 1")
 def waffle_nearest(s, d):
-    return I.nearest(surface(s, d), sparse(s, d), 4)
+    return I.nearest(fine(s, d), sparse(s, d))
 
 
 @query(f"with {SPARSE}, {NEAR(3)} select row, col, avg(nz) z from p group by row, col having count(*) >= 3")
 def waffle_average(s, d):
-    return I.average(surface(s, d), sparse(s, d), 3, 3)
+    return I.average(fine(s, d), sparse(s, d), 3, 3)
 
 
 @query(f"with {SPARSE}, {NEAR(3)} select row, col, round(coalesce(max(case when d2 = 0 then nz end), sum(case when d2 > 0 then nz / d2 end) / sum(case when d2 > 0 then 1.0 / d2 end)), 6) z from p group by row, col")
 def waffle_invdst(s, d):
-    return I.inverse_distance(surface(s, d), sparse(s, d), 2, 0, 3).withColumn("z", F.round("z", 6))
+    return I.inverse_distance(fine(s, d), sparse(s, d), 2, 0, 3).withColumn("z", F.round("z", 6))
 
 
-@query()
+@query(f"with {SPARSE}, {NEAR(5)}, r as (select *, (floor((atan2(nr - row, nc - col) + pi()) / (2 * pi()) * 4))::int % 4 s from p), f as (select *, row_number() over (partition by row, col, s order by d2, nr, nc) q from r) select row, col, round(sum(nz / (1 + 9 * d2 / 25.0)) / sum(1 / (1 + 9 * d2 / 25.0)), 6) z from f where q = 1 group by row, col")
 def waffle_nearneighbor(s, d):
-    return I.near_neighbor(surface(s, d), sparse(s, d), 5, 4)
+    return I.near_neighbor(fine(s, d), sparse(s, d), 5, 4).withColumn("z", F.round("z", 6))
 
 
-@query(f"with {SPARSE}, {NEAR(4)} select g.row, g.col, round(sqrt(min(d2)), 9) distance from g left join p using (row, col) group by 1, 2")
+@query(f"with {SPARSE}, {NEAR(4)} select g.row, g.col, round(sqrt(min(d2)), 9) distance from t g left join p using (row, col) group by 1, 2")
 def waffle_proximity(s, d):
-    return I.proximity(surface(s, d), sparse(s, d), 4).withColumn("distance", F.round("distance", 9))
+    return I.proximity(fine(s, d), sparse(s, d), 4).withColumn("distance", F.round("distance", 9))
 
 
-@query(f"with {SPARSE}, q as (select floor(sqrt((a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col)) / 2)::int lag, (a.z-b.z)*(a.z-b.z) e from k a join k b on (a.row, a.col) <> (b.row, b.col)) select lag, count(*) n, sum(e) / (2 * count(*)) gamma from q where lag < 4 group by lag")
+@query(f"with {MEAN}, k as (select * from g), q as (select floor(sqrt((a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col)) / 2)::int lag, (a.z-b.z)*(a.z-b.z) e from k a join k b on (a.row, a.col) <> (b.row, b.col)) select lag, count(*) n, sum(e) / (2 * count(*)) gamma from q where lag < 4 group by lag")
 def waffle_variogram(s, d):
-    return I.variogram(sparse(s, d), 2, 4)
+    return I.variogram(surface(s, d), 2, 4)
 
 
 @query(f"with {MEAN} select row, col, (case when z > 25 then 1 else -1 end + 2 * case when n > 100 then 1 else -1 end > 0)::int land from g")
