@@ -1,3 +1,3 @@
 """Part of terragrid."""
 
-from . import areas, queries  # noqa: F401  queries register themselves
+from . import areas, files, queries  # noqa: F401  queries register themselves

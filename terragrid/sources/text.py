@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +12,72 @@ from pyspark.sql import functions as F
 DELIMITER = r"[\s,;|/:]+"
 
 
-def read_xyz(spark: SparkSession, path: str, positions: tuple = (0, 1, 2, None, None), delimiter: str = DELIMITER) -> DataFrame:
-    """x, y, z, w, u of text lines; comments and lines without three numbers, headers too, are dropped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("v"))
-    parts = F.split("v", delimiter)
+#: tried in this order; white space is the last
+KNOWN_DELIMITERS = (",", "/", ":", ";", "|")
+
+
+def guess_delimiter(spark: SparkSession, path: str, lines: int = 100) -> str:
+    """The first known delimiter that parts some line among the first ones into three numbers."""
+    some = [r[0].strip() for r in spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')").head(lines)]
+
+    def numbers(parts):
+        try:
+            return len([float(p) for p in parts[:3]]) == 3
+        except ValueError:
+            return False
+
+    for d in KNOWN_DELIMITERS:
+        if any(numbers(line.split(d)) for line in some):
+            return r"\s*" + re.escape(d) + r"\s*"
+    return r"\s+"
+
+
+def points_of_lines(lines: DataFrame, positions: tuple = (0, 1, 2, None, None), delimiter: str = DELIMITER, scale: tuple = (1.0, 1.0, 1.0), offset: tuple = (0.0, 0.0), wrap: bool = False, keep: tuple = ()) -> DataFrame:
+    """x, y, z, w, u of lines (value): x and y as (v + offset) * scale, z as z * scale; wrap: x to -180 .. 180.
+
+    Comments and lines without three numbers, headers too, are dropped.
+    """
+    parts = F.split(F.trim("value"), delimiter)
     get = lambda i: F.lit(None).cast("double") if i is None else F.get(parts, F.lit(i)).try_cast("double")
-    points = lines.where("v <> '' and not startswith(v, '#')").select(*(get(i).alias(c) for c, i in zip("xyzwu", positions, strict=True)))
-    return points.where("x is not null and y is not null and z is not null and not isnan(z)")
+    points = lines.where("trim(value) <> '' and not startswith(trim(value), '#')").select(*(get(i).alias(c) for c, i in zip("xyzwu", positions, strict=True)), *keep)
+    points = points.where("x is not null and y is not null and z is not null and not isnan(z)")
+    points = points.withColumns({"x": (F.col("x") + offset[0]) * scale[0], "y": (F.col("y") + offset[1]) * scale[1], "z": F.col("z") * scale[2]})
+    return points.withColumn("x", (F.col("x") + 180) % 360 - 180) if wrap else points
+
+
+def read_xyz(spark: SparkSession, path: str | list[str], positions: tuple = (0, 1, 2, None, None), delimiter: str | None = DELIMITER, **how) -> DataFrame:
+    """``points_of_lines`` of text files; delimiter None: guessed."""
+    delimiter = guess_delimiter(spark, path) if delimiter is None else delimiter
+    return points_of_lines(spark.read.text(path).select("value"), positions, delimiter, **how)
+
+
+def read_geojson(spark: SparkSession, path: str, z_field: str | None = None, weight_field: str | None = None, uncertainty_field: str | None = None, z_scale: float = 1.0, z: float | None = None) -> DataFrame:
+    """x, y, z, w, u of the vertices of all geometries: z from the vertex, else the field, else the constant.
+
+    Files have one feature a line or are feature collections; a file of the latter kind is read as a whole.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    feature = "struct<geometry:string,properties:map<string,string>>"
+    collection = F.from_json("value", f"struct<type:string,features:array<{feature}>>")
+    lines = F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, feature))
+    features = whole.select(F.explode(F.coalesce(collection["features"], lines)).alias("f")).where("f.geometry is not null")
+    # a vertex is an innermost array, whatever the geometry
+    vertices = features.select("f.properties", F.explode(F.regexp_extract_all(F.get_json_object("f.geometry", "$.coordinates"), F.lit(r"\[([^\[\]]+)\]"), F.lit(1))).alias("v"))
+    at = lambda i: F.get(F.split("v", r"\s*,\s*"), F.lit(i)).try_cast("double")
+    prop = lambda name: F.lit(None).cast("double") if name is None else F.element_at("properties", name).try_cast("double")
+    return vertices.select(at(0).alias("x"), at(1).alias("y"), (F.coalesce(at(2), prop(z_field), F.lit(z).cast("double")) * z_scale).alias("z"), prop(weight_field).alias("w"), prop(uncertainty_field).alias("u")).where("x is not null and y is not null and z is not null")
+
+
+def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
+    """(row, col, z, x, y) of the cells with values of ESRI text grids: header lines of a name and a number, then rows."""
+    lines = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("file"), F.filter(F.split(F.lower("value"), r"\r?\n"), lambda x: F.trim(x) != "").alias("l"))
+    is_head = lambda x: F.trim(x).rlike("^[a-z]")
+    head = F.map_from_entries(F.transform(F.filter("l", is_head), lambda x: F.struct(F.split(F.trim(x), r"\s+")[0], F.split(F.trim(x), r"\s+")[1].cast("double"))))
+    rows = lines.select(head.alias("h"), F.posexplode(F.filter("l", lambda x: ~is_head(x))).alias("row", "line"))
+    cells = rows.select("h", "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v")).withColumn("z", F.col("v").try_cast("double"))
+    h = lambda name: F.element_at("h", name)
+    out = cells.where(F.col("z").isNotNull() & (F.col("z") != F.coalesce(h("nodata_value"), F.lit(-9999.0))))
+    return out.select("row", "col", "z", (h("xllcorner") + (F.col("col") + 0.5) * h("cellsize")).alias("x"), (h("yllcorner") + (h("nrows") - F.col("row") - 0.5) * h("cellsize")).alias("y"))
 
 
 def write_xyz(points: DataFrame, path: str, delimiter: str = " ", precision: int | None = None) -> None:
@@ -78,16 +138,92 @@ def load_catalog(spark: SparkSession, path: str, weight: float = 1.0, uncertaint
     return found
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """All points of a catalog with source, and effective w and u."""
-    from ..operators.points import effective
-
+def catalog_table(spark: SparkSession, entries: list[dict]) -> DataFrame:
+    """Entries as a table, with the bounds of their statistics files (path + .inf) where these exist."""
+    columns = (*COLUMNS, "xmin", "xmax", "ymin", "ymax", "zmin", "zmax")
+    paths = [e["path"] for e in entries]
+    found = {}
+    if paths:
+        fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        there = [p + ".inf" for p in paths if fs(p + ".inf").getFileSystem(conf).exists(fs(p + ".inf"))]
+        if there:
+            for name, text in spark.read.text(there, wholetext=True).select(F.regexp_replace(F.input_file_name(), "^file:/+", "/"), "value").toLocalIterator():
+                found[name.removesuffix(".inf")] = json.loads(text)["minmax"]
+    rows = [tuple(e.get(c) for c in COLUMNS) + tuple(found.get(e["path"], [None] * 6)) for e in entries]
+    kinds = {"weight": "double", "uncertainty": "double"} | {c: "double" for c in columns[-6:]}
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in columns))
+
+
+def prune(entries: DataFrame, region=None, weights: tuple | None = None, uncertainties: tuple | None = None, where: list[str] = ()) -> DataFrame:
+    """Entries whose bounds meet the region (entries without bounds stay), with weights and uncertainties in ranges, and for which all SQL conditions hold."""
+    if region is not None:
+        outside = (F.col("xmax") < region.xmin) | (F.col("xmin") > region.xmax) | (F.col("ymax") < region.ymin) | (F.col("ymin") > region.ymax)
+        for lo, c in ((region.zmin, F.col("zmax") < region.zmin if region.zmin is not None else None), (region.zmax, F.col("zmin") > region.zmax if region.zmax is not None else None)):
+            outside = outside if lo is None else outside | c
+        entries = entries.where(~F.coalesce(outside, F.lit(False)))
+    for column, limits in (("weight", weights), ("uncertainty", uncertainties)):
+        if limits is not None:
+            entries = entries.where(F.col(column).between(*limits))
+    for condition in where:
+        entries = entries.where(F.expr(condition))
+    return entries
+
+
+def write_entry_index(entries: DataFrame, path: str) -> None:
+    """One feature a line: the entry's box as a polygon, its fields as properties."""
+    ring = F.array(*(F.array(F.col(x), F.col(y)) for x, y in (("xmin", "ymin"), ("xmin", "ymax"), ("xmax", "ymax"), ("xmax", "ymin"), ("xmin", "ymin"))))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    entries.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*(F.col(f"`{c}`") for c in entries.columns)).alias("properties"))).alias("value")).write.text(path)
+
+
+def read_entry_index(spark: SparkSession, path: str, region=None, **ranges) -> DataFrame:
+    """Entries of an index, pruned as in ``prune``."""
+    kinds = {"weight": "double", "uncertainty": "double"} | {c: "double" for c in ("xmin", "xmax", "ymin", "ymax", "zmin", "zmax")}
+    shape = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in (*COLUMNS, "xmin", "xmax", "ymin", "ymax", "zmin", "zmax"))
+    table = spark.read.schema(f"properties struct<{shape.replace('` ', '`:')}>").json(path).select("properties.*")
+    return prune(table, region, **ranges)
+
+
+def cell_index(entries: DataFrame, size: float, key: str = "path") -> DataFrame:
+    """(cx, cy, key): the cells of a size that each entry's box meets."""
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    return entries.select(key, "ymin", "ymax", span("xmin", "xmax").alias("cx")).select(key, "cx", span("ymin", "ymax").alias("cy")).select("cx", "cy", key)
+
+
+def box_join(left: DataFrame, right: DataFrame, size: float, keys: tuple[str, str]) -> DataFrame:
+    """Pairs of keys whose boxes intersect: both sides' cells meet in an equi-join, then the boxes are compared."""
+    a, b = keys
+    box = lambda df, k, p: df.select(k, *(F.col(c).alias(f"{p}{c}") for c in ("xmin", "xmax", "ymin", "ymax")))
+    pairs = cell_index(left, size, a).join(cell_index(right, size, b), ["cx", "cy"]).select(a, b).distinct()
+    both = pairs.join(box(left, a, "l"), a).join(box(right, b, "r"), b)
+    return both.where("lxmin <= rxmax and rxmin <= lxmax and lymin <= rymax and rymin <= lymax").select(a, b)
+
+
+def read_catalog(spark: SparkSession, path: str, region=None, **ranges) -> DataFrame | None:
+    """All points of a catalog with source, and effective w and u; entries that can't count are never read.
+
+    Files of one format are one scan, whatever their number; a point finds its entry by its file's name.
+    """
+    from ..operators.points import effective, in_region
+
+    entries = prune(catalog_table(spark, load_catalog(spark, path)), region, **ranges).select("path", "format", "weight", "uncertainty", "title")
+    by_format: dict[bool, list[str]] = {}
+    for r in entries.select("path", "format").collect():  # a list of files, not data
+        by_format.setdefault(r.format.startswith("310"), []).append(r.path)
     out = None
-    for e in load_catalog(spark, path):
-        df = spark.read.parquet(e["path"]) if e["format"].startswith("310") else read_xyz(spark, e["path"])
-        df = effective(df, e["weight"], e["uncertainty"]).select("x", "y", "z", "w", "u", F.lit(e["title"]).alias("source"))
-        out = df if out is None else out.unionByName(df)
-    return out
+    name = F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("path")
+    for parquet, paths in by_format.items():
+        points = spark.read.parquet(*paths).select("x", "y", "z", "w", "u", name) if parquet else points_of_lines(spark.read.text(paths).select("value", name), keep=("path",))
+        if parquet:
+            # an entry of Parquet is a folder
+            points = points.withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+        out = points if out is None else out.unionByName(points)
+    if out is None:
+        return None
+    out = effective(out.join(entries, "path"))
+    out = out.withColumns({"w": F.col("w") * F.col("weight"), "u": F.sqrt(F.pow("u", 2) + F.pow("uncertainty", 2))}).select("x", "y", "z", "w", "u", F.col("title").alias("source"))
+    return out if region is None else in_region(out, region)
 
 
 def info_json(points: DataFrame, name: str) -> str:
