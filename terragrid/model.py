@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,10 +21,14 @@ class Region:
     ymax: float
     zmin: float | None = None
     zmax: float | None = None
+    wmin: float | None = None
+    wmax: float | None = None
+    umin: float | None = None
+    umax: float | None = None
 
     @staticmethod
     def parse(text: str) -> "Region":
-        """``-R`` or plain ``xmin/xmax/ymin/ymax[/zmin/zmax]``, POLYGON text or GeoJSON."""
+        """``-R`` or plain ``xmin/xmax/ymin/ymax[/zmin/zmax[/wmin/wmax[/umin/umax]]]``, POLYGON text or GeoJSON; - stands for no bound."""
         text = text.strip()
         if text.startswith("{"):
             shape = json.loads(text)
@@ -32,7 +36,7 @@ class Region:
             return Region._around(ring)
         if text.upper().startswith("POLYGON"):
             return Region._around([tuple(map(float, p.split()[:2])) for p in text[text.rindex("(") + 1 : text.index(")")].split(",")])
-        return Region(*(float(v) for v in text.removeprefix("-R").split("/")))
+        return Region(*(None if v in ("-", "None", "") else float(v) for v in text.removeprefix("-R").split("/")))
 
     @staticmethod
     def _around(ring) -> "Region":
@@ -41,22 +45,61 @@ class Region:
 
     @property
     def valid(self) -> bool:
-        return self.xmin < self.xmax and self.ymin < self.ymax and (self.zmin is None or self.zmax is None or self.zmin <= self.zmax)
+        return self.xmin < self.xmax and self.ymin < self.ymax and all(lo is None or hi is None or lo <= hi for lo, hi in ((self.zmin, self.zmax), (self.wmin, self.wmax), (self.umin, self.umax)))
+
+    def _with(self, other: "Region", lower, upper) -> "Region":
+        """Bounds of both; where only one has a bound, that one."""
+        def pick(name, f):
+            a, b = getattr(self, name), getattr(other, name)
+            return b if a is None else a if b is None else f(a, b)
+
+        return Region(**{f"{c}{m}": pick(f"{c}{m}", f) for c in "xyzwu" for m, f in (("min", lower), ("max", upper))})
 
     def intersect(self, other: "Region") -> "Region":
-        return Region(max(self.xmin, other.xmin), min(self.xmax, other.xmax), max(self.ymin, other.ymin), min(self.ymax, other.ymax))
+        return self._with(other, max, min)
 
     def union(self, other: "Region") -> "Region":
-        return Region(min(self.xmin, other.xmin), max(self.xmax, other.xmax), min(self.ymin, other.ymin), max(self.ymax, other.ymax))
+        return self._with(other, min, max)
 
     def intersects(self, other: "Region") -> bool:
         return self.intersect(other).valid
 
-    def buffer(self, by: float) -> "Region":
-        return Region(self.xmin - by, self.xmax + by, self.ymin - by, self.ymax + by, self.zmin, self.zmax)
+    def within(self, other: "Region") -> bool:
+        return other.xmin <= self.xmin and self.xmax <= other.xmax and other.ymin <= self.ymin and self.ymax <= other.ymax
+
+    def buffer(self, by: float, inc: float | None = None) -> "Region":
+        """Grown on all sides; inc: by whole increments."""
+        by = by if inc is None else int(by / inc) * inc
+        return replace(self, xmin=self.xmin - by, xmax=self.xmax + by, ymin=self.ymin - by, ymax=self.ymax + by)
+
+    def buffer_percent(self, percent: float, inc: float | None = None) -> "Region":
+        return self.buffer(((self.xmax - self.xmin) + (self.ymax - self.ymin)) / 2 * percent / 100, inc)
+
+    def cut(self, to: "Region", dx: float | None = None, dy: float | None = None) -> "Region":
+        """Shrunk to another region, by whole increments if given; itself where they don't meet or it lies around nothing new."""
+        if not (self.valid and to.valid and self.intersects(to)):
+            return self
+        if dx is None or dy is None:
+            return self.intersect(to)
+        less = lambda a, b, d: a - int((a - b) / d) * d
+        return replace(self, xmin=less(self.xmin, to.xmin, dx), xmax=less(self.xmax, to.xmax, dx), ymin=less(self.ymin, to.ymin, dy), ymax=less(self.ymax, to.ymax, dy))
+
+    @property
+    def centre(self) -> tuple[float, float]:
+        return (self.xmin + self.xmax) / 2, (self.ymin + self.ymax) / 2
+
+    def increments(self, nx: int, ny: int) -> tuple[float, float]:
+        return (self.xmax - self.xmin) / nx, (self.ymax - self.ymin) / ny
+
+    def on_earth(self, just_below: bool = False) -> "Region":
+        """Bounds beyond 180 and 90 degrees taken back to these, or to a little less."""
+        off = 0.15 if just_below else 0.0
+        low = lambda v, end: -end + off if v <= -end else v
+        high = lambda v, end: end - off if v >= end else v
+        return replace(self, xmin=low(self.xmin, 180), xmax=high(self.xmax, 180), ymin=low(self.ymin, 90), ymax=high(self.ymax, 90))
 
-    def buffer_percent(self, percent: float) -> "Region":
-        return self.buffer(((self.xmax - self.xmin) + (self.ymax - self.ymin)) / 2 * percent / 100)
+    def rounded(self, digits: int) -> "Region":
+        return replace(self, xmin=round(self.xmin, digits), xmax=round(self.xmax, digits), ymin=round(self.ymin, digits), ymax=round(self.ymax, digits))
 
     def tiles(self, size: float) -> list["Region"]:
         nx, ny = (math.ceil((b - a) / size - 1e-9) for a, b in ((self.xmin, self.xmax), (self.ymin, self.ymax)))
@@ -75,6 +118,9 @@ class Region:
             "te": f"{a:g} {c:g} {b:g} {d:g}",
             "ul_lr": f"{a:g} {d:g} {b:g} {c:g}",
             "wkt": self.wkt(),
+            "sstr": f"{a:g} {b:g} {c:g} {d:g}",
+            "fstr": f"{'w' if a < 0 else 'e'}{abs(a):g}_{'s' if c < 0 else 'n'}{abs(c):g}",
+            "xyz": "\n".join(f"{x:g} {y:g}" for x, y in ((a, c), (a, d), (b, d), (b, c), (a, c))),
         }[kind]
 
     def geojson(self) -> dict:

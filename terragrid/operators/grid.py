@@ -114,8 +114,9 @@ def diff(cells: DataFrame, aux: DataFrame, diff_threshold: float | None = None,
     return _with_z(j, z, cells)
 
 
-def iqr_limits(df: DataFrame, value: str, p: float = 75, k: float = 1.5) -> DataFrame:
-    lo, hi = F.percentile(value, (100 - p) / 100), F.percentile(value, p / 100)
+def iqr_limits(df: DataFrame, value: str, p: float = 75, k: float = 1.5, lower: str = "mirrored") -> DataFrame:
+    """Limits from the percentiles p and 100 - p ("mirrored") or p and p - 50 ("offset")."""
+    lo, hi = F.percentile(value, ((100 - p) if lower == "mirrored" else (p - 50)) / 100), F.percentile(value, p / 100)
     return df.agg((lo - (hi - lo) * k).alias("lower"), (hi + (hi - lo) * k).alias("upper"))
 
 
@@ -193,6 +194,32 @@ def hillshade(cells: DataFrame, azimuth: float = 315, altitude: float = 45) -> D
     return g.select("row", "col", F.greatest(F.lit(0.0), shade).alias("shade"))
 
 
+def hillshade_horn(cells: DataFrame, dx: float, dy: float, azimuth: float = 315, altitude: float = 45, z_factor: float = 1.0, gamma: float = 1.0) -> DataFrame:
+    """(row, col, shade): light on a surface with Horn's gradients in the units of x and y; cells with eight neighbours only."""
+    n = neighbours(cells, 3)
+    w = lambda across: 2 - F.abs(across)
+    east = F.sum(F.when(F.col("dc") == 1, w(F.col("dr")) * F.col("nz")).when(F.col("dc") == -1, -w(F.col("dr")) * F.col("nz"))) / 8 / float(dx)
+    north = F.sum(F.when(F.col("dr") == -1, w(F.col("dc")) * F.col("nz")).when(F.col("dr") == 1, -w(F.col("dc")) * F.col("nz"))) / 8 / float(dy)
+    g = n.groupBy("row", "col").agg(east.alias("gx"), north.alias("gy"), F.count("*").alias("n")).where("n = 9")
+    slope_, facing = F.atan(z_factor * F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2)), F.atan2(-F.col("gy"), -F.col("gx"))
+    alt, light = math.radians(altitude), math.radians((450 - azimuth) % 360)
+    shade = F.greatest(F.lit(0.0), 255 * (math.sin(alt) * F.cos(slope_) + math.cos(alt) * F.sin(slope_) * F.cos(light - facing)))
+    return g.select("row", "col", (shade if gamma == 1 else F.pow(shade / 255, 1 / gamma) * 255).alias("shade"))
+
+
+def percentile_of_values(cells: DataFrame, p: float) -> DataFrame:
+    """A percentile of the cells' values, zeros left out."""
+    return cells.where("z is not null and z <> 0").agg(F.percentile("z", p / 100).alias("percentile"))
+
+
+def hypsometry(cells: DataFrame, bins: int, low: float, high: float, weight: str | None = None) -> DataFrame:
+    """(bin, n, weight, pdf, cdf) of the values; the tables behind the shares have a row a bin."""
+    b = F.least(F.lit(bins - 1), F.floor((F.col("z") - low) * bins / (high - low))).cast("int")
+    h = cells.where(F.col("z").between(low, high)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.sum(F.col(weight) if weight else F.lit(1.0)).alias("weight"))
+    every = W.partitionBy(F.lit(0))
+    return h.withColumns({"pdf": F.col("n") / F.sum("n").over(every), "cdf": F.sum("n").over(every.orderBy("bin")) / F.sum("n").over(every)})
+
+
 def histogram(cells: DataFrame, bins: int, low: float, high: float) -> DataFrame:
     """(bin, n, cumulative): the right edge belongs to the last bin."""
     b = F.least(F.lit(bins - 1), F.floor((F.col("z") - low) * bins / (high - low))).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,6 +101,64 @@ def near_neighbor(cells: DataFrame, data: DataFrame, radius: int = 5, sectors: i
     return n.groupBy("row", "col").agg((F.sum(w * F.col("p.nz")) / F.sum(w)).alias("z"))
 
 
+@MODULES.add("natural-neighbor")
+def natural_neighbor(cells: DataFrame, data: DataFrame) -> DataFrame:
+    """Discrete natural neighbours: every cell gives the z of its nearest datum to all cells within that distance; a cell is the mean of what it gets.
+
+    ``cells`` must be the whole grid, as each of its cells takes part.
+    """
+    near = k_nearest(cells, data, 1)
+    r = F.floor(F.sqrt("d2")).cast("int")
+    disc = near.select("nz", "d2", "row", "col", F.explode(F.sequence(-r, r)).alias("dr"))
+    reach = F.floor(F.sqrt(F.col("d2") - F.col("dr") * F.col("dr"))).cast("int")
+    disc = disc.select((F.col("row") + F.col("dr")).alias("row"), F.explode(F.sequence(F.col("col") - reach, F.col("col") + reach)).alias("col"), "nz")
+    return disc.join(cells.select("row", "col"), ["row", "col"], "left_semi").groupBy("row", "col").agg(F.avg("nz").alias("z"))
+
+
+@MODULES.add("kriging")
+def kriging(cells: DataFrame, data: DataFrame, k: int = 12, model: str = "spherical", nugget: float = 0.0, sill: float = 1.0, reach: float = 10.0) -> DataFrame:
+    """(row, col, z, variance) by ordinary kriging from the k nearest data with a given variogram.
+
+    Each cell's small system is solved beside those of its batch; data cells keep their value without a nugget.
+    """
+    near = k_nearest(cells, data, k).groupBy("row", "col").agg(F.array_sort(F.collect_list(F.struct("d2", "nr", "nc", "nz"))).alias("near"))  # k rows at most
+
+    def gamma(h):
+        t = np.minimum(h / reach, 1)
+        shape = {"spherical": 1.5 * t - 0.5 * t**3, "linear": t, "exponential": 1 - np.exp(-3 * h / reach), "gaussian": 1 - np.exp(-3 * (h / reach) ** 2)}[model]
+        return np.where(h > 0, nugget + (sill - nugget) * shape, 0.0)
+
+    def solve(batch_iter):
+        for batch in batch_iter:
+            lists = batch["near"]
+            first = np.asarray(lists.offsets)
+            nr, nc, nz = (np.asarray(lists.values.field(c), float) for c in ("nr", "nc", "nz"))
+            row, col = np.asarray(batch["row"], float), np.asarray(batch["col"], float)
+            z, var = np.zeros(len(row)), np.zeros(len(row))
+            n = np.diff(first)
+            for m in np.unique(n):
+                some = np.flatnonzero(n == m)
+                at = first[some][:, None] + np.arange(m)
+                r, c = nr[at], nc[at]
+                a = np.ones((len(some), m + 1, m + 1))
+                a[:, :m, :m] = gamma(np.hypot(r[:, :, None] - r[:, None, :], c[:, :, None] - c[:, None, :]))
+                a[:, m, m] = 0
+                b = np.ones((len(some), m + 1, 1))
+                b[:, :m, 0] = gamma(np.hypot(r - row[some, None], c - col[some, None]))
+                x = np.linalg.solve(a, b)[:, :, 0]
+                z[some] = (x[:, :m] * nz[at]).sum(axis=1)
+                var[some] = (x * b[:, :, 0]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["col"], pa.array(z), pa.array(var)], ["row", "col", "z", "variance"])
+
+    return near.mapInArrow(solve, "row int, col int, z double, variance double")
+
+
+@MODULES.add("ml-knn")
+def knn_mean(cells: DataFrame, data: DataFrame, k: int = 5) -> DataFrame:
+    """Plain mean of the k nearest data."""
+    return k_nearest(cells, data, k).groupBy("row", "col").agg(F.avg("nz").alias("z"))
+
+
 def proximity(cells: DataFrame, data: DataFrame, radius: int | None = None) -> DataFrame:
     """Distance in cells to the nearest data cell; null beyond a radius, if one is given."""
     near = k_nearest(cells, data, 1) if radius is None else within(cells, data, radius)

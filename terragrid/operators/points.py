@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import Grid, Region, Registry
+from ..tables import settle
 
 FILTERS = Registry("point filter")
 
@@ -57,9 +58,18 @@ def _one_per_block(df: DataFrame, blocks: list[Column], order: list[Column], inv
     return df.withColumn("__rn", rn).where(F.col("__rn") > 1 if invert else F.col("__rn") == 1).drop("__rn")
 
 
+def _extreme(df: DataFrame, blocks: list[Column], mode: str) -> DataFrame:
+    """One row a block by min_by, which combines before the shuffle; ties go to the lowest id."""
+    order = F.struct(F.col("z") if mode == "min" else -F.col("z"), F.col("id"))
+    row = F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), order).alias("__p")
+    return df.groupBy(*(b.alias(f"__b{i}") for i, b in enumerate(blocks))).agg(row).select("__p.*")
+
+
 @FILTERS.add("block_minmax")
 def block_minmax(df: DataFrame, res: float = 10, mode: str = "min", invert: bool = False) -> DataFrame:
-    """The lowest or highest point of each absolute block."""
+    """The lowest or highest point of each absolute block; an aggregate, unless the others are asked for."""
+    if not invert:
+        return _extreme(df, _block(res), mode)
     return _one_per_block(df, _block(res), [F.col("z").asc() if mode == "min" else F.col("z").desc()], invert)
 
 
@@ -70,7 +80,7 @@ def block_thin(df: DataFrame, res: float = 10, mode: str = "min") -> DataFrame:
     df = df.crossJoin(F.broadcast(low))  # one row
     blocks = [F.floor((F.col("x") - F.col("x0")) / res), F.floor((F.col("y") - F.col("y0")) / res)]
     if mode in ("min", "max"):
-        out = _one_per_block(df, blocks, [F.col("z").asc() if mode == "min" else F.col("z").desc()])
+        out = _extreme(df, blocks, mode)
     else:
         mid = (F.avg if mode == "mean" else F.median)("z").over(W.partitionBy(*blocks))
         out = _one_per_block(df.withColumn("__off", F.abs(F.col("z") - mid)), blocks, [F.col("__off")]).drop("__off")
@@ -94,9 +104,12 @@ def density(df: DataFrame, res: float = 10, mode: str = "random") -> DataFrame:
 
 
 def outlier_pass(df: DataFrame, cell: list[Column], percentile: float, percentage: bool = False) -> DataFrame:
-    mean = F.avg("z").over(W.partitionBy(*cell))
-    off = F.abs(F.col("z") - mean)
-    df = df.withColumn("__res", F.when(mean != 0, off / F.abs(mean) * 100) if percentage else off)
+    keys = [c.alias(f"__c{i}") for i, c in enumerate(cell)]
+    df = df.select("*", *keys)
+    names = [f"__c{i}" for i in range(len(cell))]
+    means = df.groupBy(*names).agg(F.avg("z").alias("__mean"))
+    off = F.abs(F.col("z") - F.col("__mean"))
+    df = settle(df.join(means, names).withColumn("__res", F.when(F.col("__mean") != 0, off / F.abs("__mean") * 100) if percentage else off).drop(*names, "__mean"), "residuals")
     cut = df.agg(F.percentile("__res", percentile / 100).alias("__cut"))
     return df.crossJoin(F.broadcast(cut)).where("__res is null or __cut is null or __res <= __cut").drop("__res", "__cut")  # one row
 
@@ -175,6 +188,22 @@ def vector_mask(df: DataFrame, polygon: list, invert: bool = False) -> DataFrame
     return df.where(~inside if invert else inside)
 
 
+def cell_mean(df: DataFrame, grid: Grid) -> DataFrame:
+    """Points with the mean of their cell; cells are grouped and joined back."""
+    p = _cells(df, grid)
+    return p.join(p.groupBy("row", "col").agg(F.avg("z").alias("cell_mean")), ["row", "col"])
+
+
+def block_lists(df: DataFrame, grid: Grid) -> DataFrame:
+    """(row, col, ids): sorted ids of the points in each cell."""
+    return _cells(df, grid).groupBy("row", "col").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def decimate(df: DataFrame, max_points: int, key: str = "id", seed: int = 42) -> DataFrame:
+    """At most so many points, drawn by a hash of their key: the same in every run."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(max_points)
+
+
 def chain(df: DataFrame, filters: list[str], **more) -> DataFrame:
     for text in filters:
         df = FILTERS.apply(df, text, **more)

@@ -88,6 +88,22 @@ def coverage(sums: DataFrame, level: int | None = None) -> DataFrame:
     return sums.select("row", "col", path.alias("source")).distinct()
 
 
+def winning_source(sums: DataFrame) -> DataFrame:
+    """(row, col, source): the source of the highest mean weight covers the cell, the masks of the others are reset."""
+    top = F.min_by("source", F.struct(-(F.col("sw") / F.col("count")), F.col("source")))
+    return sums.groupBy("row", "col").agg(top.alias("source"))
+
+
+def coverage_of_valid(cover: DataFrame, cells: DataFrame) -> DataFrame:
+    """Coverage where the stack has a value."""
+    return cover.join(cells.where("z is not null").select("row", "col"), ["row", "col"], "left_semi")
+
+
+def single_mask(cover: DataFrame) -> DataFrame:
+    """(row, col, z): 1 where any source covers the cell."""
+    return cover.select("row", "col").distinct().withColumn("z", F.lit(1))
+
+
 def stack_points(cells: DataFrame, grid: Grid, node: bool = False) -> DataFrame:
     """Cells as points, at mean coordinates or at cell centres."""
     xy = {"x": F.col("x"), "y": F.col("y")} if node else {"x": grid.x(), "y": grid.y()}
