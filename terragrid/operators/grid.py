@@ -1,8 +1,8 @@
 """Grid filters and analytics on sparse cells (row, col, z).
 
-Kernels are equi-joins: each cell is sent to the k x k cells it counts for, and
-sums are grouped there; nothing is gathered into an array, so a grid of any size
-is spread over the cluster.
+Kernels are aggregates: each cell is sent to the k x k cells it counts for, and
+grouped there in one shuffle; nothing is gathered into an array, so a grid of any
+size is spread over the cluster.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import Registry
+from ..tables import settle
+from .select import percentiles
 
 FILTERS = Registry("grid filter")
 
@@ -23,14 +25,17 @@ def offsets(k: int) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in range(-r, r + 1) for j in range(-r, r + 1))))
 
 
-def neighbours(cells: DataFrame, k: int) -> DataFrame:
-    """(row, col, nz, dr, dc): for each cell that exists, its neighbours within k x k."""
-    sent = cells.where("z is not null").select("row", "col", F.col("z").alias("nz"), offsets(k).alias("o")).select((F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), "nz", (-F.col("o.dr")).alias("dr"), (-F.col("o.dc")).alias("dc"))
-    return sent.join(cells.select("row", "col"), ["row", "col"], "left_semi")
+def _sent(cells: DataFrame, k: int) -> DataFrame:
+    """(row, col, nz, dr, dc, cell): each value at the k x k cells it counts for; its own columns at its own place."""
+    own = (F.col("o.dr") == 0) & (F.col("o.dc") == 0)
+    sent = cells.select(F.struct(*(F.col(f"`{c}`") for c in cells.columns)).alias("cell"), offsets(k).alias("o")).where(F.col("cell.z").isNotNull() | own)
+    return sent.select((F.col("cell.row") + F.col("o.dr")).alias("row"), (F.col("cell.col") + F.col("o.dc")).alias("col"), F.col("cell.z").alias("nz"), (-F.col("o.dr")).alias("dr"), (-F.col("o.dc")).alias("dc"), F.when(own, F.col("cell")).alias("cell"))
 
 
 def focal(cells: DataFrame, k: int, **aggs: Column) -> DataFrame:
-    return cells.join(neighbours(cells, k).groupBy("row", "col").agg(*(c.alias(n) for n, c in aggs.items())), ["row", "col"], "left")
+    """Cells with aggregates of their k x k neighbourhood (nz, dr, dc; nulls are no values): one shuffle, combined before it."""
+    g = _sent(cells, k).groupBy("row", "col").agg(F.max("cell").alias("cell"), *(c.alias(n) for n, c in aggs.items()))
+    return g.where("cell is not null").select("cell.*", *aggs)
 
 
 def _with_z(df: DataFrame, z: Column, cells: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def _with_z(df: DataFrame, z: Column, cells: DataFrame) -> DataFrame:
 def blur(cells: DataFrame, blur_factor: int = 1) -> DataFrame:
     """Gaussian weights exp(-(dx^2 + dy^2) / size), over the cells that have values."""
     g = F.exp(-(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")) / float(blur_factor))
-    f = focal(cells, 2 * blur_factor + 1, __z=F.sum(g * F.col("nz")) / F.sum(g))
+    f = focal(cells, 2 * blur_factor + 1, __z=F.sum(g * F.col("nz")) / F.sum(F.when(F.col("nz").isNotNull(), g)))
     return _with_z(f, F.when(F.col("z").isNotNull(), F.col("__z")), cells)
 
 
@@ -74,9 +79,15 @@ def zscore(cells: DataFrame, threshold: float = 3, kernel_size: int = 5) -> Data
 
 @FILTERS.add("flats")
 def flats(cells: DataFrame, size_threshold: int = 100, n_chunk: int | None = None) -> DataFrame:
-    keys = ["z"] if n_chunk is None else ["z", F.floor(F.col("row") / n_chunk), F.floor(F.col("col") / n_chunk)]
-    n = cells.withColumn("__n", F.count("*").over(W.partitionBy(*keys)))
-    return _with_z(n, F.when(F.col("__n") <= size_threshold, F.col("z")), cells)
+    """z is dropped where more cells than the threshold have it, in the grid or in each chunk.
+
+    Only the frequent values are joined, by their number; no window gathers the cells of one value.
+    """
+    keys = [F.col("z").alias("__k0")] + ([] if n_chunk is None else [F.floor(F.col("row") / n_chunk).alias("__k1"), F.floor(F.col("col") / n_chunk).alias("__k2")])
+    names = [f"__k{i}" for i in range(len(keys))]
+    keyed = cells.select("*", *keys)
+    frequent = keyed.where("z is not null").groupBy(*names).agg(F.count("*").alias("__n")).where(F.col("__n") > size_threshold)
+    return _with_z(keyed.join(frequent, names, "left"), F.when(F.col("__n").isNull(), F.col("z")), cells)
 
 
 def gradients(cells: DataFrame) -> DataFrame:
@@ -116,20 +127,34 @@ def diff(cells: DataFrame, aux: DataFrame, diff_threshold: float | None = None,
 
 def iqr_limits(df: DataFrame, value: str, p: float = 75, k: float = 1.5, lower: str = "mirrored") -> DataFrame:
     """Limits from the percentiles p and 100 - p ("mirrored") or p and p - 50 ("offset")."""
-    lo, hi = F.percentile(value, ((100 - p) if lower == "mirrored" else (p - 50)) / 100), F.percentile(value, p / 100)
-    return df.agg((lo - (hi - lo) * k).alias("lower"), (hi + (hi - lo) * k).alias("upper"))
+    lo, hi = percentiles(df, value, [((100 - p) if lower == "mirrored" else (p - 50)) / 100, p / 100])
+    row = (None, None) if lo is None else (lo - (hi - lo) * k, hi + (hi - lo) * k)
+    return df.sparkSession.createDataFrame([row], "lower double, upper double")
 
 
 @FILTERS.add("outliers")
 def outliers(cells: DataFrame, percentile: float = 75, k: float = 1.5) -> DataFrame:
-    """Cells whose z, slope or roughness score lies beyond two upper limits together."""
-    t = terrain(cells)
-    marks = F.lit(0)
-    for m in ("z", "slope", "roughness", "tri"):
-        lim = iqr_limits(t, m, percentile, k).select(F.col("lower").alias(f"__lo_{m}"), F.col("upper").alias(f"__hi_{m}"))
-        t = t.crossJoin(F.broadcast(lim))  # one row
-        marks = marks + F.coalesce((F.col(m) > F.col(f"__hi_{m}")) | (F.col(m) < F.col(f"__lo_{m}")), F.lit(False)).cast("int")
-    return _with_z(t, F.when(marks < 2, F.col("z")), cells)
+    """Cells whose accumulated score is an outlier itself.
+
+    For each of z, slope, roughness and TRI a cell beyond an interquartile limit scores how far beyond it
+    lies, as a share of the distance from the limit to the extreme; cells whose scores add up to more than the
+    upper limit of all scores above zero go.
+    """
+    t = settle(terrain(cells), "terrain")
+    metrics = ("z", "slope", "roughness", "tri")
+    ends = t.agg(*(f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("min", F.min), ("max", F.max)))).first()
+    score = F.lit(0.0)
+    for m in metrics:
+        lim = iqr_limits(t, m, percentile, k).first()
+        if lim.lower is None:
+            continue
+        top, low = ends[f"{m}_max"], ends[f"{m}_min"]
+        over = F.when(F.col(m) > lim.upper, (F.col(m) - lim.upper) / (top - lim.upper) if top > lim.upper else F.lit(0.0))
+        under = F.when(F.col(m) < lim.lower, (lim.lower - F.col(m)) / (lim.lower - low) if low < lim.lower else F.lit(0.0))
+        score = score + F.coalesce(over, under, F.lit(0.0))
+    t = t.withColumn("__score", score)
+    cut = iqr_limits(t.where("__score > 0"), "__score", percentile, k).first().upper
+    return _with_z(t, F.col("z") if cut is None else F.when(F.col("__score") <= cut, F.col("z")), cells)
 
 
 @FILTERS.add("weights")
@@ -196,7 +221,7 @@ def hillshade(cells: DataFrame, azimuth: float = 315, altitude: float = 45) -> D
 
 def hillshade_horn(cells: DataFrame, dx: float, dy: float, azimuth: float = 315, altitude: float = 45, z_factor: float = 1.0, gamma: float = 1.0) -> DataFrame:
     """(row, col, shade): light on a surface with Horn's gradients in the units of x and y; cells with eight neighbours only."""
-    n = neighbours(cells, 3)
+    n = _sent(cells.where("z is not null").select("row", "col", "z"), 3)
     w = lambda across: 2 - F.abs(across)
     east = F.sum(F.when(F.col("dc") == 1, w(F.col("dr")) * F.col("nz")).when(F.col("dc") == -1, -w(F.col("dr")) * F.col("nz"))) / 8 / float(dx)
     north = F.sum(F.when(F.col("dr") == -1, w(F.col("dc")) * F.col("nz")).when(F.col("dr") == 1, -w(F.col("dc")) * F.col("nz"))) / 8 / float(dy)
@@ -209,7 +234,8 @@ def hillshade_horn(cells: DataFrame, dx: float, dy: float, azimuth: float = 315,
 
 def percentile_of_values(cells: DataFrame, p: float) -> DataFrame:
     """A percentile of the cells' values, zeros left out."""
-    return cells.where("z is not null and z <> 0").agg(F.percentile("z", p / 100).alias("percentile"))
+    found = percentiles(cells.where("z <> 0"), "z", [p / 100])
+    return cells.sparkSession.createDataFrame([tuple(found)], "percentile double")
 
 
 def hypsometry(cells: DataFrame, bins: int, low: float, high: float, weight: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..model import Grid, Region, Registry
 from ..tables import settle
+from .select import percentiles
 
 FILTERS = Registry("point filter")
 
@@ -110,8 +111,8 @@ def outlier_pass(df: DataFrame, cell: list[Column], percentile: float, percentag
     means = df.groupBy(*names).agg(F.avg("z").alias("__mean"))
     off = F.abs(F.col("z") - F.col("__mean"))
     df = settle(df.join(means, names).withColumn("__res", F.when(F.col("__mean") != 0, off / F.abs("__mean") * 100) if percentage else off).drop(*names, "__mean"), "residuals")
-    cut = df.agg(F.percentile("__res", percentile / 100).alias("__cut"))
-    return df.crossJoin(F.broadcast(cut)).where("__res is null or __cut is null or __res <= __cut").drop("__res", "__cut")  # one row
+    cut = percentiles(df, "__res", [percentile / 100])[0]
+    return (df if cut is None else df.where(F.col("__res").isNull() | (F.col("__res") <= cut))).drop("__res")
 
 
 @FILTERS.add("outlierz")

@@ -133,7 +133,18 @@ def points_outlier_pass(s, d):
     return p.agg(F.count("*").alias("n"), F.sum("z").cast("long").alias("z"))
 
 
-@query()
+def _outlier_passes(res: int = 20, max_res: int = 200, p: float = 98, max_p: float = 99.9, passes: int = 4) -> str:
+    """SQL of the passes from coarse to fine cells."""
+    sql, last = f"with p0 as ({PTS}), m as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from p0)", "p0"
+    for i in range(passes):
+        f = i / (passes - 1)
+        n, q = max(1, int(max_res + (res - max_res) * f)), (p + (max_p - p) * f) / 100
+        sql += f", a{i} as (select t.*, abs(z - avg(z) over (partition by floor((x - x0) / ((x1 - x0) / {n})), floor((y - y0) / ((y1 - y0) / {n})))) e from (select x, y, z from {last}) t, m), c{i} as (select quantile_cont(e, {q!r}) c from a{i}), p{i + 1} as (select x, y, z from a{i}, c{i} where e <= c)"
+        last = f"p{i + 1}"
+    return f"{sql} select {XYZ} from {last}"
+
+
+@query(_outlier_passes())
 def points_outlierz(s, d):
     return xyz(P.chain(points(s, d), ["outlierz:res=20:max_res=200"]))
 
@@ -313,9 +324,9 @@ def grid_outliers(s, d):
     return G.outliers(surface(s, d))
 
 
-@query()
+@query(f"with {MEAN}, n as (select g.row, g.col, g.z, p.z pz, q.z nz, l.z lz, r.z rz from g left join g p on p.row = g.row - 1 and p.col = g.col left join g q on q.row = g.row + 1 and q.col = g.col left join g l on l.row = g.row and l.col = g.col - 1 left join g r on r.row = g.row and r.col = g.col + 1), k as (select row, col, coalesce((nz - pz) / 2, nz - z, z - pz, 0) gr, coalesce((rz - lz) / 2, rz - z, z - lz, 0) gc from n) select row, col, round(greatest(0, 255 * (cos(radians(45)) * cos(atan(sqrt(gr * gr + gc * gc))) + sin(radians(45)) * sin(atan(sqrt(gr * gr + gc * gc))) * cos(radians(135) - atan2(gr, -gc)))), 6) shade from k")
 def grid_hillshade(s, d):
-    return G.hillshade(surface(s, d))
+    return G.hillshade(surface(s, d)).withColumn("shade", F.round("shade", 6))
 
 
 @query(f"with {MEAN}, a as (select row, col, case when z <= 26 then least(z, 25) end z from g) select count(*) cells, sum((a.z is null)::int)::bigint removed, count(case when a.z <> g.z then 1 end) changed, min(case when a.z <> g.z then a.z - g.z end) min_diff, max(case when a.z <> g.z then a.z - g.z end) max_diff, avg(case when a.z <> g.z then a.z - g.z end) mean_diff from g join a using (row, col)")

@@ -1,0 +1,163 @@
+"""Operators without SQL against plain versions, and what regions, catalogs and module strings do."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from terragrid.functions import tracks
+from terragrid.model import Grid, Region
+from terragrid.operators import grid, gridding, points, select, voids
+from terragrid.sources import binary, text
+
+
+def test_region_algebra():
+    a, b = Region(0, 10, 0, 10, 0, 5), Region(5, 20, -5, 7)
+    assert a.intersect(b) == Region(5, 10, 0, 7, 0, 5) and a.union(b) == Region(0, 20, -5, 10, 0, 5)
+    assert a.intersects(b) and not a.intersects(Region(11, 12, 0, 1)) and Region(1, 2, 1, 2).within(a)
+    assert a.buffer(1).xmax == 11 and a.buffer(1.4, 0.5).xmin == -1 and a.buffer_percent(10).ymin == -1
+    assert a.cut(Region(2.3, 7.2, 1, 20), 1, 1) == Region(2, 8, 1, 20, 0, 5)
+    assert a.cut(Region(50, 60, 50, 60)) == a
+    assert a.centre == (5, 5) and a.increments(5, 2) == (2, 5)
+    assert Region(-190, 180, -95, 3).on_earth() == Region(-180, 180, -90, 3) and Region(-190, 5, 0, 95).on_earth(True) == Region(-179.85, 5, 0, 89.85)
+    r = Region.parse("-R-1/2/3/4/-/9/1/2")
+    assert (r.zmin, r.zmax, r.wmin, r.wmax, r.umin) == (None, 9, 1, 2, None) and r.valid and not Region.parse("0/1/0/1/5/2").valid
+    assert Region.parse(a.wkt()) == Region(0, 10, 0, 10) and Region.parse('{"type":"Polygon","coordinates":[[[0,0],[0,2],[1,2],[1,0],[0,0]]]}') == Region(0, 1, 0, 2)
+
+
+@pytest.mark.parametrize("values", [[1.5], [2.0] * 40_000, list(range(60_000)), [1.0] * 30_000 + [2.0] * 30_000 + [1e9]])
+def test_percentiles(spark, values):
+    random.Random(1).shuffle(values)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(4)
+    want = np.percentile(values, [0, 1, 25, 50, 99.9, 100])
+    assert np.allclose(select.percentiles(df, "v", [0, 0.01, 0.25, 0.5, 0.999, 1]), want)
+    assert select.percentiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def cells(spark, z):
+    return spark.createDataFrame([(r, c, float(v)) for r, row in enumerate(z) for c, v in enumerate(row) if not math.isnan(v)], "row int, col int, z double")
+
+
+def test_kernels_with_voids(spark):
+    r = np.random.default_rng(4)
+    z = np.where(r.random((9, 11)) < 0.25, np.nan, r.integers(0, 50, (9, 11)).astype(float))
+    got = {name: {(x.row, x.col): x.z for x in f(cells(spark, z)).collect()} for name, f in {
+        "median": lambda c: grid.denoise(c, 5), "blur": lambda c: grid.blur(c, 1), "opening": lambda c: grid.morphology(c, "opening", 3)}.items()}
+    at = lambda a, i, j, k: [a[p][q] for p in range(max(0, i - k), min(9, i + k + 1)) for q in range(max(0, j - k), min(11, j + k + 1)) if not math.isnan(a[p][q])]
+    low = np.array([[min(at(z, i, j, 1)) if not math.isnan(z[i, j]) else np.nan for j in range(11)] for i in range(9)])
+    for i in range(9):
+        for j in range(11):
+            if math.isnan(z[i, j]):
+                assert all((i, j) not in v for v in got.values())
+                continue
+            assert got["median"][i, j] == np.median(at(z, i, j, 2)) and got["opening"][i, j] == max(at(low, i, j, 1))
+            w = [(math.exp(-((p - i) ** 2 + (q - j) ** 2)), z[p, q]) for p in range(max(0, i - 1), min(9, i + 2)) for q in range(max(0, j - 1), min(11, j + 2)) if not math.isnan(z[p, q])]
+            assert abs(got["blur"][i, j] - sum(a * b for a, b in w) / sum(a for a, _ in w)) < 1e-9
+
+
+def test_outliers_score(spark):
+    z = np.add.outer(np.arange(15.0), np.arange(15.0))
+    z[7, 7] = 500
+    left = {(r.row, r.col) for r in grid.outliers(cells(spark, z)).where("z is null").collect()}
+    assert (7, 7) in left and len(left) < 20
+    flat = grid.flats(cells(spark, np.zeros((5, 5))), 10).where("z is not null").count()
+    assert flat == 0
+
+
+def test_connected_wide_rows(spark, monkeypatch):
+    monkeypatch.setattr(voids, "SPAN", 3)
+    r = np.random.default_rng(6)
+    on = r.random((14, 17)) < 0.55
+    for diagonal in (False, True):
+        label = -np.ones(on.shape, int)
+        for start in zip(*np.nonzero(on), strict=True):
+            if label[start] >= 0:
+                continue
+            todo = [start]
+            label[start] = start[0] * 100 + start[1]
+            while todo:
+                i, j = todo.pop()
+                for di in (-1, 0, 1):
+                    for dj in (-1, 0, 1):
+                        p, q = i + di, j + dj
+                        if (diagonal or not (di and dj)) and 0 <= p < 14 and 0 <= q < 17 and on[p, q] and label[p, q] < 0:
+                            label[p, q] = label[start]
+                            todo.append((p, q))
+        df = spark.createDataFrame([(int(i), int(j)) for i, j in zip(*np.nonzero(on), strict=True)], "row int, col int")
+        got = {(x.row, x.col): ((x.label >> 32) * 100 + (x.label & 0xFFFFFFFF), x.size) for x in voids.connected(df, diagonal).collect()}
+        assert got == {(int(i), int(j)): (label[i, j], int((label == label[i, j]).sum())) for i, j in zip(*np.nonzero(on), strict=True)}
+    assert voids.connected(df.limit(0)).count() == 0
+
+
+def test_unbounded_search(spark):
+    """Data in one corner, cells far away: rings grow until all have their k."""
+    data = spark.createDataFrame([(0, c, float(c)) for c in range(4)], "row int, col int, z double")
+    targets = gridding.targets(spark, 40, 30)
+    got = {(x.row, x.col): x.z for x in gridding.idw(targets, data, 2, 3).collect()}
+    assert len(got) == 1200
+    for (r, c), z in got.items():
+        near = sorted((r * r + (c - k) ** 2, k) for k in range(4))[:3]
+        want = near[0][1] if near[0][0] == 0 else sum(k / d for d, k in near) / sum(1 / d for d, _ in near)
+        assert abs(z - want) < 1e-9
+    assert gridding.nearest(targets, data.limit(0)).count() == 0
+
+
+def test_kriging(spark):
+    r = np.random.default_rng(3)
+    at = sorted({(int(a), int(b)) for a, b in r.integers(0, 12, (25, 2))})
+    data = spark.createDataFrame([(a, b, float(a * 2 + b)) for a, b in at], "row int, col int, z double")
+    got = {(x.row, x.col): (x.z, x.variance) for x in gridding.kriging(gridding.targets(spark, 12, 12), data, 6, "exponential", 0.1, 3.0, 8.0).collect()}
+    gamma = lambda h: 0.0 if h == 0 else 0.1 + 2.9 * (1 - math.exp(-3 * h / 8))
+    for (i, j), (z, v) in got.items():
+        near = sorted(((a - i) ** 2 + (b - j) ** 2, a, b) for a, b in at)[:6]
+        m = np.ones((7, 7))
+        m[6, 6] = 0
+        m[:6, :6] = [[gamma(math.hypot(p[1] - q[1], p[2] - q[2])) for q in near] for p in near]
+        b = np.array([gamma(math.sqrt(p[0])) for p in near] + [1.0])
+        x = np.linalg.solve(m, b)
+        assert abs(z - sum(w * (2 * p[1] + p[2]) for w, p in zip(x, near, strict=False))) < 1e-8 and abs(v - x @ b) < 1e-8
+
+
+def test_coplanar(spark):
+    pts = [(i, float(i % 6), float(i // 6), float(i % 6) + 2 * (i // 6)) for i in range(36)]
+    pts[14] = (14, pts[14][1], pts[14][2], 60.0)
+    left = {r.id for r in points.coplanar(spark.createDataFrame(pts, "id long, x double, y double, z double"), 1.5, 0.5, 3).collect()}
+    assert 14 not in left and 35 in left
+
+
+def test_las_and_guess(spark, tmp_path):
+    xyz = np.array([[1.25, 2.5, -3.75], [100.0, 200.0, 300.0], [0, 0, 0]])
+    data = binary.write_las(xyz, np.array([2, 1, 29]))
+    (got, kinds), = binary.las_points(data)
+    assert np.allclose(got, xyz) and kinds.tolist() == [2, 1, 29]
+    with pytest.raises(ValueError):
+        next(binary.las_points(b"no"))
+    for name, lines, n in (("a", "# c\nx,y,z\n1,2,3\n\n4, 5 ,6\n7,8\n", 2), ("b", "1 2 3\n4\t5  6\n", 2), ("c", "1|2|nan\n1|2|4\n", 1)):
+        (tmp_path / name).write_text(lines)
+        assert text.read_xyz(spark, str(tmp_path / name), delimiter=None).count() == n
+
+
+def test_geojson_geometries(spark, tmp_path):
+    collection = '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"elev":"7","w":2},"geometry":{"type":"Polygon","coordinates":[[[0,0],[0,1],[1,1],[0,0]],[[0.1,0.1,5],[0.2,0.1,5]]]}},\n{"type":"Feature","properties":{},"geometry":{"type":"Point","coordinates":[3,4]}}]}'
+    (tmp_path / "c.json").write_text(collection)
+    got = sorted((r.x, r.y, r.z, r.w) for r in text.read_geojson(spark, str(tmp_path / "c.json"), z_field="elev", weight_field="w", z=1.0).collect())
+    assert len(got) == 7 and (3.0, 4.0, 1.0, None) in got and (0.1, 0.1, 5.0, 2.0) in got and (0.0, 1.0, 7.0, 2.0) in got
+
+
+def test_catalog_without_entries(spark, tmp_path):
+    (tmp_path / "x.datalist").write_text("# nothing\n\n")
+    assert text.read_catalog(spark, str(tmp_path / "x.datalist")) is None
+    table = text.catalog_table(spark, [text.parse_entry("'a b.xyz' 168 2 - t"), text.parse_entry("c.xyz")])
+    assert [r.path for r in text.prune(table, Region(0, 1, 0, 1), weights=(2, 3)).collect()] == ["a b.xyz"]
+
+
+def test_clusters_noise(spark):
+    df = spark.createDataFrame([(i, i * 0.5, 0.0) for i in range(8)] + [(100, 50.0, 50.0)], "k long, x double, y double")
+    got = {r.k: r.cluster for r in tracks.clusters(df, "k", "x", "y", 1.0, 3).collect()}
+    assert got[0] in range(8) and len({got[i] for i in range(8)}) == 1 and got[100] is None
+
+
+def test_grid_edges(spark):
+    g = Grid.of(Region(0, 10, 0, 10), 5)
+    rows = spark.createDataFrame([(0.0, 10.0), (9.9, 0.1), (5.0, 5.0)], "x double, y double").select(g.row().alias("r"), g.col().alias("c"))
+    assert [tuple(r) for r in rows.collect()] == [(0, 0), (1, 1), (1, 1)]
