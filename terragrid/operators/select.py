@@ -25,20 +25,23 @@ def order_statistics(df: DataFrame, value: str, first: int, last: int, n: int, l
         part = df.where(c.between(low, high))
         a, b = part.agg(F.percentile_approx(c, at, 10000)).first()[0]
         under, upto = part.agg(F.count_if(c < a), F.count_if(c <= b)).first()
-        new_low, new_high = (a if below + under <= first else low), (b if below + upto > last else high)
-        if (new_low, new_high) == (low, high):
+        take_low, take_high = below + under <= first and a > low, below + upto > last and b < high
+        if not (take_low or take_high):
             # no progress by ranks: halve by value
             mid = low + (high - low) / 2
             n_mid = part.where(c <= mid).count()
             if below + n_mid > last:
-                new_high = mid
+                high, inside = mid, n_mid
             elif below + n_mid <= first:
-                new_low = math.nextafter(mid, math.inf)
+                low, below, inside = math.nextafter(mid, math.inf), below + n_mid, inside - n_mid
             else:
-                return [order_statistics(df, value, r, r, n, low, high)[0] for r in range(first, last + 1)]
-        below += part.where(c < new_low).count()
-        low, high = new_low, new_high
-        inside = df.where(c.between(low, high)).count()
+                return [order_statistics(df, value, r, r, n, low, high)[0] if not below else order_statistics(part, value, r - below, r - below, inside, low, high)[0] for r in range(first, last + 1)]
+            continue
+        inside = (upto if take_high else inside) - (under if take_low else 0)
+        if take_low:
+            low, below = a, below + under
+        if take_high:
+            high = b
     if low == high:
         return [low] * (last - first + 1)
     rows = sorted(r[0] for r in df.where(c.between(low, high)).select(c).collect())  # few
