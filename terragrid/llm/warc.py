@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .runtime import fan, new_path, settle
 
 BLOCK = 512
+#: payloads with more than this part of all copies are few
+SPLIT = 4096
 DATE = "2020-01-01T00:00:00Z"
 _URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?(.*)$", re.S)
 
@@ -98,8 +100,16 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 1000) -> DataFr
     """Write WARC files below ``root``; (key, page_id, file, offset, length), a row per record."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    copies = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("c")).where("c > 1").select("digest", "last")
-    rows = rows.join(settle(copies, "copies"), "digest", "left")
+    copies = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("c")).where("c > 1")
+    copies = settle(copies, "copies")
+    # payloads with more than a SPLIT-th of all copies are at most SPLIT: their pages stay where they are;
+    # other pages meet theirs by the size of the table, and are spread by their own digests if it is large
+    many = F.col("c") > (copies.agg(F.sum("c")).first()[0] or 0) / SPLIT
+    hot = copies.where(many).select("digest", F.col("last").alias("hot"))
+    cold = copies.where(~many).select(F.col("digest").alias("key"), F.col("last").alias("cold"))
+    rows = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "digest", "left")
+    key = F.when(F.col("is_hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    rows = rows.withColumn("key", key).join(cold, "key", "left").withColumn("last", F.coalesce("hot", "cold")).drop("key", "hot", "cold", "is_hot")
     rows = rows.withColumn("revisit", F.col("last").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("last"), F.lit(False)))
 
     def write(batch_iter):

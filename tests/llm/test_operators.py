@@ -282,6 +282,17 @@ def test_warc(spark):
     assert reader.lookup(held, "http://nowhere.org/") == []
 
 
+def test_warc_ties(spark):
+    """Equal and null page ids, repeated rows, long payloads, clashing columns, a payload that most pages share."""
+    long = "x" * 300_000
+    rows = [(1, "http://a.org/1", long, "k"), (1, "http://a.org/1", long, "k"), (None, "http://a.org/2", long, "k"), (3, "http://a.org/3", long[:-1], "k")] + [(10 + i, f"http://e.org/{i}", "<p>error</p>" * 100, "k") for i in range(30)]
+    got = warc.through_archives(spark.createDataFrame(rows, "page_id long, url string, html string, digest string"))
+    seen = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got.collect())
+    want = collections.Counter({(1, 300_000, "response", None): 2, (None, 300_000, "revisit", 1): 1, (3, 299_999, "response", None): 1})
+    want.update((10 + i, 1200, "revisit" if i < 29 else "response", 39 if i < 29 else None) for i in range(30))
+    assert seen == want
+
+
 def test_html(spark):
     article = "<article><h1>Title</h1><p>A <b>bold</b>&amp; word.<p>Second&nbsp; one</p><div class='comments'><p>first!</p></div></article>"
     page = "<html><body><nav><ul><li><a>Home</a></li><li>Two</li></ul></nav><script>var x='<p>no</p>'</script>{}<footer>&copy; me</footer></body></html>"
