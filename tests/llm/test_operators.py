@@ -254,6 +254,58 @@ def test_mixing(docs):
     assert mixing.apply_mix(docs).columns == docs.columns
 
 
+def test_mixing_brute_force(docs):
+    """Targets by filling up, seats one after the other, blocks laid along each line: all by plain loops."""
+    block, per_shard, weights, most = 4, 40, (3, 1, 2), 2
+    rows = [(i, len(SPACED.findall(t or "")), s) for i, t, s in corpus()]
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for _, n, x in rows if x == s) for s in names}
+    weight = {s: weights[k % 3] for k, s in enumerate(names)}
+    target, free, left = {}, list(names), 1.5 * sum(total.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = [s for s in free if most * total[s] <= level * weight[s]]
+        if not full:
+            target |= {s: level * weight[s] for s in free}
+            break
+        for s in full:
+            target[s] = float(most * total[s])
+            left -= target[s]
+            free.remove(s)
+
+    def seats(votes, n):
+        won = dict.fromkeys(votes, 0)
+        for _ in range(n if any(votes.values()) else 0):
+            won[max(votes, key=lambda v: (votes[v] / (2 * won[v] + 1), -list(votes).index(v)))] += 1
+        return won
+
+    of_source = seats({s: target[s] for s in names}, int(sum(target.values()) / block + 0.5))
+    draw = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    shards = -(-len(rows) // per_shard)
+    want = collections.Counter()
+    for s in names:
+        lines = {k: [] for k in range(shards)}
+        for i, n, x in rows:
+            if x == s:
+                d = draw(0, "" if i is None else i)
+                lines[int(d[:8], 16) % shards].append((d, i is not None, i or 0, n))
+        lines = {k: sorted(v) for k, v in lines.items() if v}
+        quota = seats({k: sum(x[3] for x in v) for k, v in lines.items()}, of_source[s])
+        for k, v in lines.items():
+            line = sum(x[3] for x in v)
+            cover = min(quota[k] * block, line * most)
+            rounds, rest = divmod(cover, line) if line else (0, 0)
+            start = int(draw(0, k, s or "")[:8], 16) % max(1, -(-line // block)) * block
+            at = 0
+            for _, known, i, n in v:
+                words = range(at, at + n)
+                extra = sum(start <= p < start + rest or p < start + rest - line for p in words)
+                want[(i if known else None, n, total[s], round(target[s], 6), rounds * n + extra)] += 1
+                at += n
+    got = mixing.mix(docs, block=block, per_shard=per_shard).withColumn("target", F.round("target", 6))
+    assert bag(got) == want
+
+
 def test_apportion(spark):
     votes = [("a", 53000), ("b", 24000), ("c", 23000), ("d", 0), ("e", 17)]
     for seats in (0, 1, 3, 7, 101):
