@@ -41,8 +41,41 @@ def number_range(c: Column) -> Column:
     return F.when(F.size(n) > 0, F.concat_ws("-", F.array_min(n).cast("string"), F.array_max(n).cast("string")))
 
 
+#: accented Latin letters and what they fold to
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^\w\s-]", ""), r"[\s_-]+", "-")
+    """Lower case without accents; words joined by single dashes, none at the ends."""
+    plain = F.translate(F.lower(F.trim(c)), ACCENTED, PLAIN)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9_\s-]", ""), r"[\s_-]+", "-"), "^-+|-+$", "")
+
+
+#: metres of a degree at the equator
+DEGREE = 111321.543
+
+
+def degree_lengths(lat: Column) -> tuple[Column, Column]:
+    """Metres of a degree of longitude and of latitude."""
+    return F.cos(F.radians(lat)) * DEGREE, F.lit(DEGREE)
+
+
+def increment_metres(inc: Column) -> Column:
+    """An increment in degrees as metres."""
+    return F.cos(F.radians(inc)) * DEGREE * inc
+
+
+def consecutive_ranges(values: Column) -> Column:
+    """An array of whole numbers as an array of structs (first, last) of consecutive runs."""
+    start = F.array().cast("array<struct<first:bigint,last:bigint>>")
+
+    def step(runs, v):
+        last = F.element_at(runs, -1)
+        grown = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(last["first"].alias("first"), v.cast("long").alias("last"))))
+        new = F.concat(runs, F.array(F.struct(v.cast("long").alias("first"), v.cast("long").alias("last"))))
+        return F.when((F.size(runs) > 0) & (F.get(runs, F.size(runs) - 1)["last"] >= v - 1), grown).otherwise(new)
+
+    return F.aggregate(F.array_sort(F.array_distinct(values)), start, step)
 
 
 def box_wkt(xmin: Column, xmax: Column, ymin: Column, ymax: Column) -> Column:

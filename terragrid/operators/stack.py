@@ -115,8 +115,8 @@ def statistics(points: DataFrame) -> DataFrame:
 
 
 def mini_grid(points: DataFrame, n: int = 10) -> DataFrame:
-    """n x n weighted means over the extent."""
+    """n x n cells over the extent: the weighted sum of z over the number of points."""
     b = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     at = lambda v, lo, hi: F.least(F.lit(n - 1), F.floor((F.col(v) - F.col(lo)) * n / F.nullif(F.col(hi) - F.col(lo), F.lit(0)))).cast("int")
     p = points.crossJoin(F.broadcast(b)).withColumns({"col": at("x", "x0", "x1"), "row": at("y", "y0", "y1")})  # one row
-    return p.groupBy("row", "col").agg((F.sum(F.col("z") * F.col("w")) / F.sum("w")).alias("z"), F.count("*").alias("count"))
+    return p.groupBy("row", "col").agg((F.sum(F.col("z") * F.col("w")) / F.count("*")).alias("z"), F.count("*").alias("count"))

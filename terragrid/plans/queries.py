@@ -8,6 +8,7 @@ flags, id from a hash-free total order of all columns.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ..operators import grid as G
 from ..operators import gridding as I
 from ..operators import points as P
 from ..operators import stack as S
+from ..streaming import stack as stream
+from ..tables import shared_dir
 
 #: cell sizes; the grid's extent is that of the points
 DX, DY = 50, 10
@@ -37,8 +40,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "lineitem")
-    return t.selectExpr(
+    return as_points(table(spark, d, "lineitem"))
+
+
+def as_points(lines: DataFrame) -> DataFrame:
+    return lines.selectExpr(
         "cast(l_partkey as double) x", "cast(l_suppkey as double) y", "l_quantity z", "1 + round(100 * l_discount) w", "round(100 * l_tax) u", "concat(l_returnflag, '/', l_linestatus) source",
         "l_orderkey * 1000000 + l_linenumber * 100000 + cast(l_quantity as bigint) * 1000 + cast(round(100 * l_discount) as bigint) * 10 + cast(round(100 * l_tax) as bigint) id",
     )
@@ -246,7 +252,7 @@ def point_statistics(s, d):
     return S.statistics(points(s, d))
 
 
-@query(f"with pts as ({PTS}), m as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from pts) select least(9, floor((y-y0)*10/(y1-y0)))::int row, least(9, floor((x-x0)*10/(x1-x0)))::int col, sum(z*w)/sum(w) z, count(*) \"count\" from pts, m group by 1, 2")
+@query(f"with pts as ({PTS}), m as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from pts) select least(9, floor((y-y0)*10/(y1-y0)))::int row, least(9, floor((x-x0)*10/(x1-x0)))::int col, sum(z*w)/count(*) z, count(*) \"count\" from pts, m group by 1, 2")
 def mini_grid(s, d):
     return S.mini_grid(points(s, d))
 
@@ -432,9 +438,11 @@ def event_rolling(s, d):
     return sensor.rolling(events(s, d), "user_id", ["ts", "event_id"], "h", 3, 2, 4).select("event_id", "rolling_n", "rolling_min", "rolling_max")
 
 
-@query("select n_nationkey, count(c_custkey) customers, n_name from nation left join customer on n_nationkey = c_nationkey group by all")
+@query("with p as (select n_nationkey k, case when n_regionkey > 1 then 40 + n_regionkey end new from nation where n_nationkey <> 7) select c_custkey, c_nationkey k, coalesce(p.new, c_custkey % 3) cls from customer left join p on p.k = c_nationkey")
 def product_join(s, d):
-    return table(s, d, "nation").join(table(s, d, "customer"), F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_nationkey", "n_name").agg(F.count("c_custkey").alias("customers"))
+    photons = table(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), (F.col("c_custkey") % 3).alias("cls"))
+    product = table(s, d, "nation").where("n_nationkey <> 7").select(F.col("n_nationkey").alias("k"), F.when(F.col("n_regionkey") > 1, F.col("n_regionkey") + 40).alias("new"))
+    return sensor.merge_product(photons, product, ["k"], "cls", "new")
 
 
 @query("select s_suppkey, round(sqrt(pow((0.25 + 0.02 * abs(s_acctbal)) * 0.51, 2) + pow(0.005 * abs(s_nationkey), 2) + pow(least(14, abs(s_nationkey - 14)) * 0.51, 2)), 6) u, round(least(0.99, greatest(0.01, 1 - (2024 - (1980 + s_nationkey)) / 44.0)), 9) w from supplier")
@@ -443,9 +451,9 @@ def sonar_weights(s, d):
     return t.select("s_suppkey", F.round(sensor.sonar_uncertainty(F.col("s_acctbal"), k, k), 6).alias("u"), F.round(sensor.age_weight(k + 1980), 9).alias("w"))
 
 
-@query("select p_partkey, lower(regexp_replace(regexp_replace(trim(p_type), '[^\\w\\s-]', '', 'g'), '[\\s_-]+', '-', 'g')) slug from part")
+@query("select p_partkey, trim(regexp_replace(regexp_replace(strip_accents(lower(trim('-Über ' || p_type || ' é!'))), '[^a-z0-9_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), '-') slug from part")
 def slugs(s, d):
-    return table(s, d, "part").select("p_partkey", scalar.slug(F.col("p_type")).alias("slug"))
+    return table(s, d, "part").select("p_partkey", scalar.slug(F.concat(F.lit("-Über "), "p_type", F.lit(" é!"))).alias("slug"))
 
 
 @query("select p_partkey, round(2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(p_size % 50 - 10) / 2), 2) + cos(radians(10)) * cos(radians(p_size % 50)) * pow(sin(radians(p_partkey % 90) / 2), 2)))), 3) m from part")
@@ -463,4 +471,28 @@ def region_tiles(s, d):
 @query("select event_type, time_bucket(interval '1 day', ts) start, count(*) n, cast(sum(round(value * 100)) as bigint) total from events group by 1, 2")
 def event_windows(s, d):
     e = table(s, d, "events").withColumn("value", F.round(F.col("value") * 100).cast("long"))
-    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("event_type", F.col("w.start").alias("start"), "n", "total")
+    return stream.windowed_counts(e, "ts", "event_type", "1 day", "1 hour").select("event_type", "start", "n", "total")
+
+
+@query(f"with {STACKED} select source, row, col, sz, sw, n \"count\" from s")
+def stream_stack(s, d):
+    """The points as a stream, a file a batch, whose sums are kept, put together and read back."""
+    grid, path = cells_of(s, d), f"{shared_dir(s)}/terragrid/stream-{uuid.uuid4().hex}"
+    # three files, each with the rows of some lines
+    lines = table(s, d, "lineitem")
+    lines.withColumn("part", F.least(F.col("l_linenumber"), F.lit(3))).repartition(3, "part").drop("part").write.parquet(f"{path}/in")
+    p = as_points(s.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
+    stream.keep_sums(p, grid, f"{path}/out", f"{path}/checkpoint", 2, availableNow=True).awaitTermination()
+    return stream.read_sums(s, f"{path}/out").select("source", "row", "col", "sz", "sw", "count")
+
+
+@query("select p_partkey, round(cos(radians(p_size)) * 111321.543::double, 3) lon, 111321.543::double lat, round(cos(radians(p_size::double / 60)) * 111321.543::double * (p_size::double / 60), 3) inc from part")
+def degree_lengths(s, d):
+    lon, lat = scalar.degree_lengths(F.col("p_size"))
+    return table(s, d, "part").select("p_partkey", F.round(lon, 3).alias("lon"), lat.alias("lat"), F.round(scalar.increment_metres(F.col("p_size") / 60.0), 3).alias("inc"))
+
+
+@query("with k as (select distinct c_nationkey g, c_custkey // 7 v from customer), i as (select *, v - row_number() over (partition by g order by v) r from k) select g, min(v) first, max(v) as last from i group by g, r")
+def consecutive_runs(s, d):
+    groups = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("g")).agg(F.collect_set(F.floor(F.col("c_custkey") / 7)).alias("v"))
+    return groups.select("g", F.explode(scalar.consecutive_ranges(F.col("v"))).alias("r")).select("g", "r.first", "r.last")
