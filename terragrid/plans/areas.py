@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gridding as I
 from ..operators import stack as S
+from ..operators import post as W
 from ..operators import voids as V
 from .queries import BINNED, MEAN, NEAREST, SPARSE, cells_of, fine, points, query, sparse, sums, surface, xyz, XYZ
 
@@ -121,3 +122,20 @@ FILL = "p as (select v.row, v.col, d.row nr, d.col nc, d.z nz, (v.row-d.row)*(v.
 @query(f"with {HOLES}, {FILL} select row, col, z from d union all select row, col, round(sum(nz / sqrt(d2)) / sum(1 / sqrt(d2)), 6) from q where k <= 8 group by row, col")
 def void_fill(s, d):
     return V.fill(data(s, d), *size(s, d), "idw", 2).withColumn("z", F.round("z", 6))
+
+
+@query(f"with recursive {REACH}, near as (select g.row, g.col from g join d on (g.row - d.row) * (g.row - d.row) + (g.col - d.col) * (g.col - d.col) < 4 group by 1, 2), k as (select g.row, g.col, g.z from g semi join near using (row, col) anti join (select row, col from w where size >= 5) x using (row, col)), m as (select a.row, a.col, median(b.z) z from k a join k b on abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1 group by 1, 2) select row, col, least(26, greatest(24, z)) z from m")
+def dem_process(s, d):
+    """Limits, a filter by its module string and bounds, in their order."""
+    return W.process(surface(s, d), data(s, d), *size(s, d), proximity_limit=2, size_limit=5, filters=["denoise:kernel_size=3"], lower=24, upper=26)
+
+
+@query(f"with {HOLES}, x as (select * from d where (z <= 24)), b as (select row // 2 r, col // 2 c, avg(z) z from x group by 1, 2), q as (select row // 4 r, col // 4 c, avg(z) z from x group by 1, 2) select e2.row, e2.col, round(coalesce(x.z, b.z, q.z), 9) z, case when x.z is not null then 1 when b.z is not null then 2 else 4 end factor from every e2 left join x using (row, col) left join b on b.r = e2.row // 2 and b.c = e2.col // 2 left join q on q.r = e2.row // 4 and q.c = e2.col // 4 where coalesce(x.z, b.z, q.z) is not null")
+def dem_coarse_to_fine(s, d):
+    return W.coarse_to_fine(surface(s, d).where("z <= 24"), *size(s, d), (2, 4)).withColumn("z", F.round("z", 9))
+
+
+@query(f"with {HOLES} select d.row, d.col, d.z from d semi join (select a.row, a.col from every a join d b on abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1) x using (row, col)")
+def dem_nothing_to_do(s, d):
+    """Without limits the surface stays as it is."""
+    return W.process(data(s, d), data(s, d), *size(s, d))
