@@ -1,3 +1,3 @@
 """Part of terragrid."""
 
-from . import areas, files, queries, tracks  # noqa: F401  queries register themselves
+from . import areas, checks, files, queries, tracks  # noqa: F401  queries register themselves

@@ -125,6 +125,12 @@ def test_coplanar(spark):
     assert 14 not in left and 35 in left
 
 
+def test_decimation_is_repeatable(spark):
+    df = spark.range(5000).select("id")
+    a, b = ({r.id for r in points.decimate(x, 300).collect()} for x in (df, df.repartition(7)))
+    assert a == b and len(a) == 300 and points.decimate(df.limit(20), 300).count() == 20
+
+
 def test_las_and_guess(spark, tmp_path):
     xyz = np.array([[1.25, 2.5, -3.75], [100.0, 200.0, 300.0], [0, 0, 0]])
     data = binary.write_las(xyz, np.array([2, 1, 29]))
