@@ -54,13 +54,23 @@ def read_xyz(spark: SparkSession, path: str | list[str], positions: tuple = (0,
 def read_geojson(spark: SparkSession, path: str, z_field: str | None = None, weight_field: str | None = None, uncertainty_field: str | None = None, z_scale: float = 1.0, z: float | None = None) -> DataFrame:
     """x, y, z, w, u of the vertices of all geometries: z from the vertex, else the field, else the constant.
 
-    Files have one feature a line or are feature collections; a file of the latter kind is read as a whole.
+    Files have one feature a line or are feature collections.  Where every line is an object of its own (braces at both
+    ends can't follow each other within one document), a file is read by lines, so its size doesn't matter; only a
+    collection that goes over several lines is read as a whole.
     """
-    whole = spark.read.text(path, wholetext=True)
     feature = "struct<geometry:string,properties:map<string,string>>"
-    collection = F.from_json("value", f"struct<type:string,features:array<{feature}>>")
-    lines = F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, feature))
-    features = whole.select(F.explode(F.coalesce(collection["features"], lines)).alias("f")).where("f.geometry is not null")
+    collection = lambda v: F.from_json(v, f"struct<type:string,features:array<{feature}>>")["features"]
+    file, text = F.col("_metadata.file_path").alias("file"), F.trim("value", F.lit(" \t\r\f\ufeff"))
+    lines = spark.read.text(path).select(file, text.alias("value")).where("value <> ''")
+    parted = [r.file for r in lines.where("not (startswith(value, '{') and endswith(value, '}'))").select("file").distinct().toLocalIterator()]  # names of files
+    of_line = F.coalesce(F.when(F.contains("value", F.lit('"features"')), collection("value")), F.array(F.from_json("value", feature)))
+    features = lines.where(~F.col("file").isin(parted)) if parted else lines
+    features = features.select(F.explode(of_line).alias("f"))
+    if parted:
+        whole = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_path").isin(parted))
+        each = F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, feature))
+        features = features.unionByName(whole.select(F.explode(F.coalesce(collection("value"), each)).alias("f")))
+    features = features.where("f.geometry is not null")
     # a vertex is an innermost array, whatever the geometry
     vertices = features.select("f.properties", F.explode(F.regexp_extract_all(F.get_json_object("f.geometry", "$.coordinates"), F.lit(r"\[([^\[\]]+)\]"), F.lit(1))).alias("v"))
     at = lambda i: F.get(F.split("v", r"\s*,\s*"), F.lit(i)).try_cast("double")

@@ -167,3 +167,18 @@ def test_grid_edges(spark):
     g = Grid.of(Region(0, 10, 0, 10), 5)
     rows = spark.createDataFrame([(0.0, 10.0), (9.9, 0.1), (5.0, 5.0)], "x double, y double").select(g.row().alias("r"), g.col().alias("c"))
     assert [tuple(r) for r in rows.collect()] == [(0, 0), (1, 1), (1, 1)]
+
+
+def test_geojson_by_lines(spark, tmp_path):
+    """Only a collection over several lines is read as a whole; the others by lines, each part in a task of its own."""
+    point = lambda i: '{"type":"Feature","geometry":{"type":"Point","coordinates":[%d,0,1]},"properties":{}}' % i
+    (tmp_path / "many.json").write_text("\n".join(map(point, range(20_000))) + "\n\n")
+    (tmp_path / "one.json").write_text('{"type":"FeatureCollection","features":[' + point(30_000) + "," + point(30_001) + "]}")
+    (tmp_path / "pretty.json").write_text('{"type":"FeatureCollection",\n"features":[\n' + point(40_000) + ",\n" + point(40_001) + "\n]}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        got = text.read_geojson(spark, str(tmp_path))
+        assert sorted(r.x for r in got.collect()) == [*range(20_000), 30_000, 30_001, 40_000, 40_001]
+        assert text.read_geojson(spark, str(tmp_path / "many.json")).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
