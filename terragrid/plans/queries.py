@@ -353,7 +353,7 @@ def sparse(s, d):
 def fine(s, d):
     """All cells of the finer grid."""
     grid = cells_of(s, d)
-    return I.targets(s, 2 * grid.ny, 2 * grid.nx)
+    return I.Whole(2 * grid.ny, 2 * grid.nx)
 
 
 NEAR = lambda r: f"p as (select g.row, g.col, k.row nr, k.col nc, k.z nz, (g.row-k.row)*(g.row-k.row)+(g.col-k.col)*(g.col-k.col) d2 from t g join k on (g.row-k.row)*(g.row-k.row)+(g.col-k.col)*(g.col-k.col) <= {r * r})"

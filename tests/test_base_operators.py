@@ -182,3 +182,64 @@ def test_geojson_by_lines(spark, tmp_path):
         assert text.read_geojson(spark, str(tmp_path / "many.json")).rdd.getNumPartitions() > 4
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_searches_by_tiles(spark, monkeypatch):
+    """A whole grid in many tiles, data in two places and one of them twice, against plain loops."""
+    monkeypatch.setattr(gridding, "TILE", 8)
+    monkeypatch.setattr(gridding, "PACK", 4)
+    r = np.random.default_rng(5)
+    at = sorted({(int(a), int(b)) for a, b in r.integers(0, 9, (30, 2))} | {(40, 33), (41, 35)})
+    pts = [(a, b, float(z)) for (a, b), z in zip(at, r.integers(0, 40, len(at)), strict=True)]
+    data, whole = spark.createDataFrame(pts, "row int, col int, z double"), gridding.Whole(43, 37)
+    every = [(i, j) for i in range(43) for j in range(37)]
+    near = {c: sorted(((a - c[0]) ** 2 + (b - c[1]) ** 2, a, b, z) for a, b, z in pts) for c in every}
+    idw = lambda p: p[0][3] if p[0][0] == 0 else sum(z / math.sqrt(d) for d, _, _, z in p) / sum(1 / math.sqrt(d) for d, *_ in p)
+    to3 = {c: [p for p in near[c] if p[0] <= 9] for c in every}
+    want = {
+        "idw": {c: idw(near[c][:8]) for c in every},
+        "nearest": {c: near[c][0][3] for c in every},
+        "knn": {c: sum(p[3] for p in near[c][:5]) / 5 for c in every},
+        "average": {c: sum(q[3] for q in p) / len(p) for c, p in to3.items() if len(p) >= 3},
+        "invdst": {c: p[0][3] if p[0][0] == 0 else sum(q[3] / q[0] for q in p) / sum(1 / q[0] for q in p) for c, p in to3.items() if p},
+        "proximity": {c: math.sqrt(p[0][0]) if p else None for c, p in to3.items()},
+    }
+    sector = lambda c, p: int((math.atan2(p[1] - c[0], p[2] - c[1]) + math.pi) / (2 * math.pi) * 4) % 4
+    firsts = {c: list({sector(c, p): p for p in reversed(v)}.values()) for c, v in to3.items() if v}
+    want["near"] = {c: sum(p[3] / (1 + p[0]) for p in v) / sum(1 / (1 + p[0]) for p in v) for c, v in firsts.items()}
+    for cells in (whole, gridding.targets(spark, 43, 37)):
+        got = {"idw": gridding.idw(cells, data, 1, 8), "nearest": gridding.nearest(cells, data), "knn": gridding.knn_mean(cells, data, 5), "average": gridding.average(cells, data, 3, 3), "invdst": gridding.inverse_distance(cells, data, 2, 0, 3), "proximity": gridding.proximity(cells, data, 3), "near": gridding.near_neighbor(cells, data, 3, 4)}
+        for name, df in got.items():
+            rows = [tuple(x) for x in df.collect()]
+            assert len(rows) == len(want[name]), name
+            assert all(v is want[name][i, j] is None or abs(v - want[name][i, j]) < 1e-9 for i, j, v in rows), name
+    some = gridding.targets(spark, 43, 37).where("row % 5 = 2")
+    assert {(x.row, x.col): x.z for x in gridding.nearest(some, data).collect()} == {c: z for c, z in want["nearest"].items() if c[0] % 5 == 2}
+    pairs = [(int(math.hypot(a[0] - b[0], a[1] - b[1]) // 2), (a[2] - b[2]) ** 2) for a in [*pts, (40, 33, 7.0)] for b in [*pts, (40, 33, 7.0)] if a[:2] != b[:2]]
+    want_v = {k: (sum(q == k for q, _ in pairs), sum(e for q, e in pairs if q == k)) for k in range(4)}
+    twice = data.unionByName(spark.createDataFrame([(40, 33, 7.0)], "row int, col int, z double"))
+    assert {x.lag: (x.n, round(2 * x.n * x.gamma, 6)) for x in gridding.variogram(twice, 2, 4).collect()} == {k: (n, round(e, 6)) for k, (n, e) in want_v.items() if n}
+
+
+def lines(spark, path, rows):
+    """A small lineitem table of (order, line, part, supplier, quantity)."""
+    kinds = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame([(*map(int, r[:4]), float(r[4]), 0.05, 0.02, "A", "F") for r in rows], kinds).coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_kriging_at_data_with_gaps(spark, tmp_path):
+    """Cells without data, between those that have some, are not among the data's cells."""
+    from terragrid.plans import queries
+
+    d = lines(spark, tmp_path, [(i, 1, 60 * i % 700, 11 * i % 130, 1 + i % 30) for i in range(60)])
+    got = {(r.row, r.col): r.z for r in queries.QUERIES["waffle_kriging_at_data"](spark, d).collect()}
+    assert got == {(r.row, r.col): r.z for r in queries.sparse(spark, d).collect()}
+
+
+def test_equal_ids_in_two_blocks(spark, tmp_path):
+    """Each block has its lowest point, even where two of them have one id."""
+    from terragrid.plans import queries
+
+    d = lines(spark, tmp_path, [(1, 1, 10, 10, 5), (1, 1, 500, 10, 5), (2, 1, 20, 12, 9)])
+    assert sorted(r.id for r in queries.QUERIES["points_block_thin_min"](spark, d).collect()) == [1105052, 1105052]
