@@ -119,7 +119,7 @@ def _blocks(order: str) -> str:
 
 @query(_blocks("z"))
 def points_block_thin_min(s, d):
-    return P.FILTERS.apply(points(s, d), "block_thin:res=50:mode=min").select("id").distinct()
+    return P.FILTERS.apply(points(s, d), "block_thin:res=50:mode=min").select("id")
 
 
 @query(_blocks("abs(z - mid)"))
