@@ -202,12 +202,14 @@ def cell_index(entries: DataFrame, size: float, key: str = "path") -> DataFrame:
 
 
 def box_join(left: DataFrame, right: DataFrame, size: float, keys: tuple[str, str]) -> DataFrame:
-    """Pairs of keys whose boxes intersect: both sides' cells meet in an equi-join, then the boxes are compared."""
+    """Pairs of keys whose boxes intersect: both sides' cells meet in an equi-join with their boxes, and a pair counts in
+    the cell of its common part's lower corner, so that none is found twice."""
     a, b = keys
-    box = lambda df, k, p: df.select(k, *(F.col(c).alias(f"{p}{c}") for c in ("xmin", "xmax", "ymin", "ymax")))
-    pairs = cell_index(left, size, a).join(cell_index(right, size, b), ["cx", "cy"]).select(a, b).distinct()
-    both = pairs.join(box(left, a, "l"), a).join(box(right, b, "r"), b)
-    return both.where("lxmin <= rxmax and rxmin <= lxmax and lymin <= rymax and rymin <= lymax").select(a, b)
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    box = lambda df, k, p: df.select(k, *(F.col(c).alias(f"{p}{c}") for c in ("xmin", "xmax", "ymin", "ymax"))).withColumn("cx", span(f"{p}xmin", f"{p}xmax")).withColumn("cy", span(f"{p}ymin", f"{p}ymax"))
+    at = lambda c, v: F.col(c) == F.floor(F.greatest(f"l{v}", f"r{v}") / size)
+    both = box(left, a, "l").join(box(right, b, "r"), ["cx", "cy"])
+    return both.where("lxmin <= rxmax and rxmin <= lxmax and lymin <= rymax and rymin <= lymax").where(at("cx", "xmin") & at("cy", "ymin")).select(a, b)
 
 
 def read_catalog(spark: SparkSession, path: str, region=None, **ranges) -> DataFrame | None:
