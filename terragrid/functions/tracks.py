@@ -69,21 +69,35 @@ def classify_inside(df: DataFrame, inside: str, cls: str, new: int, excepted: tu
 def clusters(df: DataFrame, key: str, x: str, y: str, eps: float = 1.5, min_points: int = 10) -> DataFrame:
     """(key, cluster): density clusters; the label is the smallest key of the cluster's core points, noise has none.
 
-    Neighbours meet in buckets of ``eps``: each row is sent to nine.  A core has ``min_points`` rows
-    within ``eps``, itself included; cores within ``eps`` of each other are one cluster, other rows
-    join the cluster of the nearest core, ties by key.
+    A core has ``min_points`` rows within ``eps``, itself included; cores within ``eps`` of each other are one cluster,
+    other rows join the cluster of the nearest core, ties by key.  Rows of a cell of two thirds of ``eps`` are all near
+    each other: where a cell has ``min_points`` they are cores without a search, and its cores are one node.  Rows
+    are only searched for those in cells of fewer, so no pairs of a crowd are made; cells are joined by the places
+    of their cores, and a pair of cells counts once.
     """
-    b = lambda c: F.floor(F.col(c) / eps)
-    around = lambda c: F.explode(F.sequence(b(c) - 1, b(c) + 1))
-    own = df.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
-    left = own.withColumn("bx", around("x")).withColumn("by", around("y"))
-    right = own.select(F.col("k").alias("nk"), F.col("x").alias("nx"), F.col("y").alias("ny"), b("x").alias("bx"), b("y").alias("by"))
+    side = eps / 1.5
+    keyed = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    b = lambda c: F.floor(F.col(c) / side)
+    own = keyed.where("x - x = 0 and y - y = 0").select("k", "x", "y", b("x").alias("bx"), b("y").alias("by"))
+    own = settle(own.join(own.groupBy("bx", "by").agg(F.count("*").alias("n")), ["bx", "by"]), "points")
     d2 = F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2)
-    near = left.join(right, ["bx", "by"]).withColumn("d2", d2).where(F.col("d2") <= eps * eps).select("k", "nk", "d2")
-    near = settle(near, "near")
-    cores = settle(near.groupBy("k").count().where(F.col("count") >= min_points).select("k"), "cores")
-    to_core = near.join(cores.withColumnRenamed("k", "nk"), "nk")
-    label = star_components(to_core.join(cores, "k").select(F.col("k").alias("u"), F.col("nk").alias("v")))
-    named = cores.join(label, F.col("k") == F.col("node"), "left").select(F.col("k").alias("nk"), F.coalesce("label", "k").alias("cluster"))
-    out = to_core.join(named, "nk").groupBy("k").agg(F.min_by("cluster", F.struct("d2", "nk")).alias("cluster"))
-    return own.select("k").join(out, "k", "left").withColumnRenamed("k", key)
+
+    def meet(left, right, half=False):
+        """Rows of ``left`` with those of ``right`` (nx, ny) within eps, from cells up to two away; half: one of two cells meets the other, none itself."""
+        steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if not half or (i, j) > (0, 0)))
+        sent = left.withColumn("o", F.explode(steps)).withColumns({"mx": F.col("bx") + F.col("o.i"), "my": F.col("by") + F.col("o.j")}).drop("o")
+        return sent.join(right, ["mx", "my"]).withColumn("d2", d2).where(F.col("d2") <= eps * eps)
+
+    others = lambda df, *more: df.select(F.col("bx").alias("mx"), F.col("by").alias("my"), F.col("x").alias("nx"), F.col("y").alias("ny"), *more)
+    few = own.where(F.col("n") < min_points)
+    found = meet(few, others(own)).groupBy("k", "x", "y", "bx", "by").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).drop("n")
+    cores = settle(own.where(F.col("n") >= min_points).select("k", "x", "y", "bx", "by").unionByName(found), "cores")
+    node = lambda p, q: F.col(p) * (1 << 32) + F.col(q)
+    places = settle(cores.groupBy("x", "y", "bx", "by").agg(F.min("k").alias("k")), "places")
+    edges = meet(places, others(places), True).select(node("bx", "by").alias("u"), node("mx", "my").alias("v")).distinct()
+    cell = places.groupBy("bx", "by").agg(F.min("k").alias("k")).withColumn("node", node("bx", "by"))
+    cell = settle(cell.join(star_components(edges), "node", "left").withColumn("label", F.coalesce("label", "node")), "cells")
+    named = cores.join(cell.join(cell.groupBy("label").agg(F.min("k").alias("cluster")), "label").select("bx", "by", "cluster"), ["bx", "by"])
+    near = meet(few.join(cores.select("k"), "k", "left_anti"), others(named, F.col("k").alias("nk"), "cluster"))
+    out = near.groupBy("k").agg(F.min_by("cluster", F.struct("d2", "nk")).alias("cluster")).unionByName(named.select("k", "cluster"))
+    return keyed.select("k").join(out, "k", "left").withColumnRenamed("k", key)
