@@ -95,15 +95,27 @@ def write_xyz(points: DataFrame, path: str, delimiter: str = " ", precision: int
     points.select(F.concat_ws(delimiter, *(show(c) for c in ("x", "y", "z"))).alias("value")).write.text(path)
 
 
-def write_ascii_grid(cells: DataFrame, grid, path: str, nodata: float = -9999) -> None:
-    """Rows of values, one text line a row, ordered; the header goes to ``path``_header."""
-    rows = cells.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", "z"))).alias("m"))  # a grid row
-    value = lambda i: F.coalesce(F.element_at("m", i.cast("int")), F.lit(nodata)).cast("string")
-    spark = cells.sparkSession
-    every = spark.range(grid.ny).select(F.col("id").cast("int").alias("row")).join(rows, "row", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>")))
-    every.orderBy("row").select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(grid.nx - 1)), value), " ").alias("value")).write.text(path)
-    head = [("ncols", grid.nx), ("nrows", grid.ny), ("xllcorner", grid.x0), ("yllcorner", grid.y0 - grid.ny * grid.dy), ("cellsize", grid.dx), ("NODATA_value", nodata)]
-    spark.createDataFrame([(f"{k} {v}",) for k, v in head], "value string").coalesce(1).write.text(path + "_header")
+def write_ascii_grid(cells: DataFrame, grid, path: str, nodata: float = -9999, file_cells: int = 1 << 20) -> None:
+    """Text grids, each with its header and whole rows of about ``file_cells`` cells: a grid of any size, whatever the order of files."""
+    import numpy as np
+    import pyarrow as pa
+
+    nx, ny, size = grid.nx, grid.ny, max(1, file_cells // grid.nx)
+    head = lambda n, below: [("ncols", nx), ("nrows", n), ("xllcorner", grid.x0), ("yllcorner", grid.y0 - below * grid.dy), ("cellsize", grid.dx), ("NODATA_value", nodata)]
+    none = lambda kind: F.lit(None).cast(kind)
+    some = cells.where(F.col("z").isNotNull() & F.col("row").between(0, ny - 1) & F.col("col").between(0, nx - 1))
+    some = some.select(F.floor(F.col("row") / size).alias("part"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("z").cast("double").alias("z"))
+    every = cells.sparkSession.range(-(-ny // size)).select(F.col("id").alias("part"), none("long").alias("row"), none("long").alias("col"), none("double").alias("z"))
+
+    def lines(key, table):
+        first = key[0].as_py() * size
+        n, t = min(size, ny - first), table.filter(table["row"].is_valid())
+        z = np.full((n, nx), float(nodata))
+        z[np.asarray(t["row"]) - first, np.asarray(t["col"])] = np.asarray(t["z"])
+        text = [f"{k} {v}" for k, v in head(n, first + n)] + [" ".join(map(repr, r.tolist())) for r in z]
+        return pa.table({"value": ["\n".join(text)]})
+
+    some.unionByName(every).groupBy("part").applyInArrow(lines, "value string").write.option("maxRecordsPerFile", 1).text(path)  # a row a file
 
 
 def geojson_points(points: DataFrame) -> DataFrame:
