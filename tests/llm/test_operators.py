@@ -430,6 +430,25 @@ def test_line_dedup_short_lines(spark):
     assert got == {1: (15, 0), 2: (17, 15), 3: (15, 15), 4: (2, 0)}
 
 
+def test_line_dedup_all_pairs(spark, monkeypatch):
+    """Frequent runs in many orders, with short lines and repeats: just what the alignment of all pairs deletes, in two rounds and in three."""
+    r = random.Random(8)
+    stock = [f"frequent line {i} of six words" for i in range(8)] + ["one two", "three four", "five", "six seven eight"]
+    docs = []
+    for i in range(70):
+        text = r.sample(stock, r.randrange(3, 10)) + ([r.choice(stock)] if i % 3 else [])
+        docs.append((i, "\n".join([f"own line {i} that nobody else has", *text] if i % 5 else text)))
+    full = {i: t.split("\n") for i, t in docs}
+    want = {i: set() for i, _ in docs}
+    for i, _ in docs:
+        for j in range(i):
+            want[i] |= set(line_dedup.common_blocks(full[j], full[i], [len(x.split()) for x in full[i]], 5))
+    for more in ((32,), ()):
+        monkeypatch.setattr(line_dedup, "MORE", more)
+        got = {x.doc_id: x.kept_text for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got == {i: "\n".join(x for k, x in enumerate(full[i]) if k not in want[i]) for i, _ in docs}
+
+
 def test_line_dedup_recall(spark):
     """Against alignment of all pairs; blank lines and documents that share reordered blocks."""
     r = random.Random(5)
